@@ -28,8 +28,12 @@ def traffic_light(ai_likeness: Column) -> Column:
 
 
 def percent(score: Column) -> Column:
-    """Whole percent, half rounds up."""
-    return round_half_up(clamp01(score) * 100)
+    """Whole percent, half rounds up.
+
+    The ninth digit is settled first, so a score that sits on a half does not change with
+    the order in which a partitioned sum added its terms.
+    """
+    return round_half_up(F.round(clamp01(score), 9) * 100)
 
 
 def percent2(score: Column) -> Column:

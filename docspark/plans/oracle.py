@@ -99,7 +99,7 @@ def score_ctes(source: str, keys: str, text: str, prefix: str = "", extra: str =
 
 
 def percent(expr: str) -> str:
-    return f"CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {expr})) * 100 + 0.5::DOUBLE) AS INTEGER)"
+    return f"CAST(floor(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {expr})), 9) * 100 + 0.5::DOUBLE) AS INTEGER)"
 
 
 def draw(*parts: str) -> str:
