@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import labels, stylometry
-from docspark.operators import detect, segment
+from docspark.operators import detect, scorers, segment
 from docspark.plans import oracle
 from docspark.plans.registry import Tables, query
 
@@ -201,3 +201,23 @@ def neutral_labels(t: Tables):
         labels.label_by_threshold(F.col("h"), "accuracy").alias("accuracy"),
         labels.percent(labels.neutral(F.col("h"))).alias("score_percent"),
     )
+
+
+@query(
+    "external_scorer",
+    """
+SELECT doc_id, CASE WHEN NOT contains(text, 'token = ') THEN
+    len(regexp_extract_all(text, '[aeiou]')) / greatest(length(text), 1) END AS score,
+  CASE WHEN contains(text, 'token = ') THEN 'scoring_failed' END AS error FROM documents""",
+)
+def external_scorer(t: Tables):
+    """An external model (share of plain vowels) that refuses texts holding a token."""
+    def load_model():
+        def score(texts):
+            if any("token = " in x for x in texts):
+                raise ValueError("refused")
+            return [sum(x.count(v) for v in "aeiou") / max(1, len(x)) for x in texts]
+
+        return score
+
+    return scorers.score_with(t.texts, load_model)
