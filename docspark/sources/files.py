@@ -35,7 +35,7 @@ def write_blobs(df: DataFrame, path: str) -> None:
 def read_txt(spark: SparkSession, prefix: str) -> DataFrame:
     """(path, text): one row per UTF-8 text file."""
     return (
-        spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(prefix)
+        spark.read.text(prefix, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
