@@ -13,6 +13,8 @@ from docspark.functions.expr import draw, draw_int, let, strip
 from docspark.functions.stylometry import sentences_of
 
 TOKEN = r"[\p{L}']+|[^\p{L}']+"
+PIECE = r"[\p{L}']+[^\p{L}']*|[^\p{L}']+"
+WORD_HEAD = r"^([\p{L}']*)"
 
 
 def tokens_of(text: Column) -> Column:
@@ -107,7 +109,7 @@ def normalize_punctuation(text: Column) -> Column:
     return F.regexp_replace(out, r"``\s*(.+?)\s*''", '"$1"')
 
 
-def with_transitions(text: Column, p_trans: float, *keys: Column | str | int) -> Column:
+def with_transitions(text: Column, p_trans: Column | float, *keys: Column | str | int) -> Column:
     """Prefix sentences with a drawn transition with probability ``p_trans``."""
     transitions = F.array(*[F.lit(t) for t in fixed.TRANSITIONS])
 
@@ -120,7 +122,7 @@ def with_transitions(text: Column, p_trans: float, *keys: Column | str | int) ->
     return F.array_join(F.transform(sentences_of(text), opened), " ")
 
 
-def with_line_transitions(text: Column, p_trans: float, *keys: Column | str | int) -> Column:
+def with_line_transitions(text: Column, p_trans: Column | float, *keys: Column | str | int) -> Column:
     """As :func:`with_transitions`, line by line, blank lines left alone."""
     lines = F.transform(
         F.split(text, "\n"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docspark.functions import stylometry
 from docspark.functions.expr import let
 from docspark.operators.skew import balanced_join
+from docspark.session import cut_lineage
 
 END = ""
 
@@ -92,14 +93,15 @@ def cross_perplexity(docs: DataFrame, observer: DataFrame, performer: DataFrame
                      min_tokens: int = 64, max_tokens: int | None = None, median: bool = False) -> DataFrame:
     """Score every document; ``performer`` defaults to the scored documents themselves.
 
-    Documents below ``min_tokens`` are marked not scorable and get a null score.
+    The fitted counts are written once and read by every later step, so the corpus is
+    tokenised twice in all: to fit and to score. Documents below ``min_tokens`` are marked not scorable and get a null score.
     """
-    counts = fit_counts(observer, docs if performer is None else performer)
+    counts = cut_lineage(fit_counts(observer, docs if performer is None else performer))
     stream = bigram_rows(docs, key, max_tokens=max_tokens)
     if performer is None and max_tokens is None:
         usage = counts.select("ctx", "tok", F.col("nq").alias("n"))
     else:
-        usage = stream.groupBy("ctx", "tok").agg(F.count("*").alias("n"))
+        usage = cut_lineage(stream.groupBy("ctx", "tok").agg(F.count("*").alias("n")))
     scored = balanced_join(stream, bigram_model(counts, add_k, temperature), ["ctx", "tok"], usage, [key])
     middle = F.median if median else F.avg
     per_doc = scored.groupBy(key).agg(

@@ -11,6 +11,7 @@ from docspark.functions import fixed, labels, stylometry
 from docspark.functions.expr import let, prefix_sums, total
 from docspark.operators.segment import chunks_of, paragraphs_of
 from docspark.operators.skew import balanced_join
+from docspark.session import cut_lineage
 
 Scorer = Callable[[Column], Column]
 
@@ -181,14 +182,12 @@ def dedup_scoring(df: DataFrame, scorer: Scorer = stylometry.fast_score, key: st
                   text_col: str = "text") -> DataFrame:
     """Score each distinct text once and hand the score to all its copies.
 
-    Copies are folded map-side before the shuffle, and the join back spreads any text that
-    owns a large share of the rows.
+    Copies are folded map-side before the shuffle, the narrow score table is written once,
+    and the join back spreads any text that owns a large share of the rows.
     """
     hashed = df.select(key, F.sha2(text_col, 256).alias("text_hash"))
     distinct = df.groupBy(F.sha2(text_col, 256).alias("text_hash")).agg(
-        F.first(text_col).alias("_text"), F.count("*").alias("n")
-    )
-    scored = distinct.select("text_hash", "n", scorer(F.col("_text")).alias("ai_likeness"))
-    return balanced_join(
-        hashed, scored.withColumnRenamed("n", "copies"), ["text_hash"], distinct.select("text_hash", "n"), [key]
+        F.first(text_col).alias("_text"), F.count("*").alias("copies")
     )
+    scored = cut_lineage(distinct.select("text_hash", "copies", scorer(F.col("_text")).alias("ai_likeness")))
+    return balanced_join(hashed, scored, ["text_hash"], scored, [key], count_col="copies")

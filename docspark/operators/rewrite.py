@@ -14,6 +14,7 @@ from docspark.functions.expr import draw, draw_int, let, strip
 from docspark.functions.stylometry import sentences_of
 from docspark.operators.segment import tokenize_counts
 from docspark.operators.skew import balanced_join
+from docspark.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
 GAP_KEYS = 4096
@@ -52,8 +53,10 @@ def section_gate(paras: DataFrame, key: str = "doc_id", order: str = "para_idx")
     joined to it with long documents spread over several partitions.
     """
     marked = paras.withColumn("_heading", is_section_heading(F.col("text")))
-    starts = marked.groupBy(key).agg(
-        F.min(F.when(F.col("_heading"), F.col(order))).alias("_start"), F.count("*").alias("n")
+    starts = cut_lineage(
+        marked.groupBy(key).agg(
+            F.min(F.when(F.col("_heading"), F.col(order))).alias("_start"), F.count("*").alias("n")
+        )
     )
     gated = balanced_join(
         marked, starts.select(key, "_start"), [key], starts.select(key, "n"), [order], how="inner"
@@ -83,26 +86,37 @@ def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def _lookup(tokens: DataFrame, lexicon: DataFrame, spread: list[str]) -> DataFrame:
     """Tokens with their lexicon entry. Tokens that cannot match get throw-away keys that spread evenly."""
-    eligible = (F.length("token") > 3) & F.col("token").rlike(r"^[\p{L}']")
     keyed = tokens.withColumn(
         "word",
-        F.when(eligible, F.lower("token")).otherwise(
+        F.when(F.length("token") > 3, F.lower("token")).otherwise(
             F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread), F.lit(GAP_KEYS)).cast("string"))
         ),
     )
     if is_bounded(lexicon):
         return keyed.join(F.broadcast(lexicon), "word", "left")
-    counts = keyed.groupBy("word").agg(F.count("*").alias("n"))
+    counts = cut_lineage(keyed.groupBy("word").agg(F.count("*").alias("n")))
     return balanced_join(keyed, lexicon, ["word"], counts, spread)
 
 
-def _chosen(p_syn: float, *keys: Column | str | int, pos: Column, token: Column, word_class: Column,
+def _chosen(p_syn: Column | float, *keys: Column | str | int, pos: Column, token: Column, word_class: Column,
             synonyms: Column) -> Column:
-    chance = F.when(word_class.isin(fixed.BOOSTED_POS), p_syn * 1.3).when(
+    chance = F.when(word_class.isin(fixed.BOOSTED_POS), F.lit(p_syn) * F.lit(1.3)).when(
         word_class.isin(fixed.PLAIN_POS), p_syn
     ).otherwise(0.0)
     picked = F.get(synonyms, (draw_int(*keys, "pick", pos) % F.greatest(F.size(synonyms), F.lit(1))).cast("int"))
-    return F.when(draw(*keys, "swap", pos) < chance, F.coalesce(picked, token)).otherwise(token)
+    drawn = (chance > 0) & (draw(*keys, "swap", pos) < chance)
+    return F.when(drawn, F.coalesce(picked, token)).otherwise(token)
+
+
+def _pieces(text: Column) -> Column:
+    """Array of struct(token, gap): words with the gap that follows them, so half the rows of single tokens."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(wording.PIECE), F.lit(0)),
+        lambda p: let(
+            F.regexp_extract(p, wording.WORD_HEAD, 1),
+            lambda w: F.struct(w.alias("token"), F.substring(p, F.length(w) + 1, F.length(p)).alias("gap")),
+        ),
+    )
 
 
 def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed: int = 0, key: str = "doc_id",
@@ -113,8 +127,8 @@ def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed
         return df
     tokens = df.select(
         key, F.struct(*others).alias("_rest") if others else F.lit(None).cast("int").alias("_rest"),
-        F.posexplode_outer(wording.tokens_of(F.col(text_col))).alias("pos", "token"),
-    ).withColumn("_rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_rest")))
+        F.posexplode_outer(_pieces(F.col(text_col))).alias("pos", "piece"),
+    ).select(key, "_rest", "pos", "piece.*").withColumn("_rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_rest")))
     found = _lookup(tokens, lexicon, [key, "pos"])
     swapped = found.withColumn(
         "token",
@@ -122,7 +136,9 @@ def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed
                 synonyms=F.col("synonyms")),
     )
     rows = swapped.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))).alias("_t"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.concat("token", "gap").alias("token"))))
+        ).alias("_t"),
         F.first("_rest", ignorenulls=True).alias("_rest"),
     )
     joined = F.array_join(F.transform("_t", lambda t: t["token"]), "").alias(text_col)
@@ -192,50 +208,57 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
     ).withColumn("_c", wording.extract_citations(F.col("_core")))
     tokens = core.select(
         "_key",
-        F.posexplode_outer(wording.tokens_of(wording.expand_contractions(F.col("_c.text")))).alias("pos", "token"),
+        F.posexplode_outer(_pieces(wording.expand_contractions(F.col("_c.text")))).alias("pos", "piece"),
         "_node", "_core", F.col("_c.refs").alias("_refs"),
     )
     first = F.coalesce("pos", F.lit(0)) == 0
     slim = tokens.select(
-        "_key", "pos", "token", F.when(first, F.struct("_node", "_core", "_refs")).alias("_rest")
+        "_key", "pos", "piece.*", F.when(first, F.struct("_node", "_core", "_refs")).alias("_rest")
     )
     found = _lookup(slim, lexicon, ["_key", "pos"])
     grouped = found.groupBy("_key").agg(
         F.sort_array(
             F.collect_list(
-                F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "word_class", "synonyms"))
+                F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "gap", "word_class", "synonyms"))
             )
         ).alias("_t"),
         F.first("_rest", ignorenulls=True).alias("_rest"),
     ).select("_key", "_t", "_rest.*")
 
-    def candidate(level: tuple[float, float], attempt: int) -> Column:
-        p_syn, p_trans = level
-        keys = (seed, F.col("_key"), attempt)
+    def candidate(node: Column, attempt: Column) -> Column:
+        keys = (seed, node["key"], attempt["n"])
         text = F.array_join(
             F.transform(
-                "_t",
-                lambda t: _chosen(p_syn, *keys, pos=t["pos"], token=t["token"], word_class=t["word_class"],
-                                  synonyms=t["synonyms"]),
+                node["tokens"],
+                lambda t: F.concat(
+                    _chosen(attempt["p_syn"], *keys, pos=t["pos"], token=t["token"], word_class=t["word_class"],
+                            synonyms=t["synonyms"]),
+                    t["gap"],
+                ),
             ),
             "",
         )
-        opened = let(text, lambda x: wording.with_line_transitions(x, p_trans, *keys))
-        final = let(
-            wording.normalize_punctuation(wording.restore_citations(opened, F.col("_refs"))), lambda x: x
-        )
+        opened = let(text, lambda x: wording.with_line_transitions(x, attempt["p_trans"], *keys))
+        final = wording.normalize_punctuation(wording.restore_citations(opened, node["refs"]))
         return let(
             final,
-            lambda c: F.when(c.rlike(r"\S") & wording.length_ratio_ok(F.col("_core"), c),
-                             wording.restore_numbers(F.col("_core"), c)),
+            lambda c: F.when(c.rlike(r"\S") & wording.length_ratio_ok(node["core"], c),
+                             wording.restore_numbers(node["core"], c)),
         )
 
-    tries = [
-        candidate(level, n * attempts + k)
-        for n, level in enumerate(fixed.REWRITE_LEVELS)
+    tries = F.array(*[
+        F.struct(F.lit(i * attempts + k).alias("n"), F.lit(p_syn).alias("p_syn"), F.lit(p_trans).alias("p_trans"))
+        for i, (p_syn, p_trans) in enumerate(fixed.REWRITE_LEVELS)
         for k in range(attempts)
-    ]
-    offered = grouped.select("_key", "_node", "_core", F.array(*tries).alias("_candidates"))
+    ])
+    node = F.struct(
+        F.col("_key").alias("key"), F.col("_t").alias("tokens"), F.col("_core").alias("core"),
+        F.col("_refs").alias("refs"),
+    )
+    offered = grouped.select(
+        "_key", "_node", "_core",
+        let(node, lambda n: F.transform(tries, lambda attempt: candidate(n, attempt))).alias("_candidates"),
+    )
     judged = offered.withColumn("attempt", wording.first_changed_enough()(F.col("_core"), F.col("_candidates")))
     accepted = F.get("_candidates", F.col("attempt"))
     styled = wording.preserve_whitespace_shell(

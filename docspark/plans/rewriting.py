@@ -20,6 +20,7 @@ CLASSES = ["ADJ", "ADV", "NOUN", "VERB", "OTHER"]
 CIT = fixed.CITATION_PATTERN
 MARK = fixed.PLACEHOLDER_PATTERN
 TOKEN_SQL = r"[\p{L}'']+|[^\p{L}'']+"
+PIECE_SQL = r"[\p{L}'']+[^\p{L}'']*|[^\p{L}'']+"
 
 
 def lexicon(t: Tables) -> DataFrame:
@@ -112,11 +113,12 @@ def opened_lines_sql(text: str, p: float, *keys: str) -> str:
 def synonyms_ctes(source: str, seed: int, p: float, key: str = "doc_id") -> str:
     keys = (f"'{seed}'", key)
     return f"""
-tok AS (SELECT {key}, u.i - 1 AS pos, u.x AS token
-  FROM {source}, unnest(regexp_extract_all(work, '{TOKEN_SQL}')) WITH ORDINALITY AS u(x, i)),
+tok AS (SELECT {key}, u.i - 1 AS pos, regexp_extract(u.x, '^([\p{{L}}'']*)', 1) AS token,
+  regexp_extract(u.x, '^[\p{{L}}'']*(.*)$', 1, 's') AS gap
+  FROM {source}, unnest(regexp_extract_all(work, '{PIECE_SQL}')) WITH ORDINALITY AS u(x, i)),
 swp AS (SELECT {key}, pos, CASE WHEN {oracle.draw(*keys, "'swap'", 'pos')} < CASE
     WHEN word_class IN ('ADJ', 'ADV') THEN {p}::DOUBLE * 1.3::DOUBLE WHEN word_class IN ('NOUN', 'VERB') THEN {p}::DOUBLE
-    ELSE 0.0::DOUBLE END THEN synonyms[{oracle.draw_int(*keys, "'pick'", 'pos')} % 3 + 1] ELSE token END AS token
+    ELSE 0.0::DOUBLE END THEN synonyms[{oracle.draw_int(*keys, "'pick'", 'pos')} % 3 + 1] ELSE token END || gap AS token
   FROM tok LEFT JOIN lexicon ON lexicon.word = lower(token) AND length(token) > 3),
 syn AS (SELECT {key}, string_agg(token, '' ORDER BY pos) AS work FROM swp GROUP BY {key})"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import stylometry
+from docspark.functions.expr import let
 from docspark.operators import segment
 from docspark.plans import oracle
 from docspark.plans.registry import Tables, query
@@ -110,10 +111,20 @@ SELECT gram, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGIN
 GROUP BY gram""",
 )
 def word_ngrams(t: Tables):
-    """Corpus counts of word 3-grams: per-document counts first, so a gram repeated in one text travels once."""
-    grams = segment.word_ngrams(t.texts)
-    per_doc = grams.select("doc_id", F.explode("ngrams").alias("gram")).groupBy("doc_id", "gram").count()
-    return per_doc.groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("n_docs"))
+    """Corpus counts of word 3-grams in one shuffle.
+
+    Sorting a document's grams in its row marks their first occurrences, so the number of
+    documents is a plain sum and needs no distinct.
+    """
+    grams = segment.word_ngrams(t.texts).select(F.array_sort("ngrams").alias("g"))
+    marked = let(
+        F.col("g"),
+        lambda g: F.transform(
+            g, lambda x, i: F.struct(x.alias("gram"), F.get(g, i - 1).eqNullSafe(x).alias("again"))
+        ),
+    )
+    rows = grams.select(F.explode(marked).alias("m")).select("m.*")
+    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.count_if(~F.col("again")).alias("n_docs"))
 
 
 @query(

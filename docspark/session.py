@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +32,37 @@ def get_session(app: str = "docspark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables, one sub-folder per application.
 
-    The folder comes from ``spark.checkpoint.dir``. A machine-local one is chosen only in
+    The cluster names it in ``spark.checkpoint.dir``. A machine-local one is chosen only in
     local mode (tests); on a cluster an unset folder is an error, because lost executors
     could not recover from it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            configured = tempfile.mkdtemp(prefix="docspark-checkpoint-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = _local_folder()
+    return f"{folder.rstrip('/')}/docspark/{context.applicationId}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="docspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used where one result feeds several branches of a plan: the branches then share the
+    table instead of recomputing it, the planner knows its size, and a lost executor costs
+    nothing upstream.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
