@@ -15,6 +15,7 @@ from docspark.functions.stylometry import sentences_of
 from docspark.operators.segment import tokenize_counts
 from docspark.operators.skew import balanced_join
 from docspark.session import cut_lineage
+from docspark.sources.tables import keep_partitions
 
 BROADCAST_ROWS = 200_000
 GAP_KEYS = 4096
@@ -215,7 +216,7 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
     slim = tokens.select(
         "_key", "pos", "piece.*", F.when(first, F.struct("_node", "_core", "_refs")).alias("_rest")
     )
-    found = _lookup(slim, lexicon, ["_key", "pos"])
+    found = keep_partitions(_lookup(slim, lexicon, ["_key", "pos"]), "_key")
     grouped = found.groupBy("_key").agg(
         F.sort_array(
             F.collect_list(

@@ -82,11 +82,31 @@ def word_ngrams(df: DataFrame, n: int = 3, text_col: str = "text") -> DataFrame:
     return df.withColumn("ngrams", stylometry.ngrams_of(lowered, n))
 
 
-def segment_offsets(df: DataFrame, separator_chars: int, key: str = "doc_id") -> DataFrame:
-    """Running start and end offset of each segment; ``separator_chars`` lie between segments."""
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("segment") + separator_chars).over(before), F.lit(0).cast("bigint"))
-    return df.withColumn("start_index", start).withColumn("end_index", F.col("start_index") + F.length("segment"))
+OFFSET_BLOCK = 1024
+
+
+def segment_offsets(df: DataFrame, separator_chars: int, key: str = "doc_id", block: int = OFFSET_BLOCK) -> DataFrame:
+    """Running start and end offset of each segment; ``separator_chars`` lie between segments.
+
+    Runs inside blocks of ``block`` positions; each block starts at the total width of the
+    blocks before it, so no task has to hold all segments of one document.
+    """
+    placed = df.withColumn("_block", F.floor(F.col("pos") / block)).withColumn(
+        "_width", (F.length("segment") + separator_chars).cast("bigint")
+    )
+    earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(key, "_block").agg(F.sum("_width").alias("_sum")).select(
+        key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
+    )
+    inside = W.partitionBy(key, "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum("_width").over(inside), F.lit(0)))
+    start = F.col("_base") + F.col("_local")
+    return (
+        local.join(starts, [key, "_block"])
+        .withColumn("start_index", start)
+        .withColumn("end_index", F.col("start_index") + F.length("segment"))
+        .select(*df.columns, "start_index", "end_index")
+    )
 
 
 def with_rejection(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -47,13 +47,16 @@ def stale_assemblies(parts: DataFrame, now: Column, idle_seconds: int = fixed.ST
 def concatenate_parts(parts: DataFrame, data_col: str = "data") -> DataFrame:
     """Part contents in index order per upload; a missing index is an error, not a short file.
 
-    Indexes may start at 0 or 1.
+    Indexes may start at 0 or 1. Copies of a part are folded first, so a list never holds
+    more than the parts of one upload.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("part_index", data_col)))
-    grouped = parts.groupBy("multipart_id").agg(
-        ordered.alias("_p"),
+    once = parts.groupBy("multipart_id", "part_index").agg(
+        F.max(data_col).alias(data_col), F.max("total_parts").alias("total_parts")
+    )
+    grouped = once.groupBy("multipart_id").agg(
+        F.sort_array(F.collect_list(F.struct("part_index", data_col))).alias("_p"),
         F.max("total_parts").alias("total_parts"),
-        F.count_distinct("part_index").alias("distinct_parts"),
+        F.count("*").alias("distinct_parts"),
         F.min("part_index").alias("first_index"),
         F.max("part_index").alias("last_index"),
     )
@@ -124,18 +127,16 @@ def number_duplicates(files: DataFrame, existing: DataFrame | None = None, dir_c
     slices = placed.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
     ).drop("_n")
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = placed.withColumn("_r", F.row_number().over(inside)).join(slices, [*keys, "_slice"])
-    offset = F.lit(0)
     if existing is not None:
         taken = existing.groupBy(*keys).agg(F.count("*").alias("_taken"))
-        ranked = ranked.join(taken, keys, "left")
-        offset = F.coalesce("_taken", F.lit(0))
-    k = (F.col("_before") + F.col("_r") - 1 + offset).cast("int")
+        slices = slices.join(taken, keys, "left").withColumn("_before", F.col("_before") + F.coalesce("_taken", F.lit(0)))
+        slices = slices.drop("_taken")
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    ranked = placed.withColumn("_r", F.row_number().over(inside)).join(slices, [*keys, "_slice"])
+    k = (F.col("_before") + F.col("_r") - 1).cast("int")
     base, ext = naming.split_name(F.col(name_col))
     final = F.when(k == 0, F.col(name_col)).otherwise(F.concat(base, F.lit("("), k.cast("string"), F.lit(")"), ext))
-    dropped = ["_slice", "_before", "_r"] + (["_taken"] if existing is not None else [])
-    return ranked.withColumn("final_name", final).drop(*dropped)
+    return ranked.withColumn("final_name", final).drop("_slice", "_before", "_r")
 
 
 FILENAME_STRATEGIES = {}

@@ -136,17 +136,17 @@ def truncate_body(t: Tables):
 @query(
     "first_headers",
     """
-SELECT o_custkey, CAST(count(*) AS BIGINT) AS headers, CAST(least(count(*), 50) AS INTEGER) AS kept FROM (
-  SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY o_custkey""",
+SELECT doc_id, CAST(n AS INTEGER) AS headers, CAST(least(n, 50) AS INTEGER) AS kept FROM (
+  SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS n FROM documents)""",
 )
 def first_headers(t: Tables):
-    """Header maps cut to 50 entries: each customer's orders as headers."""
-    heads = t.orders.groupBy("o_custkey").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("k"),
-                                                   F.col("o_orderstatus").alias("v")))).alias("h")
+    """Header maps cut to 50 entries: each document's distinct words as header names."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    heads = t.texts.select("doc_id", words.alias("w")).select(
+        "doc_id", F.map_from_arrays("w", F.transform("w", F.length)).alias("h")
     )
     return heads.select(
-        "o_custkey", F.size("h").cast("bigint").alias("headers"), F.size(logs.first_headers(F.col("h"))).alias("kept")
+        "doc_id", F.size("h").alias("headers"), F.size(logs.first_headers(F.col("h"))).alias("kept")
     )
 
 

@@ -112,7 +112,7 @@ def opened_lines_sql(text: str, p: float, *keys: str) -> str:
 
 def synonyms_ctes(source: str, seed: int, p: float, key: str = "doc_id") -> str:
     keys = (f"'{seed}'", key)
-    return f"""
+    return rf"""
 tok AS (SELECT {key}, u.i - 1 AS pos, regexp_extract(u.x, '^([\p{{L}}'']*)', 1) AS token,
   regexp_extract(u.x, '^[\p{{L}}'']*(.*)$', 1, 's') AS gap
   FROM {source}, unnest(regexp_extract_all(work, '{PIECE_SQL}')) WITH ORDINALITY AS u(x, i)),

@@ -80,6 +80,15 @@ def test_report_offsets_and_weights(docs):
         assert row.overall_score == pytest.approx(weighted / size if size else 0.5)
 
 
+def test_offsets_across_blocks(spark):
+    lengths = [(i * 5) % 17 + 1 for i in range(50)]
+    df = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate(lengths)], "doc_id bigint, pos int, segment string")
+    for block in (1, 7, 1024):
+        got = segment.segment_offsets(df, 2, block=block).orderBy("pos").collect()
+        assert [r.start_index for r in got] == [sum(lengths[:i]) + 2 * i for i in range(50)]
+        assert all(r.end_index - r.start_index == len(r.segment) for r in got)
+
+
 def test_orientation(docs):
     plain = {r.doc_id: r for r in detect.fast_detect(docs).collect()}
     flipped = {r.doc_id: r for r in detect.fast_detect(docs, inverted_output=True).collect()}
