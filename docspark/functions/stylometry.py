@@ -14,7 +14,7 @@ from docspark.functions.expr import clamp01, let, total
 
 WORD = r"[A-Za-z']+"
 SENTENCE_GAP = r"(?<=[.!?])\s+"
-PUNCTUATION = r"[.,;:!?]"
+PUNCTUATION = ".,;:!?"
 FEATURES = [
     "ttr", "avg_word_len", "stop_ratio", "mean_len", "var_len", "punct_density", "upper_ratio", "rep_ratio",
 ]
@@ -57,9 +57,14 @@ def ngrams_of(words: Column, n: int = 3) -> Column:
 
 
 def measure(window: Column) -> Column:
-    """Tokens and sentence lengths of one window."""
+    """Tokens, sentence lengths and character counts of one window.
+
+    Characters are counted by the length they leave behind, which builds no match lists.
+    """
     return F.struct(
-        window.alias("text"),
+        F.length(window).alias("chars"),
+        (F.length(window) - F.length(F.translate(window, PUNCTUATION, ""))).alias("punctuation"),
+        F.length(F.regexp_replace(window, r"[^\p{Lu}]+", "")).alias("capitals"),
         F.transform(words_of(window), F.lower).alias("words"),
         F.transform(sentences_of(window), lambda s: F.regexp_count(s, F.lit(WORD))).alias("sentence_words"),
     )
@@ -69,7 +74,7 @@ def features_of(measured: Column) -> Column:
     """The eight features of one measured window."""
     words = measured["words"]
     n_words = F.greatest(F.size(words), F.lit(1))
-    n_chars = F.greatest(F.length(measured["text"]), F.lit(1))
+    n_chars = F.greatest(measured["chars"], F.lit(1))
     lengths = F.when(F.size(measured["sentence_words"]) > 0, measured["sentence_words"]).otherwise(F.array(n_words))
     mean_len = total(lengths) / F.size(lengths)
     variance = let(
@@ -86,8 +91,8 @@ def features_of(measured: Column) -> Column:
         (F.size(F.filter(words, lambda w: w.isin(fixed.STOPWORDS))) / n_words).alias("stop_ratio"),
         mean_len.alias("mean_len"),
         variance.alias("var_len"),
-        (F.regexp_count(measured["text"], F.lit(PUNCTUATION)) / n_chars).alias("punct_density"),
-        (F.regexp_count(measured["text"], F.lit(r"\p{Lu}")) / n_chars).alias("upper_ratio"),
+        (measured["punctuation"] / n_chars).alias("punct_density"),
+        (measured["capitals"] / n_chars).alias("upper_ratio"),
         repetition.alias("rep_ratio"),
     )
 
