@@ -45,15 +45,13 @@ def client_ip(forwarded_for: Column, remote: Column) -> Column:
     return F.coalesce(nullif_empty(strip(F.get(F.split(forwarded_for, ","), F.lit(0)))), remote)
 
 
-_SENSITIVE_SCALAR = (
-    r'(?i)("(?:' + "|".join(fixed.SENSITIVE_KEYS) + r')"\s*:\s*)'
-    r'("(?:[^"\\]|\\.)*"|-?\d[\d.eE+\-]*|true|false|null)'
-)
-_SENSITIVE_NESTED = r'(?i)"(?:' + "|".join(fixed.SENSITIVE_KEYS) + r')"\s*:\s*[\[{]'
-_FLAT_NESTED = (
-    r'(?i)("(?:' + "|".join(fixed.SENSITIVE_KEYS) + r')"\s*:\s*)'
-    r'(?:\{(?:[^{}\[\]"]|"(?:[^"\\]|\\.)*")*\}|\[(?:[^{}\[\]"]|"(?:[^"\\]|\\.)*")*\])'
-)
+# Possessive loops: they match the same strings but do not recurse, whatever the length.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_FLAT = r'(?:[^{}\[\]"]|' + _STRING + ")*+"
+_KEY = r'(?i)("(?:' + "|".join(fixed.SENSITIVE_KEYS) + r')"\s*:\s*)'
+_SENSITIVE_SCALAR = _KEY + "(?:" + _STRING + r"|-?\d[\d.eE+\-]*|true|false|null)"
+_SENSITIVE_FLAT = _KEY + r"(?:\{" + _FLAT + r"\}|\[" + _FLAT + r"\])"
+_SENSITIVE_NESTED = _KEY + r"[\[{]"
 
 
 def redact_sensitive_json(body: Column) -> Column:
@@ -63,7 +61,7 @@ def redact_sensitive_json(body: Column) -> Column:
     a body whose sensitive value nests deeper is parsed instead (rare, Arrow-batched).
     """
     masked = F.regexp_replace(body, _SENSITIVE_SCALAR, '$1"' + fixed.REDACTED + '"')
-    masked = F.regexp_replace(masked, _FLAT_NESTED, '$1"' + fixed.REDACTED + '"')
+    masked = F.regexp_replace(masked, _SENSITIVE_FLAT, '$1"' + fixed.REDACTED + '"')
     return masked
 
 

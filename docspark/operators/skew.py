@@ -24,11 +24,16 @@ def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], counts: Dat
     """Equi-join where hot keys of ``big`` are spread over SALTS partitions.
 
     ``counts`` holds rows per key of ``big`` (``count_col``); ``spread`` names columns of
-    ``big`` that vary inside a key. Only the few hot rows of ``small`` are replicated.
+    ``big`` that vary inside a key. Only the few hot rows of ``small`` are replicated. Rows
+    with a null key match nothing and are spread in the same way.
     """
     hot = hot_keys(counts, keys, count_col).withColumn("_hot", F.lit(True))
+    unmatched = F.lit(False)
+    for key in keys:
+        unmatched = unmatched | F.col(key).isNull()
     salted_big = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        "_salt",
+        F.when(F.col("_hot") | unmatched, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
     ).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted_small = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")

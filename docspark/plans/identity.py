@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from docspark.operators import identity, redact
 from docspark.plans import oracle, views
 from docspark.plans.registry import Tables, query
+from docspark.session import cut_lineage
+from docspark.sources import docx
 
 EDGE = r"(?:^|[^\p{L}\p{N}_])"
 EDGE_END = r"(?:$|[^\p{L}\p{N}_])"
@@ -522,3 +524,39 @@ def bullet_nodes(t: Tables):
         F.count_if("symbol_font").alias("symbol_runs"),
         F.count("*").alias("nodes"),
     )
+
+
+@query(
+    "docx_roundtrip",
+    f"WITH {views.ID_DOCS}"
+    + """
+SELECT 'doc' || doc_id || '.docx' AS path, text FROM id_docs""",
+)
+def docx_roundtrip(t: Tables):
+    """Texts written as DOCX packages and read back, one paragraph per line."""
+    texts = views.id_docs(t).select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text"
+    )
+    return docx.docx_text(docx.read_docx_nodes(docx.text_to_docx(texts)))
+
+
+@query(
+    "docx_redaction",
+    WITH_IDS + found_ctes("id_docs") + "," + REDACTED
+    + "\nSELECT 'doc' || doc_id || '.docx' AS path, redacted_text AS text FROM red",
+)
+def docx_redaction(t: Tables):
+    """DOCX packages whose nodes are redacted with the values found in the whole text, then read back.
+
+    Values never cross a line here, so the result equals the redacted text.
+    """
+    path = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    docs = views.id_docs(t).select("doc_id", path.alias("path"), "text")
+    blobs = cut_lineage(docx.text_to_docx(docs))
+    found = identity.extract_identity(docs).select(
+        "path", F.col("detected_name").alias("name"), F.col("detected_roll_no").alias("roll_no")
+    )
+    redacted = redact.redact_with(docx.read_docx_nodes(blobs), found, key="path").select(
+        "path", "node_idx", F.col("redacted_text").alias("text")
+    )
+    return docx.docx_text(docx.read_docx_nodes(docx.write_docx_parts(blobs, redacted)))

@@ -355,3 +355,25 @@ def projected_field(t: Tables):
         .otherwise(F.lit('{"other": 1}'))
     )
     return t.events.select("event_id", rewrite.projected_text(body).alias("text"))
+
+
+@query(
+    "edit_similarity",
+    r"""
+SELECT conv_id, turn, round(1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)), 8) AS similarity,
+  1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)) <= 0.75 AS changed_enough
+FROM (SELECT conv_id, turn, a, regexp_replace(a, '(en|th|ou|la)', CASE WHEN turn % 2 = 0 THEN 'xx' ELSE '' END, 'g') AS b
+  FROM (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '-', 'g') AS a FROM conversations))""",
+)
+def edit_similarity(t: Tables):
+    """Native similarity of each turn to a changed copy, against the acceptance bound."""
+    plain = spread(t.conversations).select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "-").alias("a"))
+    pairs = plain.withColumn(
+        "b",
+        F.regexp_replace("a", F.lit("(en|th|ou|la)"), F.when(F.col("turn") % 2 == 0, "xx").otherwise("")),
+    )
+    scored = pairs.select("conv_id", "turn", wording.edit_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    return scored.select(
+        "conv_id", "turn", F.round("similarity", 8).alias("similarity"),
+        (F.col("similarity") <= fixed.MAX_SIMILARITY).alias("changed_enough"),
+    )

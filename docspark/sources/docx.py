@@ -164,3 +164,53 @@ def write_docx_parts(blobs: DataFrame, nodes: DataFrame, text_col: str = "text")
     )
     joined = blobs.select("path", "content").join(texts, "path", "left")
     return joined.mapInPandas(_part_writer(), "path string, content binary")
+
+
+def _package_builder():
+    def build(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pandas as pd
+
+        namespace = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        types = (
+            '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/'
+            'content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.'
+            'relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.'
+            'openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+        )
+        relations = (
+            '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/'
+            '2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+            'relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+        )
+        emphasis = '<w:rPr><w:b/><w:color w:val="FF0000"/></w:rPr>'
+
+        def package(text):
+            body = "".join(
+                f"<w:p><w:r>{emphasis if '[REDACTED]' in line else ''}"
+                f'<w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>'
+                for line in text.split("\n")
+            )
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("[Content_Types].xml", types)
+                z.writestr("_rels/.rels", relations)
+                z.writestr(
+                    "word/document.xml",
+                    f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{namespace}"><w:body>{body}'
+                    "</w:body></w:document>",
+                )
+            return out.getvalue()
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "content": [package(t) for t in batch["text"]]})
+
+    return build
+
+
+def text_to_docx(df: DataFrame) -> DataFrame:
+    """(path, text) to (path, content): a new package per text, one paragraph per line, placeholders in bold red."""
+    return df.select("path", "text").mapInPandas(_package_builder(), "path string, content binary")

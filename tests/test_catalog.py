@@ -93,6 +93,13 @@ def test_json_redaction(spark):
         assert row.body == cases[row.raw]
 
 
+def test_json_redaction_of_long_strings(spark):
+    long = "x\\\\n" * 100_000
+    df = spark.createDataFrame([(f'{{"a":"{long}","token":"{long}","b":{{"secret":["{long}"]}}}}',)], "body string")
+    assert logs.redact_json_bodies(df).first().body == (
+        f'{{"a":"{long}","token":"[REDACTED]","b":{{"secret":"[REDACTED]"}}}}')
+
+
 def test_truncation(spark):
     assert value(spark, lambda c: logs.truncate_body(c, 5), '"abcdef"') == '"abcd...(+3 more)'
     assert value(spark, lambda c: logs.truncate_body(c, 50), "{broken") is None
