@@ -13,4 +13,5 @@ from docspark.plans import (  # noqa: F401
     uploads,
     users,
 )
+from docspark.plans import streams  # noqa: F401  (builds on the batch queries above)
 from docspark.plans.registry import QUERIES, Tables  # noqa: F401
