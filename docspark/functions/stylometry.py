@@ -6,6 +6,8 @@ document they come from, so scoring a corpus needs no shuffle at all.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,15 +117,23 @@ def score_features(avg: Column) -> Column:
 
     A document without windows (null features) gets the neutral 0.5.
     """
-    zero = F.lit(0.0)
-    raw = (
-        F.lit(0.35) * F.greatest(zero, F.lit(0.45) - avg["ttr"]) / F.lit(0.45)
-        + F.lit(0.25) * F.greatest(zero, F.lit(0.8) - F.least(F.lit(1.5), avg["var_len"])) / F.lit(0.8)
-        + F.lit(0.15) * F.least(F.lit(1.0), avg["rep_ratio"] * F.lit(3.0))
-        + F.lit(0.10) * F.least(F.lit(1.0), avg["punct_density"] * F.lit(50.0))
-        + F.lit(0.10) * F.greatest(zero, F.lit(0.22) - F.least(F.lit(0.22), avg["ttr"])) / F.lit(0.22)
-    )
-    calibrated = clamp01(F.lit(0.15) + F.lit(0.7) * clamp01(raw))
+
+    def shortfall(value: Column, limit: float) -> Column:
+        """How far below the limit, as a share of it; nothing above it."""
+        return F.greatest(F.lit(0.0), F.lit(limit) - value) / F.lit(limit)
+
+    def saturating(value: Column, scale: float) -> Column:
+        return F.least(F.lit(1.0), value * F.lit(scale))
+
+    traits = [
+        (fixed.TTR_WEIGHT, shortfall(avg["ttr"], fixed.TTR_LIMIT)),
+        (fixed.VARIANCE_WEIGHT, shortfall(F.least(F.lit(fixed.VARIANCE_CAP), avg["var_len"]), fixed.VARIANCE_LIMIT)),
+        (fixed.REPETITION_WEIGHT, saturating(avg["rep_ratio"], fixed.REPETITION_SCALE)),
+        (fixed.PUNCTUATION_WEIGHT, saturating(avg["punct_density"], fixed.PUNCTUATION_SCALE)),
+        (fixed.LOW_TTR_WEIGHT, shortfall(avg["ttr"], fixed.LOW_TTR_LIMIT)),
+    ]
+    raw = functools.reduce(lambda acc, x: acc + x, [F.lit(weight) * trait for weight, trait in traits])
+    calibrated = clamp01(F.lit(fixed.SCORE_BASE) + F.lit(fixed.SCORE_SPAN) * clamp01(raw))
     return F.when(avg["ttr"].isNull(), F.lit(fixed.NEUTRAL_SCORE)).otherwise(calibrated)
 
 

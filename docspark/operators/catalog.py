@@ -171,12 +171,7 @@ def batch_rollup(items: DataFrame, status_col: str = "status", keys: list[str] |
 
 def wrap_html(content: Column, title: str = "Document") -> Column:
     """Body content in a complete HTML document."""
-    head = (
-        '<!DOCTYPE html>\n<html lang="en">\n<head>\n  <meta charset="UTF-8">\n'
-        '  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n'
-        f"  <title>{title}</title>\n</head>\n<body>\n"
-    )
-    return F.concat(F.lit(head), content, F.lit("\n</body>\n</html>"))
+    return F.concat(F.lit(fixed.HTML_HEAD.format(title=title)), content, F.lit(fixed.HTML_TAIL))
 
 
 def extract_html_body(html: Column) -> Column:

@@ -1,8 +1,7 @@
 """Detection of a person's name and ID number in document text and text nodes.
 
 Text is scanned with native regular expressions inside the document's row; node-table
-variants are keyed by (doc_id, node_idx). Patterns use explicit ASCII/Unicode classes so
-that results do not depend on the Java version.
+variants are keyed by (doc_id, node_idx).
 """
 
 from __future__ import annotations
@@ -11,29 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docspark.functions import patterns
 from docspark.functions.expr import collapse_spaces, first_match, let, strip
 
 # --- labelled fields in running text ----------------------------------------------------
-_WORD_START = r"(?<![\p{L}\p{N}_])"
-_WORD_END = r"(?![\p{L}\p{N}_])"
-_FLAGS = "(?imd)"
-
-NAME_STOPS = ["ROLL", "PROGRAM", "SEMESTER", "COURSE"]
-NAME_STRICT = (
-    _FLAGS + _WORD_START + r"(?<!&\s)NAME\s*:\s*([A-Z][A-Za-z\s]+?)(?=\n|$"
-    + "".join(f"|{_WORD_START}{w}" for w in NAME_STOPS) + ")"
-)
-NAME_STRICT_LITERAL = r"(?imd)NAME\s*:\s*([A-Z][A-Za-z\s]+?)(?=\n|$|ROLL|PROGRAM|SEMESTER|COURSE)"
-NAME_FLEXIBLE = (
-    _FLAGS + _WORD_START + r"(?<!&\s)(?:STUDENT\s+)?NAME\s*[:\s]+\s*([A-Z][A-Za-z\s]+?)(?=\n"
-    + f"|{_WORD_START}ROLL|{_WORD_START}PROGRAM" + "|$)"
-)
-NAME_FLEXIBLE_LITERAL = r"(?imd)(?:STUDENT\s+)?NAME\s*[:\s]+\s*([A-Z][A-Za-z\s]+?)(?=\n|ROLL|PROGRAM|$)"
-ROLL_STRICT = r"(?imd)ROLL\s*(?:NUMBER|NO\.?)\s*:\s*([\d\-\s]{8,20}?)(?=\n|$|PROGRAM|COURSE|SEMESTER|STUDENT)"
-ROLL_FLEXIBLE = (
-    r"(?imd)(?:ROLL\s*(?:NUMBER|NO)|ENROLLMENT\s+(?:NUMBER|NO)|REGISTRATION|STUDENT\s*ID|REG\s*(?:NUMBER|NO))"
-    r"\s*[:\s]+\s*([\d\-\s]{8,20}?)(?=\n|PROGRAM|COURSE|SEMESTER|$)"
-)
 MIN_ROLL_DIGITS = 8
 
 
@@ -57,7 +37,9 @@ def _cascade(strict: Column, flexible: Column, use_strict: bool) -> tuple[Column
 
 def name_patterns(literal: bool = False) -> tuple[str, str]:
     """(strict, flexible) name patterns; ``literal`` drops the word boundaries."""
-    return (NAME_STRICT_LITERAL, NAME_FLEXIBLE_LITERAL) if literal else (NAME_STRICT, NAME_FLEXIBLE)
+    if literal:
+        return patterns.NAME_STRICT_LITERAL, patterns.NAME_FLEXIBLE_LITERAL
+    return patterns.NAME_STRICT, patterns.NAME_FLEXIBLE
 
 
 def extract_name(text: Column, strict: bool = True, literal: bool = False) -> tuple[Column, Column]:
@@ -70,7 +52,11 @@ def extract_name(text: Column, strict: bool = True, literal: bool = False) -> tu
 
 def extract_roll(text: Column, strict: bool = True) -> tuple[Column, Column]:
     """(roll number, level) columns; the number keeps its digits only."""
-    return _cascade(_clean_roll(first_match(text, ROLL_STRICT)), _clean_roll(first_match(text, ROLL_FLEXIBLE)), strict)
+    return _cascade(
+        _clean_roll(first_match(text, patterns.ROLL_STRICT)),
+        _clean_roll(first_match(text, patterns.ROLL_FLEXIBLE)),
+        strict,
+    )
 
 
 def extract_identity(df: DataFrame, strict: bool = True, literal: bool = False, text_col: str = "text") -> DataFrame:
@@ -93,26 +79,6 @@ def extract_identity(df: DataFrame, strict: bool = True, literal: bool = False,
 
 
 # --- label walk over text nodes ---------------------------------------------------------
-SHORT_WALK = {
-    "name_label": r"(?i)^(NAME|STUDENT\s+NAME|SUBMITTED\s+BY|AUTHOR)\s*:?\s*(.*)$",
-    "roll_label": r"(?i)^(ROLL\s*NO|ROLL\s*NUMBER|STUDENT\s*ID|ENROLLMENT\s*NO)\s*:?\s*(.*)$",
-    "name_text": r"(?i)(?:NAME|STUDENT\s+NAME|SUBMITTED\s+BY)\s*[:–-]?\s*([A-Z][A-Za-z]+\s+[A-Z][A-Za-z]+)",
-    "roll_text": r"(?i)(?:ROLL|ENROLLMENT|ID)\s*[:–-]?\s*(\d{6,15})",
-    "name_weak": _WORD_START + r"([A-Z][A-Za-z]+\s+[A-Z][A-Za-z]+)" + _WORD_END,
-}
-FULL_WALK = {
-    "name_label": r"(?i)^(NAME|STUDENT\s+NAME|SUBMITTED\s+BY|AUTHOR|SIGNED\s+BY)\s*:?\s*(.*)$",
-    "roll_label": r"(?i)^(ROLL\s*NUMBER|ROLL\s*NO|STUDENT\s*ID|ENROLLMENT\s*NO|STUDENT\s*CODE)\s*:?\s*(.*)$",
-    "name_text": (
-        r"(?i)(?:NAME|STUDENT NAME|SUBMITTED BY|AUTHOR|SIGNED BY)\s*[:\-]?\s*([A-Z][A-Za-z]*\s+[A-Z][A-Za-z]*)"
-    ),
-    "roll_text": (
-        r"(?i)(?:ROLL\s*NUMBER|ROLL\s*NO|STUDENT\s*ID|ENROLLMENT\s*NO|STUDENT\s*CODE)\s*[:\-]?\s*(\d{6,15})"
-    ),
-    "name_weak": _WORD_START + r"([A-Z][A-Za-z]*\s+[A-Z][A-Za-z]*)" + _WORD_END,
-}
-ROLL_VALUE = r"^\d{6,15}$"
-ROLL_WEAK = _WORD_START + r"(\d{6,15})" + _WORD_END
 LABEL_NODES = 30
 TEXT_NODES = 25
 LOOKAHEAD = 3
@@ -153,10 +119,10 @@ def detect_identity_nodes(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
     which phase found each value.
     """
     kept = [c for c in df.columns if c != nodes_col]
-    p = SHORT_WALK
+    p = patterns.SHORT_WALK
     long_enough = lambda v: F.length(v) > 2
     named = lambda v: (F.length(v) > 2) & ~v.rlike(r"^\d+$")
-    numbered = lambda v: v.rlike(ROLL_VALUE)
+    numbered = lambda v: v.rlike(patterns.ROLL_VALUE)
     head = strip(F.array_join(F.slice(nodes_col, 1, TEXT_NODES), " "))
     walked = df.select(
         *kept,
@@ -171,7 +137,7 @@ def detect_identity_nodes(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
         strip(first_match(F.col("head"), p["name_text"])).alias("nt"),
         first_match(F.col("head"), p["roll_text"]).alias("rt"),
         first_match(F.col("head"), p["name_weak"]).alias("nw"),
-        first_match(F.col("head"), ROLL_WEAK).alias("rw"),
+        first_match(F.col("head"), patterns.ROLL_WEAK).alias("rw"),
     )
     name, roll = F.coalesce("nl", "nt", "nw"), F.coalesce("rl", "rt", "rw")
     return found.select(
@@ -195,7 +161,7 @@ def _evidence(phases: dict[str, str]) -> Column:
 def detect_identity_proximity(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
     """Label walk over the whole document, then patterns, then the name nearest the roll number."""
     kept = [c for c in df.columns if c != nodes_col]
-    p = FULL_WALK
+    p = patterns.FULL_WALK
     given = lambda v: F.length(v) > 0
     text = F.array_join(F.filter(nodes_col, lambda n: F.length(n) > 0), " ")
     walked = df.select(
@@ -228,7 +194,7 @@ def detect_identity_proximity(df: DataFrame, nodes_col: str = "nodes") -> DataFr
     close = labelled.withColumn("np", near)
     nothing = F.coalesce("nl", "nt", "np", "rl", "rt").isNull()
     weak = close.withColumn("nw", F.when(nothing, first_match(F.col("_text"), p["name_weak"]))).withColumn(
-        "rw", F.when(nothing, first_match(F.col("_text"), ROLL_WEAK))
+        "rw", F.when(nothing, first_match(F.col("_text"), patterns.ROLL_WEAK))
     )
     return weak.select(
         *kept,
@@ -254,7 +220,7 @@ def removal_policy(df: DataFrame) -> DataFrame:
 BLOCK = 1024
 
 
-def label_then_value(nodes: DataFrame, label: str = SHORT_WALK["name_label"], key: str = "doc_id") -> DataFrame:
+def label_then_value(nodes: DataFrame, label: str = patterns.SHORT_WALK["name_label"], key: str = "doc_id") -> DataFrame:
     """(doc, node_idx, value) for each label node: its own remainder, else an acceptable next node.
 
     Nodes are windowed in blocks of BLOCK with the first few nodes of the next block copied

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions import fixed
+from docspark.functions import fixed, patterns
 from docspark.functions.expr import count_ignoring_case, first_match, let, replace_ignoring_case, strip
 from docspark.operators import identity
 
@@ -76,9 +76,9 @@ def redact_field(df: DataFrame, preserve_label: bool = False, literal: bool = Fa
     strict_name, flexible_name = identity.name_patterns(literal)
     out = df
     current = F.col(text_col)
-    for patterns in ((strict_name, flexible_name), (identity.ROLL_STRICT, identity.ROLL_FLEXIBLE)):
-        whole = F.coalesce(*[first_match(current, p, 0) for p in patterns])
-        value = F.coalesce(*[first_match(current, p, 1) for p in patterns])
+    for field in ((strict_name, flexible_name), (patterns.ROLL_STRICT, patterns.ROLL_FLEXIBLE)):
+        whole = F.coalesce(*[first_match(current, p, 0) for p in field])
+        value = F.coalesce(*[first_match(current, p, 1) for p in field])
         out = out.withColumn("_whole", whole).withColumn("_value", value)
         if preserve_label:
             label = F.substring(F.col("_whole"), F.lit(1), F.length("_whole") - F.length("_value"))
