@@ -27,6 +27,11 @@ def traffic_light(ai_likeness: Column) -> Column:
     return F.when(ai_likeness > 0.7, "red").when(ai_likeness >= 0.4, "yellow").otherwise("green")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half-up rounding after the twelfth digit was settled, so noise in the last bits decides nothing."""
+    return F.round(F.round(value, 12), digits)
+
+
 def percent(score: Column) -> Column:
     """Whole percent, half rounds up.
 
@@ -37,7 +42,7 @@ def percent(score: Column) -> Column:
 
 
 def percent2(score: Column) -> Column:
-    return F.round(clamp01(score) * 100, 2)
+    return rounded(clamp01(score) * 100, 2)
 
 
 def sentence_label(label: Column, score: Column, threshold: float = 0.8) -> Column:

@@ -61,8 +61,8 @@ def fast_detect(df: DataFrame, text_col: str = "text", mode: str = "fast",
     likeness = F.lit(1.0) - F.col("_human")
     return scored.select(
         *kept,
-        F.round("_human", 4).alias("score"),
-        F.round(likeness, 4).alias("ai_likeness"),
+        labels.rounded(F.col("_human"), 4).alias("score"),
+        labels.rounded(likeness, 4).alias("ai_likeness"),
         labels.percent2(likeness).alias("ai_percentage"),
         labels.label_by_threshold(F.col("_human"), mode).alias("prediction"),
         (likeness > 0.5).alias("is_ai_generated"),

@@ -9,7 +9,7 @@ from docspark.operators import detect, scorers, segment
 from docspark.plans import oracle
 from docspark.plans.registry import Tables, query
 
-ROUNDED = ", ".join(f"round({f}, 8) AS {f}" for f in oracle.FEATURES)
+ROUNDED = ", ".join(f"{oracle.rounded(f, 8)} AS {f}" for f in oracle.FEATURES)
 PARAS = rf"""
 praw AS (SELECT doc_id, u.i, {oracle.strip('u.p')} AS segment
          FROM documents d, unnest(string_split_regex(text, '\n+')) WITH ORDINALITY AS u(p, i)),
@@ -21,8 +21,9 @@ paras AS (SELECT doc_id, segment, row_number() OVER (PARTITION BY doc_id ORDER B
     "fast_detect",
     f"""
 WITH {oracle.score_ctes('documents', 'doc_id', 'text')}
-SELECT doc_id, round(1.0::DOUBLE - s, 4) AS score, round(1.0::DOUBLE - (1.0::DOUBLE - s), 4) AS ai_likeness,
-  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (1.0::DOUBLE - s))) * 100, 2) AS ai_percentage,
+SELECT doc_id, {oracle.rounded('1.0::DOUBLE - s', 4)} AS score,
+  {oracle.rounded('1.0::DOUBLE - (1.0::DOUBLE - s)', 4)} AS ai_likeness,
+  {oracle.rounded('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (1.0::DOUBLE - s))) * 100', 2)} AS ai_percentage,
   CASE WHEN 1.0::DOUBLE - s >= 0.5 THEN 'Most likely human-generated' ELSE 'Most likely AI-generated' END AS prediction,
   1.0::DOUBLE - (1.0::DOUBLE - s) > 0.5 AS is_ai_generated,
   CASE WHEN s > 0.7 THEN 'red' WHEN s >= 0.4 THEN 'yellow' ELSE 'green' END AS band
@@ -42,7 +43,7 @@ def stylometric_features(t: Tables):
     windows = segment.sample_windows(t.texts)
     featured = detect.stylometric_features(windows)
     return featured.select(
-        "doc_id", F.md5("segment").alias("window_md5"), *[F.round(k, 8).alias(k) for k in stylometry.FEATURES]
+        "doc_id", F.md5("segment").alias("window_md5"), *[labels.rounded(F.col(k), 8).alias(k) for k in stylometry.FEATURES]
     )
 
 
@@ -50,7 +51,7 @@ def stylometric_features(t: Tables):
     "combined_features",
     f"""
 WITH {oracle.score_ctes('documents', 'doc_id', 'text')}
-SELECT doc_id, {", ".join(f"round({f}, 8) AS {f}" for f in oracle.FEATURES)}, round({oracle.SCORE}, 8) AS ai_likeness
+SELECT doc_id, {", ".join(f"{oracle.rounded(f, 8)} AS {f}" for f in oracle.FEATURES)}, {oracle.rounded(oracle.SCORE, 8)} AS ai_likeness
 FROM avgf""",
 )
 def combined_features(t: Tables):
@@ -58,14 +59,15 @@ def combined_features(t: Tables):
     windows = segment.sample_windows(t.texts)
     scored = detect.stylometric_score(detect.combine_windows(detect.stylometric_features(windows)))
     return scored.select(
-        "doc_id", *[F.round(k, 8).alias(k) for k in stylometry.FEATURES], F.round("ai_likeness", 8).alias("ai_likeness")
+        "doc_id", *[labels.rounded(F.col(k), 8).alias(k) for k in stylometry.FEATURES], labels.rounded(F.col("ai_likeness"), 8).alias("ai_likeness")
     )
 
 
 REPORT = f"""
 WITH {PARAS},
 {oracle.score_ctes('paras', 'doc_id, pos, segment', 'segment')},
-agg AS (SELECT doc_id, sum(s * length(segment)) / sum(length(segment)) AS o, count(*) AS n FROM score GROUP BY doc_id),
+agg AS (SELECT doc_id, list_sum(list(s * length(segment) ORDER BY pos)) / sum(length(segment)) AS o, count(*) AS n
+  FROM score GROUP BY doc_id),
 every AS (SELECT d.doc_id, coalesce(o, 0.5::DOUBLE) AS o, coalesce(n, 0) AS n
           FROM documents d LEFT JOIN agg USING (doc_id))"""
 
@@ -74,14 +76,14 @@ every AS (SELECT d.doc_id, coalesce(o, 0.5::DOUBLE) AS o, coalesce(n, 0) AS n
     "document_report",
     REPORT
     + f"""
-SELECT doc_id, round(o, 8) AS overall_score, {oracle.percent('o')} AS overall_ai_percentage,
+SELECT doc_id, {oracle.rounded('o', 8)} AS overall_score, {oracle.percent('o')} AS overall_ai_percentage,
   CAST(100 - {oracle.percent('o')} AS INTEGER) AS overall_human_percentage, o > 0.7 AS is_likely_ai,
   CAST(n AS INTEGER) AS n_segments
 FROM every""",
 )
 def document_report(t: Tables):
     report = detect.detect_paragraphs(t.texts, gap=r"\n+")
-    return report.drop("segments").withColumn("overall_score", F.round("overall_score", 8))
+    return report.drop("segments").withColumn("overall_score", labels.rounded(F.col("overall_score"), 8))
 
 
 @query(
@@ -90,7 +92,7 @@ def document_report(t: Tables):
     + f""",
 off AS (SELECT *, CAST(coalesce(sum(length(segment) + 2) OVER (PARTITION BY doc_id ORDER BY pos
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM score)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, segment AS text, round(s, 8) AS ai_score,
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, segment AS text, {oracle.rounded('s', 8)} AS ai_score,
   {oracle.percent('s')} AS ai_percentage, CAST(100 - {oracle.percent('s')} AS INTEGER) AS human_percentage,
   s > 0.7 AS is_ai, st AS start_index, CAST(st + length(segment) AS BIGINT) AS end_index
 FROM off""",
@@ -98,7 +100,7 @@ FROM off""",
 def paragraph_report(t: Tables):
     report = detect.detect_paragraphs(t.texts, gap=r"\n+")
     return report.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*").withColumn(
-        "ai_score", F.round("ai_score", 8)
+        "ai_score", labels.rounded(F.col("ai_score"), 8)
     )
 
 
@@ -108,9 +110,9 @@ def paragraph_report(t: Tables):
 WITH ch AS (SELECT doc_id, i, substr(text, i * 100 + 1, 100) AS segment
   FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 99) // 100)) AS i FROM documents)),
 {oracle.score_ctes('ch', 'doc_id, i, segment', 'segment')},
-agg AS (SELECT doc_id, sum(s * length(segment)) / sum(length(segment)) AS o, count(*) AS n,
+agg AS (SELECT doc_id, list_sum(list(s * length(segment) ORDER BY i)) / sum(length(segment)) AS o, count(*) AS n,
   count(*) FILTER (WHERE s > 0.7) AS n_ai FROM score GROUP BY doc_id)
-SELECT doc_id, round(o, 8) AS overall_score, {oracle.percent('o')} AS overall_ai_percentage,
+SELECT doc_id, {oracle.rounded('o', 8)} AS overall_score, {oracle.percent('o')} AS overall_ai_percentage,
   CAST(100 - {oracle.percent('o')} AS INTEGER) AS overall_human_percentage, o > 0.7 AS is_likely_ai,
   CAST(n AS INTEGER) AS n_segments, CAST(n_ai AS INTEGER) AS n_ai_segments
 FROM agg""",
@@ -119,14 +121,14 @@ def chunk_report(t: Tables):
     report = detect.detect_chunks(t.texts)
     return report.withColumn("n_ai_segments", F.size(F.filter("segments", lambda s: s["is_ai"]))).drop(
         "segments"
-    ).withColumn("overall_score", F.round("overall_score", 8))
+    ).withColumn("overall_score", labels.rounded(F.col("overall_score"), 8))
 
 
 @query(
     "segment_scores",
     f"""
 WITH {PARAS}
-SELECT doc_id, round(sum(coalesce(sc, 0.5::DOUBLE) * length(segment)) / sum(length(segment)), 8) AS overall_score,
+SELECT doc_id, {oracle.rounded('sum(coalesce(sc, 0.5::DOUBLE) * length(segment)) / sum(length(segment))', 8)} AS overall_score,
   CAST(count(*) AS BIGINT) AS n_segments
 FROM (SELECT p.doc_id, p.pos, p.segment,
         CASE WHEN (p.doc_id + p.pos) % 5 <> 0 THEN length(p.segment) % 100 / 100.0::DOUBLE END AS sc FROM paras p)
@@ -139,7 +141,7 @@ def segment_scores(t: Tables):
         "doc_id", "pos", ((F.length("segment") % 100) / F.lit(100.0)).alias("score")
     )
     rolled = detect.weighted_document_score(detect.attach_scores(paras, scores))
-    return rolled.withColumn("overall_score", F.round("overall_score", 8))
+    return rolled.withColumn("overall_score", labels.rounded(F.col("overall_score"), 8))
 
 
 @query(
@@ -168,11 +170,11 @@ def label_shares(t: Tables):
     f"""
 WITH {oracle.score_ctes('documents', 'doc_id', 'text')},
 h AS (SELECT doc_id, sha256(text) AS text_hash, count(*) OVER (PARTITION BY text) AS copies FROM documents)
-SELECT doc_id, text_hash, round(s, 8) AS ai_likeness, CAST(copies AS BIGINT) AS copies FROM h JOIN score USING (doc_id)""",
+SELECT doc_id, text_hash, {oracle.rounded('s', 8)} AS ai_likeness, CAST(copies AS BIGINT) AS copies FROM h JOIN score USING (doc_id)""",
 )
 def dedup_scoring(t: Tables):
     return detect.dedup_scoring(t.texts).withColumn(
-        "ai_likeness", F.round("ai_likeness", 8)
+        "ai_likeness", labels.rounded(F.col("ai_likeness"), 8)
     )
 
 

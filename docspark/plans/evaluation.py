@@ -15,7 +15,7 @@ THRESHOLD = 0.75
 SCORED = f"""
 WITH lab AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id)),
 {oracle.score_ctes('lab', 'doc_id, quality', 'text')},
-frame AS (SELECT doc_id, round(1.0::DOUBLE - s, 4) AS score, CAST(1 - quality AS INTEGER) AS class FROM score),
+frame AS (SELECT doc_id, {oracle.rounded('1.0::DOUBLE - s', 4)} AS score, CAST(1 - quality AS INTEGER) AS class FROM score),
 grp AS (SELECT score, sum(class) AS pos, sum(1 - class) AS neg FROM frame GROUP BY score),
 run AS (SELECT score, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg,
   CAST(sum(pos) OVER (ORDER BY score) AS BIGINT) AS tp, CAST(sum(neg) OVER (ORDER BY score) AS BIGINT) AS fp,

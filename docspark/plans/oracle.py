@@ -49,20 +49,20 @@ def feature_ctes(source: str, keys: str, text: str, prefix: str = "") -> str:
     stop = literals(fixed.STOPWORDS)
     return f"""
 {p}win AS (
-  SELECT {keys}, unnest({windows(text)}) AS w FROM {source}),
+  SELECT {keys}, unnest(ws) AS w, generate_subscripts(ws, 1) AS wi FROM (SELECT {keys}, {windows(text)} AS ws FROM {source})),
 {p}meas AS (
-  SELECT {keys}, w,
+  SELECT {keys}, w, wi,
     list_transform(regexp_extract_all(w, '{WORD}'), lambda x: lower(x)) AS words,
     list_transform({sentences('w')}, lambda x: len(regexp_extract_all(x, '{WORD}'))) AS sl
   FROM {p}win),
 {p}meas2 AS (
-  SELECT {keys}, w, words, greatest(len(words), 1) AS n, greatest(length(w), 1) AS nc,
+  SELECT {keys}, w, wi, words, greatest(len(words), 1) AS n, greatest(length(w), 1) AS nc,
     CASE WHEN len(sl) > 0 THEN sl ELSE [greatest(len(words), 1)] END AS sl,
     CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1),
       lambda i: words[i] || ' ' || words[i+1] || ' ' || words[i+2]) ELSE [] END AS g
   FROM {p}meas),
 {p}feat AS (
-  SELECT {keys}, w,
+  SELECT {keys}, w, wi,
     len(list_distinct(words)) / n AS ttr,
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) / n AS avg_word_len,
     len(list_filter(words, lambda x: list_contains([{stop}], x))) / n AS stop_ratio,
@@ -78,7 +78,7 @@ def feature_ctes(source: str, keys: str, text: str, prefix: str = "") -> str:
 FEATURES = [
     "ttr", "avg_word_len", "stop_ratio", "mean_len", "var_len", "punct_density", "upper_ratio", "rep_ratio",
 ]
-AVG_FEATURES = ", ".join(f"avg({f}) AS {f}" for f in FEATURES)
+AVG_FEATURES = ", ".join(f"list_sum(list({f} ORDER BY wi)) / count(*) AS {f}" for f in FEATURES)
 
 SCORE = """greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15::DOUBLE + 0.7::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE,
   0.35::DOUBLE * greatest(0.0::DOUBLE, 0.45::DOUBLE - ttr) / 0.45::DOUBLE
@@ -98,6 +98,11 @@ def score_ctes(source: str, keys: str, text: str, prefix: str = "", extra: str =
     )
 
 
+def rounded(expr: str, digits: int) -> str:
+    """Twelve digits first, then half up, as exact decimals."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
 def percent(expr: str) -> str:
     return f"CAST(floor(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {expr})), 9) * 100 + 0.5::DOUBLE) AS INTEGER)"
 
