@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import license_scan, mixing, quality, sharding, url_filter
+from docspark.llm import license_scan, mixing, quality, sharding, simhash, url_filter
 
 
 @dataclass(frozen=True)
@@ -229,3 +229,12 @@ def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document."""
     placed = sharding.interleave(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# -- 10 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op10_simhash_groups")
+def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
