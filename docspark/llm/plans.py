@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import license_scan, mixing, quality, sharding, simhash, url_filter
+from docspark.llm import decontamination, license_scan, mixing, quality, sharding, simhash, url_filter
 
 
 @dataclass(frozen=True)
@@ -201,6 +201,36 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_quality(table(spark, folder, "documents")).drop("host", "text_hash")
 
 
+# -- 8 ------------------------------------------------------------------------------------------------------------
+
+HITS = rf"""
+bitems AS (SELECT item_id::VARCHAR AS item, {LOW_WORDS.format('text')} AS ws FROM benchmark),
+bwin AS (
+  SELECT DISTINCT item, list_slice(ws, s + 1, s + 13) AS parts
+  FROM (SELECT item, ws, unnest(range(greatest(len(ws) - 13, 0) + 1)) AS s FROM bitems WHERE len(ws) > 0)),
+hdocs AS (SELECT doc_id, {LOW_WORDS.format('text')} AS ws FROM documents),
+hwin AS (
+  SELECT doc_id, b, list_slice(ws, b + 1, b + n) AS parts, n
+  FROM (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS b FROM hdocs, (SELECT DISTINCT len(parts) AS n FROM bwin) WHERE len(ws) >= n)),
+hmet AS (SELECT doc_id, b, n, item FROM hwin JOIN bwin USING (parts)),
+hwords AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + n)) AS p FROM (SELECT DISTINCT doc_id, b, n FROM hmet)) GROUP BY doc_id),
+hnames AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hmet GROUP BY doc_id),
+hits AS (
+  SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(w.n_hit, 0)::BIGINT AS n_hit, coalesce(len(i.items), 0)::BIGINT AS n_items,
+    sha256(coalesce(array_to_string(i.items, ','), '')) AS items_sha256
+  FROM hdocs d LEFT JOIN hwords w USING (doc_id) LEFT JOIN hnames i USING (doc_id))"""
+
+
+@query("op8_benchmark_decontamination", f"WITH {HITS.strip()} SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM hits")
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in every document."""
+    found = decontamination.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------
 
 OP9 = rf"""
