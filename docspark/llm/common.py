@@ -7,6 +7,9 @@ that agree in both are the same document and get the same answer.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,3 +73,8 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in used:
         name = f"_{name}"
     return name
+
+
+def ship_with_tasks(module: str) -> None:
+    """Send the module's functions and classes along with tasks, so executors need no installed package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

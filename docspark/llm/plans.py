@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, license_scan, mixing, quality, sharding, simhash, url_filter
+from docspark.llm import decontamination, license_scan, mixing, quality, sharding, simhash, substring_dedup, url_filter
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,31 @@ def _key(seed: int) -> str:
     return f"md5(concat_ws('|', '{seed}', {_src('doc_id')}, md5(coalesce(text, ''))))"
 
 
+# -- 1 ------------------------------------------------------------------------------------------------------------
+
+OP1 = rf"""
+WITH docs AS (SELECT doc_id, {WHITE_WORDS} AS ws FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(ws, s + 1, s + {substring_dedup.WINDOW}), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(len(ws) - {substring_dedup.WINDOW} + 1)) AS s FROM docs WHERE len(ws) >= {substring_dedup.WINDOW})),
+first AS (SELECT h, min(doc_id) AS owner FROM win GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(s, s + {substring_dedup.WINDOW})) AS p FROM win JOIN first USING (h) WHERE doc_id > owner)),
+marked AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id),
+flat AS (SELECT doc_id, ws[p + 1] AS w, p FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM docs)),
+kept AS (SELECT f.doc_id, string_agg(w, ' ' ORDER BY f.p) AS txt, count(*) AS n FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p WHERE g.p IS NULL GROUP BY f.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op1_substring_dedup", OP1)
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated 50-word passages."""
+    left = substring_dedup.remove_repeats(table(spark, folder, "documents"), with_text=False)
+    return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------------
 
 
