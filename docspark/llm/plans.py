@@ -8,7 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, license_scan, mixing, quality, sharding, simhash, substring_dedup, url_filter
+from docspark.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 
 
 @dataclass(frozen=True)
@@ -73,6 +84,15 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+# -- 2 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------------
 
 
@@ -155,6 +175,16 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+# -- 5 ------------------------------------------------------------------------------------------------------------
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.train(language_id.training_sample(docs)))
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------
 
 MIX = rf"""
