@@ -136,8 +136,9 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = judge_quality(docs, id_col, text_col, host_col).filter("NOT kept").select(
         filled(F.col("doc_id")).alias(names["doc_id"]), filled(F.col("host")).alias(names["host"]), F.col("text_hash").alias(names["text_hash"])
     ).distinct()
+    out = cut_lineage(out)
     match = (
         (filled(docs[id_col]) == out[names["doc_id"]]) & (filled(docs[host_col]) == out[names["host"]])
         & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == out[names["text_hash"]])
     )
-    return docs.join(cut_lineage(out), match, "left_anti")
+    return docs.join(out, match, "left_anti")
