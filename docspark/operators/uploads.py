@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import fixed, naming
-from docspark.session import cut_lineage
+from docspark.operators.ranking import running_total
 
 
 def assemble_multipart(parts: DataFrame) -> DataFrame:
@@ -110,33 +110,42 @@ def queue_files(new: DataFrame, queued: DataFrame) -> DataFrame:
     return accepted.dropDuplicates(["name", "size"])
 
 
+def _reserved_numbers(names: DataFrame, dir_col: str, name_col: str) -> DataFrame:
+    """(dir, name, k) for every present name of the form ``base(k)ext``: k is taken in the numbering of ``base + ext``."""
+    base, ext = naming.split_name(F.col(name_col))
+    stem = F.regexp_extract(base, r"^(.*)\(([1-9][0-9]{0,8})\)$", 1)
+    number = F.regexp_extract(base, r"^(.*)\(([1-9][0-9]{0,8})\)$", 2)
+    return names.filter(number != "").select(
+        dir_col, F.concat(stem, ext).alias(name_col), number.cast("bigint").alias("_k")
+    ).distinct()
+
+
 def number_duplicates(files: DataFrame, existing: DataFrame | None = None, dir_col: str = "dir", name_col: str = "name",
                       order: list[str] | None = None) -> DataFrame:
-    """``base(k)ext`` for the k-th repeat of a name in a directory; the first keeps its name.
+    """``base(k)ext`` for repeats of a name in a directory; the first keeps its name if it is free.
 
-    Repeats are numbered in blocks: each task numbers its own slice of a name's files and
-    adds the sizes of the slices before it, so a name shared by a third of all files is not
-    ordered in one task. Names already present push the numbering on.
+    Numbers already used by stored or incoming names are left out: the r-th repeat takes the r-th free number, which is
+    r plus the reserved numbers below it. Ranks and that count are running totals over slices, so a name shared by a third
+    of all files is not ordered in one task. Rows equal in ``order`` are told apart by their whole content.
     """
-    order = order or ["ts"]
     keys = [dir_col, name_col]
-    ranged = files.repartitionByRange(*[F.col(c) for c in keys + order])
-    placed = ranged.withColumn("_slice", F.spark_partition_id())
-    placed = cut_lineage(placed)
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = placed.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    ).drop("_n")
+    ties = [*[F.col(c) for c in (order or ["ts"])], F.xxhash64(*files.columns)]
+    ranked = running_total(files, keys, ties, F.lit(1), "_r")
+    present = files.select(*keys)
     if existing is not None:
-        taken = existing.groupBy(*keys).agg(F.count("*").alias("_taken"))
-        slices = slices.join(taken, keys, "left").withColumn("_before", F.col("_before") + F.coalesce("_taken", F.lit(0)))
-        slices = slices.drop("_taken")
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = placed.withColumn("_r", F.row_number().over(inside)).join(slices, [*keys, "_slice"])
-    k = (F.col("_before") + F.col("_r") - 1).cast("int")
+        stored = existing.select(*keys).distinct()
+        ranked = ranked.join(stored.withColumn("_stored", F.lit(1)), keys, "left")
+        ranked = ranked.withColumn("_r", F.col("_r") + F.coalesce("_stored", F.lit(0))).drop("_stored")
+        present = present.unionByName(stored)
+    reserved = running_total(_reserved_numbers(present, dir_col, name_col), keys, [F.col("_k")], F.lit(1), "_i")
+    # of the numbers below reserved number k, k - 1 - i are free: repeats beyond those have to step over it
+    steps = reserved.select(*keys, (F.col("_k") - 1 - F.col("_i")).alias("_r"), F.lit(1).alias("_kind"))
+    rows = ranked.withColumn("_kind", F.lit(0)).unionByName(steps, allowMissingColumns=True)
+    stepped = running_total(rows, keys, [F.col("_r"), F.col("_kind")], F.col("_kind"), "_below").filter("_kind = 0")
+    k = (F.col("_r") + F.col("_below")).cast("string")
     base, ext = naming.split_name(F.col(name_col))
-    final = F.when(k == 0, F.col(name_col)).otherwise(F.concat(base, F.lit("("), k.cast("string"), F.lit(")"), ext))
-    return ranked.withColumn("final_name", final).drop("_slice", "_before", "_r")
+    final = F.when(F.col("_r") == 0, F.col(name_col)).otherwise(F.concat(base, F.lit("("), k, F.lit(")"), ext))
+    return stepped.withColumn("final_name", final).select(*files.columns, "final_name")
 
 
 FILENAME_STRATEGIES = {}

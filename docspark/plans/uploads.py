@@ -133,22 +133,31 @@ def queue_files(t: Tables):
 @query(
     "number_duplicates",
     """
-SELECT event_id, dir, name, CASE WHEN k = 0 THEN name ELSE 'report(' || k || ').' || ext END AS final_name FROM (
-  SELECT event_id, event_type AS dir, ext, 'report.' || ext AS name,
-    row_number() OVER (PARTITION BY event_type, ext ORDER BY event_id) - 1
-      + CASE WHEN ext = 'tar' THEN 0 ELSE (SELECT count(*) FROM region) END AS k
-  FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'tar' ELSE 'pdf' END AS ext FROM events))""",
+WITH files AS (SELECT event_id, event_type AS dir, CASE WHEN event_id % 50 = 7 THEN 'report(' || event_id % 4 || ')' ELSE 'report' END
+    || CASE WHEN user_id % 3 = 0 THEN '.tar' ELSE '.pdf' END AS name FROM events),
+stored AS (SELECT DISTINCT event_type AS dir, unnest(['report.pdf', 'report(1).pdf', 'report(5).tar', 'report(6).tar', 'report(08).tar']) AS name FROM events),
+present AS (SELECT DISTINCT dir, name FROM files UNION SELECT dir, name FROM stored),
+reserved AS (SELECT dir, regexp_replace(name, '\\([0-9]+\\)', '') AS family, list(DISTINCT regexp_extract(name, '\\(([0-9]+)\\)', 1)::BIGINT) AS ks
+  FROM present WHERE regexp_matches(name, '\\([1-9][0-9]*\\)\\.') GROUP BY ALL),
+ranked AS (SELECT f.*, row_number() OVER (PARTITION BY f.dir, f.name ORDER BY event_id) - 1 + (s.name IS NOT NULL)::BIGINT AS r
+  FROM files f LEFT JOIN stored s ON s.dir = f.dir AND s.name = f.name),
+placed AS (SELECT ranked.*, coalesce(ks, []) AS ks FROM ranked LEFT JOIN reserved ON reserved.dir = ranked.dir AND family = name)
+SELECT event_id, dir, name, CASE WHEN r = 0 THEN name ELSE regexp_extract(name, '^(.*)\\.', 1) || '('
+  || list_filter(range(1, r + len(ks) + 1), lambda k: NOT list_contains(ks, k))[r] || ').' || regexp_extract(name, '([a-z]+)$', 1) END AS final_name
+FROM placed""",
 )
 def number_duplicates(t: Tables):
-    """Files numbered per directory and name; PDF names are already taken once per region."""
+    """Files numbered per directory and name around stored names and incoming ones that look numbered."""
     files = t.events.select(
         "event_id", F.col("event_type").alias("dir"),
-        F.concat(F.lit("report."), F.when(F.col("user_id") % 3 == 0, "tar").otherwise("pdf")).alias("name"),
+        F.concat(
+            F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("report("), (F.col("event_id") % 4).cast("string"), F.lit(")"))).otherwise("report"),
+            F.when(F.col("user_id") % 3 == 0, ".tar").otherwise(".pdf"),
+        ).alias("name"),
     )
     dirs = t.events.select(F.col("event_type").alias("dir")).distinct()
-    existing = dirs.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.lit(5)))).select(
-        "dir", F.lit("report.pdf").alias("name")
-    )
+    names = ["report.pdf", "report(1).pdf", "report(5).tar", "report(6).tar", "report(08).tar"]
+    existing = dirs.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
     return uploads.number_duplicates(files, existing, order=["event_id"])
 
 
