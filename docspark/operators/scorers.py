@@ -56,7 +56,10 @@ def score_with(df: DataFrame, load_model: Callable[[], Callable[[list[str]], lis
             for i in range(0, len(texts), batch):
                 group = texts[i:i + batch]
                 try:
-                    results.extend((float(s), None) for s in model(group))
+                    scored = [(float(s), None) for s in model(group)]
+                    if len(scored) != len(group):
+                        raise ValueError("as many scores as texts are needed")
+                    results.extend(scored)
                 except Exception:  # noqa: BLE001
                     results.extend(one(t) for t in group)
             scores, errors = zip(*results) if results else ((), ())

@@ -90,6 +90,40 @@ def read_docx_nodes(blobs: DataFrame) -> DataFrame:
     return blobs.select("path", "content").mapInPandas(_node_reader(), NODE_SCHEMA)
 
 
+def _paragraph_reader():
+    def read(batches):
+        import io
+        import xml.etree.ElementTree as ET
+        import zipfile
+
+        import pandas as pd
+
+        w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as package:
+                        root = ET.fromstring(package.read("word/document.xml"))
+                    texts = ["".join(t.text or "" for t in p.iter(w + "t")) for p in root.iter(w + "p")]
+                    rows.append((path, texts, None))
+                except Exception as problem:  # noqa: BLE001 - a bad file is a row with its error
+                    rows.append((path, None, str(problem)))
+            yield pd.DataFrame(rows, columns=["path", "paragraphs", "error"])
+
+    return read
+
+
+def read_docx_paragraphs(blobs: DataFrame) -> DataFrame:
+    """(path, paragraphs, error), one row per file: every paragraph in order, blank ones too; an unreadable file has its error."""
+    return blobs.select("path", "content").mapInPandas(_paragraph_reader(), "path string, paragraphs array<string>, error string")
+
+
+def docx_documents(blobs: DataFrame, separator: str = "\n") -> DataFrame:
+    """(path, text, error) of every file. A document without text has an empty one; an unreadable file a null text and its error."""
+    return read_docx_paragraphs(blobs).select("path", F.array_join("paragraphs", separator).alias("text"), "error")
+
+
 def docx_text(nodes: DataFrame, separator: str = "\n", by_paragraph: bool = True) -> DataFrame:
     """(path, text): paragraph texts, or all nodes, joined in document order."""
     nodes = nodes.filter("error is null")
@@ -139,31 +173,32 @@ def _part_writer():
                     out.writestr(item, data, compress_type=item.compress_type)
             return target.getvalue()
 
+        def attempt(content, texts):
+            try:
+                return (rewritten(content, list(texts)) if texts is not None else content), None
+            except Exception as problem:  # noqa: BLE001 - a bad file passes through with its error
+                return content, str(problem)
+
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "path": batch["path"],
-                    "content": [
-                        rewritten(c, list(t)) if t is not None else c
-                        for c, t in zip(batch["content"], batch["texts"])
-                    ],
-                }
-            )
+            done = [attempt(c, t) for c, t in zip(batch["content"], batch["texts"])]
+            yield pd.DataFrame({
+                "path": batch["path"], "content": [c for c, _ in done], "error": pd.array([e for _, e in done], dtype="string")
+            })
 
     return write
 
 
 def write_docx_parts(blobs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """(path, content) with node texts replaced; every other byte and zip member stays.
+    """(path, content, error) with node texts replaced; every other byte and zip member stays.
 
-    ``nodes`` holds (path, node_idx, ``text_col``); files without nodes pass through.
+    ``nodes`` holds (path, node_idx, ``text_col``); files without nodes, and broken ones, pass through.
     """
     ordered = F.sort_array(F.collect_list(F.struct("node_idx", F.col(text_col).alias("t"))))
     texts = nodes.filter("node_idx is not null").groupBy("path").agg(
         F.transform(ordered, lambda n: n["t"]).alias("texts")
     )
     joined = blobs.select("path", "content").join(texts, "path", "left")
-    return joined.mapInPandas(_part_writer(), "path string, content binary")
+    return joined.mapInPandas(_part_writer(), "path string, content binary, error string")
 
 
 def _package_builder():

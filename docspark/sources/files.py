@@ -46,11 +46,11 @@ def write_txt(df: DataFrame, path: str, text_col: str = "text") -> None:
 
 
 def read_documents(spark: SparkSession, prefix: str, file_format: str) -> DataFrame:
-    """(path, text) of DOCX or text files; other formats have to arrive as text."""
+    """(path, text, error) of DOCX or text files; other formats have to arrive as text."""
     if file_format.lower() == "docx":
-        from docspark.sources.docx import docx_text, read_docx_nodes
+        from docspark.sources.docx import docx_documents
 
-        return docx_text(read_docx_nodes(read_blobs(spark, prefix, "*.docx")))
+        return docx_documents(read_blobs(spark, prefix, "*.docx"))
     if file_format.lower() == "txt":
-        return read_txt(spark, prefix)
+        return read_txt(spark, prefix).withColumn("error", F.lit(None).cast("string"))
     raise ValueError(f"unsupported file format: {file_format}")

@@ -66,7 +66,8 @@ def test_docx(spark, tmp_path):
     assert after.getinfo("word/media/raw.bin").compress_type == zipfile.ZIP_STORED
     texts = [n.text for n in docx.read_docx_nodes(back).filter("error is null").orderBy("node_idx").collect()]
     assert texts[2] == "A < B"
-    assert files.read_documents(spark, str(tmp_path / "in"), "docx").count() == 1
+    read = files.read_documents(spark, str(tmp_path / "in"), "docx")
+    assert read.filter("error is null").count() == 1 and read.filter("error is not null AND text is null").count() == 1
 
 
 def test_text_and_listing(spark, tmp_path):
@@ -104,3 +105,14 @@ def test_log_store(spark, tmp_path):
     recent = logstore.read_logs(spark, str(tmp_path / "l"), "2024-01-03")
     assert recent.count() == 4
     assert "PartitionFilters: [isnotnull(log_date" in recent._jdf.queryExecution().toString()
+
+
+def test_documents_with_blank_paragraphs_and_broken_files(spark):
+    texts = spark.createDataFrame([("a", "one\n\ntwo"), ("b", "")], "path string, text string")
+    blobs = docx.text_to_docx(texts).unionByName(spark.createDataFrame([("c", bytearray(b"no zip"))], "path string, content binary"))
+    got = {r.path: (r.text, r.error is None) for r in docx.docx_documents(blobs).collect()}
+    assert got == {"a": ("one\n\ntwo", True), "b": ("", True), "c": (None, False)}
+    nodes = docx.read_docx_nodes(blobs).select("path", "node_idx", F.lit("new").alias("text"))
+    broken = nodes.filter("node_idx is not null").unionByName(spark.createDataFrame([("c", 0, "x")], nodes.schema))
+    out = {r.path: (bytes(r.content)[:6], r.error is None) for r in docx.write_docx_parts(blobs, broken).collect()}
+    assert out["c"] == (b"no zip", False) and out["a"][1]
