@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docspark.functions import fixed
 from docspark.plans import logs as log_plans
 from docspark.plans import uploads as upload_plans
 from docspark.plans import views
@@ -25,19 +26,31 @@ def streams(t: Tables) -> StreamTables:
     return StreamTables(t.spark, t.path)
 
 
+def staged(t: Tables, df, order: str, files: int = 4):
+    """Derived rows as a stream of several micro-batches in time order: written span by span, read one file at a time."""
+    folder = f"{work_folder(t.spark)}/{uuid.uuid4().hex}"
+    at = F.col(order).cast("timestamp").cast("double")
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    span = F.least(F.floor((at - F.lit(low)) / F.lit(max(high - low, 1e-6)) * files), F.lit(files - 1))
+    for i in range(files):
+        df.filter(span == i).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("request_log_stream", QUERIES["request_log_rows"].oracle)
 def request_log_stream(t: Tables):
     """Requests masked and levelled as a stream, each request once, stored as parquet."""
-    rows = runs.run_to_table(logs.request_log_rows(log_plans.raw_requests(streams(t))))
+    rows = runs.run_to_table(logs.request_log_rows(log_plans.raw_requests(streams(t)), max_body=fixed.MAX_BODY_CHARS))
     return rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("failed_ledger_stream", QUERIES["failed_ledger"].oracle)
 def failed_ledger_stream(t: Tables):
+    """The ledger after several micro-batches, read at its newest version."""
     folder = f"{work_folder(t.spark)}/{uuid.uuid4().hex}"
-    stream = uploads.failed_ledger(upload_plans.outcomes(streams(t)), f"{folder}/ledger", f"{folder}/state")
+    stream = uploads.failed_ledger(staged(t, upload_plans.outcomes(t), "ts"), f"{folder}/ledger", f"{folder}/state")
     stream.awaitTermination()
-    return uploads.open_failures(t.spark, f"{folder}/ledger", 0)
+    return uploads.open_failures(t.spark, f"{folder}/ledger")
 
 
 @query(
@@ -52,3 +65,17 @@ FROM g WHERE n = total_parts OR last <= (SELECT max(ts) FROM parts0) - INTERVAL
 def assembly_stream(t: Tables):
     """Uploads assembled, or expired an hour after their last part (watermark ten minutes behind)."""
     return runs.run_to_table(uploads.assemble_multipart(views.upload_parts(streams(t))))
+
+
+@query(
+    "rate_limit_stream",
+    """
+SELECT time_bucket(INTERVAL 15 MINUTES, created_at) AS window_start, c AS client, CAST(count(*) AS BIGINT) AS requests
+FROM (SELECT ts AS created_at, event_type AS c FROM events) GROUP BY 1, 2
+HAVING count(*) > 1 AND time_bucket(INTERVAL 15 MINUTES, created_at) <= (SELECT max(ts) FROM events) - INTERVAL 25 MINUTES""",
+)
+def rate_limit_stream(t: Tables):
+    """The rate limit over a stream of several micro-batches: windows closed by the watermark ten minutes behind."""
+    events = t.events.select(F.col("ts").alias("created_at"), F.col("event_type").alias("client"))
+    closed = logs.rate_limit_violations(staged(t, events, "created_at"), "client", limit=1)
+    return runs.run_to_table(closed).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

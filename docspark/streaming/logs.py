@@ -17,11 +17,12 @@ def rate_limit_violations(requests: DataFrame, client: str = "user_id", delay: s
     return logs.rate_limit_violations(timed.withWatermark("created_at", delay), client, window, limit)
 
 
-def request_log_rows(requests: DataFrame, delay: str = "10 minutes", sample_rate: float = 1.0) -> DataFrame:
+def request_log_rows(requests: DataFrame, delay: str = "10 minutes", sample_rate: float = 1.0,
+                     max_body: int | None = None) -> DataFrame:
     """Log rows of a request stream, each request id once within the watermark."""
     timed = requests.withColumn("created_at", F.col("created_at").cast("timestamp"))
     unique = timed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["request_id"])
-    return logs.request_log_rows(unique, sample_rate)
+    return logs.request_log_rows(unique, sample_rate, max_body=max_body)
 
 
 def store_logs(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

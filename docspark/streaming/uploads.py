@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -97,33 +98,58 @@ def assemble_multipart(parts: DataFrame, delay: str = "10 minutes",
     )
 
 
-def update_ledger(batch: DataFrame, epoch: int, path: str) -> None:
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of all ledger versions, with ``run`` and ``version``; None where no ledger is yet."""
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/run=*/version=*")
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" in str(problem):
+            return None
+        raise
+
+
+def _newest(ledger: DataFrame) -> DataFrame:
+    """Rows of the version written last."""
+    last = ledger.agg(F.max_by(F.struct("run", "version"), "folded_at").alias("v"))
+    return ledger.filter(F.struct("run", "version") == last.select("v").scalar())
+
+
+def update_ledger(batch: DataFrame, epoch: int, path: str, run: str) -> None:
     """Fold a batch of upload outcomes into the ledger's next version.
 
-    Each version is a folder of its own, so a batch that is replayed writes the same rows to
-    the same place and readers never see a half-written ledger.
+    Each version is a folder of its own under its run (the id of the streaming query, which its checkpoint keeps), so a
+    batch that is replayed writes the same rows to the same place and readers never see a half-written ledger. The first
+    batch of a new run goes on from the newest version of earlier runs.
     """
     spark = batch.sparkSession
     rows = batch.select("upload_id", "ts", "outcome", "error", (F.col("outcome") == "failure").cast("bigint").alias("failures"))
-    if epoch > 0:
-        rows = rows.unionByName(spark.read.parquet(f"{path}/version={epoch - 1}"))
+    known = _versions(spark, path)
+    if known is not None:
+        before = known.filter(F.col("run") == run).filter(F.col("version") == epoch - 1) if epoch else _newest(known.filter(F.col("run") != run))
+        rows = rows.unionByName(before.select(*rows.columns))
     folded = rows.groupBy("upload_id").agg(
         F.max(F.struct("ts", "outcome", "error")).alias("l"), F.sum("failures").alias("failures")
     )
-    folded.select("upload_id", "l.*", "failures").write.mode("overwrite").parquet(f"{path}/version={epoch}")
+    stamped = folded.select("upload_id", "l.*", "failures", F.current_timestamp().alias("folded_at"))
+    stamped.write.mode("overwrite").parquet(f"{path}/run={run}/version={epoch}")
 
 
 def failed_ledger(outcomes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Start the ledger stream over what is available."""
+    def fold(batch: DataFrame, epoch: int) -> None:
+        update_ledger(batch, epoch, path, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+
     return (
-        outcomes.writeStream.foreachBatch(lambda batch, epoch: update_ledger(batch, epoch, path))
+        outcomes.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def open_failures(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Failures still open in a ledger version."""
-    ledger = spark.read.parquet(f"{path}/version={version}").filter("outcome = 'failure'")
-    return ledger.select("upload_id", F.col("ts").alias("failed_at"), "error", "failures")
+def open_failures(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Failures still open in the newest version of the ledger, or in version ``version`` of its newest run."""
+    ledger = _versions(spark, path)
+    if version is not None:
+        ledger = ledger.filter(F.col("version") == version)
+    return _newest(ledger).filter("outcome = 'failure'").select("upload_id", F.col("ts").alias("failed_at"), "error", "failures")

@@ -80,6 +80,12 @@ def test_failed_ledger(spark, tmp_path):
     flat = spark.createDataFrame([r for b in batches for r in b], schema)
     want = {tuple(r) for r in batch_uploads.failed_ledger(flat).collect()}
     assert got == want and {r[0] for r in got} == {2, 3}
+    newest = {tuple(r) for r in uploads.open_failures(spark, str(tmp_path / "ledger")).collect()}
+    assert newest == want
+    # a new checkpoint goes on from the old ledger
+    again = staged(spark, [[(2, at(9), "success", None), (5, at(9), "failure", "e")]], schema, str(tmp_path / "more"))
+    uploads.failed_ledger(again, str(tmp_path / "ledger"), str(tmp_path / "other-cp")).awaitTermination(120)
+    assert {r.upload_id for r in uploads.open_failures(spark, str(tmp_path / "ledger")).collect()} == {3, 5}
 
 
 def test_rate_limit_stream(spark, tmp_path):
