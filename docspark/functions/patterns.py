@@ -49,3 +49,6 @@ FULL_WALK = {
 }
 ROLL_VALUE = r"^\d{6,15}$"
 ROLL_WEAK = WORD_START + r"(\d{6,15})" + WORD_END
+
+# --- e-mail addresses: no dot in front, no two dots in a row ----------------------------
+EMAIL = r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$"

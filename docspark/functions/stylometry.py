@@ -31,8 +31,15 @@ def sentences_of(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_GAP), lambda s: s.rlike(r"\S"))
 
 
-def windows_of(text: Column, window: int = fixed.WINDOW_CHARS, max_windows: int = fixed.MAX_WINDOWS) -> Column:
-    """Up to ``max_windows`` overlapping windows spread over the text; a short text is one window."""
+def windows_of(text: Column, window: int = fixed.WINDOW_CHARS, max_windows: int | None = None) -> Column:
+    """Windows that tile the whole text; a short text is one window.
+
+    With ``max_windows``, at most that many overlapping windows spread over the text instead.
+    """
+    if max_windows is None:
+        return let(text, lambda t: F.when(F.length(t) <= window, F.array(t)).otherwise(
+            F.regexp_extract_all(t, F.lit(f"(?s).{{1,{window}}}"), F.lit(0))))
+
     def spread(t: Column) -> Column:
         span = F.greatest(F.length(t) - window, F.lit(0))
         step = F.greatest(F.lit(1), F.floor(span / max(1, max_windows - 1)).cast("int"))

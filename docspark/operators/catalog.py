@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import fixed, naming
-from docspark.functions.expr import strip
+from docspark.functions.expr import let, strip
 
 
 def parse_object_key(df: DataFrame, stage: str | None = None, key_col: str = "key") -> DataFrame:
@@ -86,9 +86,10 @@ def derive_output_keys(catalog: DataFrame) -> DataFrame:
 def find_derived(sources: DataFrame, catalog: DataFrame) -> DataFrame:
     """Does each source's rewritten copy exist; if not, which alternatives are there?
 
-    Alternatives are the keys worth trying plus the first object of the same upload whose
-    name carries the source's base name and the rewritten suffix. That search is an
-    equi-join on (upload prefix, base name), never a scan of one upload per source.
+    Alternatives are the keys worth trying plus the first object of the same upload that is a rewritten copy and
+    whose key contains the source's base name. A base name has no slash, so it lies inside one segment of the key: copies are
+    cut into the pieces of the lengths that base names of their upload have, the first key per piece is kept, and
+    an equi-join on (upload, piece) finds it. Pairs of sources and copies never arise.
     """
     suffix = fixed.REWRITTEN_SUFFIX
     key = F.col("key")
@@ -101,17 +102,18 @@ def find_derived(sources: DataFrame, catalog: DataFrame) -> DataFrame:
         }
     )
     stored = catalog.select(F.col("key").alias("expected")).distinct().withColumn("exists", F.lit(True))
-    copies = (
-        catalog.filter(F.contains(F.col("key"), F.lit(suffix)))
-        .select(
-            F.regexp_extract("key", r"^([^/]*/[^/]*/[^/]*/[^/]*)", 1).alias("_upload"),
-            F.regexp_replace(naming.file_name(F.col("key")), r"_humanized\.docx.*$", "").alias("_base"),
-            F.col("key").alias("_found"),
-        )
-        .groupBy("_upload", "_base")
-        .agg(F.min("_found").alias("found"))
+    lengths = wanted.groupBy("_upload").agg(F.collect_set(F.length("_base")).alias("_lengths"))
+    copies = catalog.filter(F.contains(F.col("key"), F.lit(suffix))).select(
+        F.regexp_extract("key", r"^([^/]*/[^/]*/[^/]*/[^/]*)", 1).alias("_upload"), F.col("key").alias("_found")
     )
-    joined = wanted.join(stored, "expected", "left").join(copies, ["_upload", "_base"], "left")
+    sized = copies.join(lengths, "_upload").select("_upload", "_found", F.explode("_lengths").alias("_n"))
+    cut = let(F.col("_n"), lambda n: F.flatten(F.transform(
+        F.filter(F.split("_found", "/"), lambda s: F.length(s) >= n),
+        lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)),
+    )))
+    found = sized.select("_upload", "_found", F.explode(F.array_distinct(cut)).alias("_base")).groupBy("_upload", "_base").agg(
+        F.min("_found").alias("found"))
+    joined = wanted.join(stored, "expected", "left").join(found, ["_upload", "_base"], "left")
     exists = F.coalesce("exists", F.lit(False))
     moved = F.when(F.contains(key, F.lit("/raw/")), F.regexp_replace("sibling", r"^(.*?)/raw/", "$1/formatted/"))
     return joined.select(
@@ -149,12 +151,13 @@ def select_file_type(catalog: DataFrame, extension: str) -> tuple[DataFrame, Dat
     return catalog.filter(wanted), refused
 
 
-def preview(df: DataFrame, key_col: str = "key", text_col: str = "text") -> DataFrame:
-    """The first 5000 characters of a Word document's text; a fixed message for other types."""
+def preview(df: DataFrame, key_col: str = "key", text_col: str = "text", chars: int | None = None) -> DataFrame:
+    """A Word document's text, or its first ``chars`` characters; a fixed message for other types."""
     message = F.concat(F.lit("[Preview for "), naming.file_name(F.col(key_col)), F.lit(" not available]"))
+    shown = F.col(text_col) if chars is None else F.substring(text_col, 1, chars)
     return df.withColumn(
         "preview",
-        F.when(F.col(key_col).endswith(".docx"), F.substring(text_col, 1, fixed.PREVIEW_CHARS)).otherwise(message),
+        F.when(F.col(key_col).endswith(".docx"), shown).otherwise(message),
     )
 
 

@@ -79,8 +79,6 @@ def extract_identity(df: DataFrame, strict: bool = True, literal: bool = False,
 
 
 # --- label walk over text nodes ---------------------------------------------------------
-LABEL_NODES = 30
-TEXT_NODES = 25
 LOOKAHEAD = 3
 NEIGHBOURHOOD = 200
 
@@ -112,8 +110,11 @@ def _labelled(nodes: Column, limit: int | None, label: str, own_ok, next_ok, min
     return F.get(F.filter(F.transform(indexes, value_at), lambda v: v.isNotNull()), F.lit(0))
 
 
-def detect_identity_nodes(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
-    """Label walk over the first nodes of a document, then patterns, then a weak guess.
+def detect_identity_nodes(df: DataFrame, nodes_col: str = "nodes", label_nodes: int | None = None,
+                          text_nodes: int | None = None) -> DataFrame:
+    """Label walk over the nodes of a document, then patterns over its text, then a weak guess.
+
+    Whole documents are read; ``label_nodes`` and ``text_nodes`` limit the walk and the patterns to the first nodes.
 
     ``nodes_col`` is the ordered array of the document's text nodes. ``evidence`` columns say
     which phase found each value.
@@ -123,11 +124,11 @@ def detect_identity_nodes(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
     long_enough = lambda v: F.length(v) > 2
     named = lambda v: (F.length(v) > 2) & ~v.rlike(r"^\d+$")
     numbered = lambda v: v.rlike(patterns.ROLL_VALUE)
-    head = strip(F.array_join(F.slice(nodes_col, 1, TEXT_NODES), " "))
+    head = strip(F.array_join(nodes_col if text_nodes is None else F.slice(nodes_col, 1, text_nodes), " "))
     walked = df.select(
         *kept,
-        let(F.col(nodes_col), lambda n: _labelled(n, LABEL_NODES, p["name_label"], long_enough, named, 2)).alias("nl"),
-        let(F.col(nodes_col), lambda n: _labelled(n, LABEL_NODES, p["roll_label"], numbered, numbered, 2)).alias("rl"),
+        let(F.col(nodes_col), lambda n: _labelled(n, label_nodes, p["name_label"], long_enough, named, 2)).alias("nl"),
+        let(F.col(nodes_col), lambda n: _labelled(n, label_nodes, p["roll_label"], numbered, numbered, 2)).alias("rl"),
         head.alias("head"),
     )
     found = walked.select(
@@ -258,9 +259,9 @@ def first_per_document(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def first_nodes(nodes: DataFrame, n: int = LABEL_NODES) -> DataFrame:
-    """The first ``n`` text nodes of each document."""
-    return nodes.filter(F.col("node_idx") < n)
+def first_nodes(nodes: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` text nodes of each document; all of them without a number."""
+    return nodes if n is None else nodes.filter(F.col("node_idx") < n)
 
 
 def nodes_to_documents(nodes: DataFrame, key: str = "doc_id") -> DataFrame:

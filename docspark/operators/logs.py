@@ -97,15 +97,21 @@ def _deep_redactor():
     return redact
 
 
-def truncate_body(body: Column, limit: int = fixed.MAX_BODY_CHARS) -> Column:
-    """Bodies over the limit keep their start and say how much more there was; broken JSON is null."""
+def truncate_body(body: Column, limit: int | None = None) -> Column:
+    """Bodies over the limit keep their start and say how much more there was; broken JSON is null.
+
+    Without a limit every body that parses stays whole.
+    """
+    if limit is None:
+        return F.when(F.try_parse_json(body).isNotNull(), body)
     over = F.length(body) - limit
     cut = F.concat(F.substring(body, 1, limit), F.lit("...(+"), over.cast("string"), F.lit(" more)"))
     return F.when(over > 0, cut).when(F.try_parse_json(body).isNotNull(), body)
 
 
-def first_headers(headers: Column, n: int = fixed.MAX_HEADERS) -> Column:
-    return F.map_from_entries(F.slice(F.map_entries(headers), 1, n))
+def first_headers(headers: Column, n: int | None = None) -> Column:
+    """The first ``n`` entries of a header map; all of them without a number."""
+    return headers if n is None else F.map_from_entries(F.slice(F.map_entries(headers), 1, n))
 
 
 def sample_rows(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
@@ -122,10 +128,11 @@ def rate_limit_violations(logs: DataFrame, client: str = "user_id", window: str
     )
 
 
-def request_log_rows(requests: DataFrame, sample_rate: float = 1.0, seed: int = 0) -> DataFrame:
-    """Raw requests to stored log rows: sampled, sensitive values masked, bodies cut, levels added."""
+def request_log_rows(requests: DataFrame, sample_rate: float = 1.0, seed: int = 0,
+                     max_body: int | None = None) -> DataFrame:
+    """Raw requests to stored log rows: sampled, sensitive values masked, bodies cut to ``max_body``, levels added."""
     kept = requests if sample_rate >= 1 else sample_rows(requests, sample_rate, "request_id", seed)
-    masked = redact_json_bodies(kept).withColumn("body", truncate_body(F.col("body")))
+    masked = redact_json_bodies(kept).withColumn("body", truncate_body(F.col("body"), max_body))
     return masked.withColumns(
         {
             "ip": client_ip(F.col("forwarded_for"), F.col("remote_ip")),

@@ -246,9 +246,11 @@ def removed_lines(df: DataFrame, before: str, after: str, key: str = "doc_id") -
     return df.select(key, F.posexplode(lost).alias("pos", "line"))
 
 
-def removed_preview(lines: DataFrame, n: int = 10, width: int = 100, key: str = "doc_id") -> DataFrame:
-    """First ``n`` removed lines of each document, each cut to ``width`` characters."""
-    return lines.filter(F.col("pos") < n).select(key, "pos", F.substring("line", 1, width).alias("line"))
+def removed_preview(lines: DataFrame, n: int | None = None, width: int | None = None, key: str = "doc_id") -> DataFrame:
+    """First ``n`` removed lines of each document, each cut to ``width`` characters; without bounds, all and whole."""
+    shown = lines if n is None else lines.filter(F.col("pos") < n)
+    line = F.col("line") if width is None else F.substring("line", 1, width)
+    return shown.select(key, "pos", line.alias("line"))
 
 
 def node_difference(before: DataFrame, after: DataFrame) -> DataFrame:

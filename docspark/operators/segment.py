@@ -42,7 +42,8 @@ def chunk_text(df: DataFrame, text_col: str = "text", width: int = fixed.CHUNK_C
 
 
 def sample_windows(df: DataFrame, text_col: str = "text", window: int = fixed.WINDOW_CHARS,
-                   max_windows: int = fixed.MAX_WINDOWS) -> DataFrame:
+                   max_windows: int | None = None) -> DataFrame:
+    """One row per window: the whole text in tiles, or ``max_windows`` windows spread over it."""
     return _explode(df, stylometry.windows_of(F.col(text_col), window, max_windows), "segment", text_col)
 
 
@@ -122,9 +123,9 @@ def reject_empty(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def token_gate(df: DataFrame, min_tokens: int = 64, max_tokens: int | None = 512,
+def token_gate(df: DataFrame, min_tokens: int = 64, max_tokens: int | None = None,
                words_col: str = "words") -> DataFrame:
-    """Marks documents long enough to be scored and cuts the scored tokens to the model's limit."""
+    """Marks documents long enough to be scored; a model's ``max_tokens`` also cuts the scored tokens."""
     words = F.col(words_col)
     gated = df.withColumn("n_tokens", F.size(words)).withColumn("scorable", F.col("n_tokens") >= min_tokens)
     if max_tokens is None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"^[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$"
+from docspark.functions import patterns
+
 PUBLIC = ["id", "email", "username", "role", "created_at"]
 
 
@@ -16,7 +17,7 @@ def validate_users(df: DataFrame) -> DataFrame:
         return F.when(F.coalesce((n < low) | (n > high), F.lit(True)), f"{name} must have {low} to {high} characters")
 
     email = F.when(
-        ~F.coalesce(F.col("email").rlike(EMAIL) & ~F.contains(F.col("email"), F.lit("..")), F.lit(False)),
+        ~F.coalesce(F.col("email").rlike(patterns.EMAIL), F.lit(False)),
         "email is not valid",
     )
     reasons = F.array_compact(F.array(email, length_between("username", 3, 50), length_between("password", 6, 100)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.functions import naming
+from docspark.functions import fixed, naming
 from docspark.operators import catalog
 from docspark.plans import views
 from docspark.plans.registry import Tables, query
@@ -130,8 +130,7 @@ x AS (SELECT key, regexp_replace(regexp_replace(key, '/raw/', '/formatted/'), '(
 y AS (SELECT x.*, expected IN (SELECT key FROM object_catalog) AS ex,
   (SELECT min(c.key) FROM object_catalog c WHERE contains(c.key, '_humanized.docx')
     AND array_to_string(string_split(c.key, '/')[1:4], '/') = array_to_string(string_split(x.key, '/')[1:4], '/')
-    AND regexp_replace(string_split(c.key, '/')[-1], '_humanized\.docx.*$', '') =
-      replace(string_split(x.key, '/')[-1], '.docx', '')) AS found FROM x)
+    AND contains(c.key, regexp_replace(string_split(x.key, '/')[-1], '\.docx', ''))) AS found FROM x)
 SELECT key, expected, ex AS exists, CASE WHEN NOT ex THEN list_filter([
   CASE WHEN contains(key, '/raw/') THEN regexp_replace(sibling, '/raw/', '/formatted/') END, sibling, found],
   lambda v: v IS NOT NULL) END AS alternatives FROM y""",
@@ -195,7 +194,7 @@ def preview(t: Tables):
         "doc_id", F.concat(F.lit("a/doc"), d.cast("string"), F.when(d % 2 == 0, ".docx").otherwise(".pdf")).alias("key"),
         "text",
     )
-    return catalog.preview(keyed).drop("text")
+    return catalog.preview(keyed, chars=fixed.PREVIEW_CHARS).drop("text")
 
 
 @query(

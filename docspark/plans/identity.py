@@ -263,12 +263,12 @@ lines AS (SELECT doc_id, u.i, {oracle.strip('u.x')} AS line, redacted_text
   FROM red, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(x, i)),
 gone AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, line
   FROM lines WHERE line <> '' AND NOT contains(redacted_text, line))
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(line, 1, 100) AS line FROM gone WHERE pos < 10""",
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(line, 1, 20) AS line FROM gone WHERE pos < 3""",
 )
 def removed_lines_preview(t: Tables):
-    """The report's top ten removed lines per document, cut to 100 characters."""
+    """A report's top three removed lines per document, cut to 20 characters."""
     lines = redact.removed_lines(redact.redact_everywhere(views.id_docs(t)), "text", "redacted_text")
-    return redact.removed_preview(lines)
+    return redact.removed_preview(lines, 3, 20)
 
 
 # --- node tables ------------------------------------------------------------------------
@@ -299,8 +299,8 @@ GIVEN = "length({v}) > 0"
 
 def short_walk(rows: str, p: str = "") -> str:
     """CTEs ending in ``{p}id``: the short label walk over node rows called ``rows``."""
-    name = labelled(SHORT_NAME_LABEL, LONG, NAMED, "node_idx < 30 AND length(s) >= 2 AND")
-    roll = labelled(SHORT_ROLL_LABEL, NUMBERED, NUMBERED, "node_idx < 30 AND length(s) >= 2 AND")
+    name = labelled(SHORT_NAME_LABEL, LONG, NAMED, "length(s) >= 2 AND")
+    roll = labelled(SHORT_ROLL_LABEL, NUMBERED, NUMBERED, "length(s) >= 2 AND")
     return f"""
 {p}st AS (SELECT doc_id, node_idx, text, {oracle.strip('text')} AS s FROM {rows}),
 {p}ld AS (SELECT *, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(s, 3) OVER w AS s3 FROM {p}st
@@ -308,7 +308,7 @@ def short_walk(rows: str, p: str = "") -> str:
 {p}vv AS (SELECT doc_id, node_idx, text, {name} AS nv, {roll} AS rv FROM {p}ld),
 {p}ph AS (SELECT doc_id, min_by(nv, node_idx) FILTER (WHERE nv IS NOT NULL) AS nl,
   min_by(rv, node_idx) FILTER (WHERE rv IS NOT NULL) AS rl,
-  {oracle.strip("string_agg(text, ' ' ORDER BY node_idx) FILTER (WHERE node_idx < 25)")} AS head
+  {oracle.strip("string_agg(text, ' ' ORDER BY node_idx)")} AS head
   FROM {p}vv GROUP BY doc_id),
 {p}tx AS (SELECT doc_id, nl, rl,
   {oracle.strip(first('head', r'(?i)(?:NAME|STUDENT\s+NAME|SUBMITTED\s+BY)\s*[:–-]?\s*([A-Z][A-Za-z]+\s+[A-Z][A-Za-z]+)'))} AS nt,
@@ -412,7 +412,7 @@ def label_then_value(t: Tables):
     f"WITH {views.NODE_ROWS}\nSELECT doc_id, node_idx, text FROM node_rows WHERE node_idx < 30",
 )
 def first_nodes(t: Tables):
-    return identity.first_nodes(views.node_rows(t))
+    return identity.first_nodes(views.node_rows(t), 30)
 
 
 @query(

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions import fixed
 from docspark.operators import logs
 from docspark.plans import oracle, views
 from docspark.plans.registry import Tables, query
@@ -102,7 +103,7 @@ SELECT event_id AS request_id, created_at, method, status_code, user_id, respons
   {LEVELS} AS level, {TEXTS} AS status_text FROM request_logs""",
 )
 def request_log_rows(t: Tables):
-    return logs.request_log_rows(raw_requests(t))
+    return logs.request_log_rows(raw_requests(t), max_body=fixed.MAX_BODY_CHARS)
 
 
 @query(
@@ -130,7 +131,7 @@ def truncate_body(t: Tables):
     body = F.when(F.col("turn") % 4 == 3, F.concat(F.lit('{"text": broken '), text)).otherwise(
         F.concat(F.lit('{"text":"'), text, F.lit('"}'))
     )
-    return t.conversations.select("conv_id", "turn", logs.truncate_body(body).alias("body"))
+    return t.conversations.select("conv_id", "turn", logs.truncate_body(body, fixed.MAX_BODY_CHARS).alias("body"))
 
 
 @query(
@@ -146,7 +147,7 @@ def first_headers(t: Tables):
         "doc_id", F.map_from_arrays("w", F.transform("w", F.length)).alias("h")
     )
     return heads.select(
-        "doc_id", F.size("h").alias("headers"), F.size(logs.first_headers(F.col("h"))).alias("kept")
+        "doc_id", F.size("h").alias("headers"), F.size(logs.first_headers(F.col("h"), fixed.MAX_HEADERS)).alias("kept")
     )
 
 

@@ -32,6 +32,15 @@ WORD = "[A-Za-z'']+"
 
 
 def windows(expr: str) -> str:
+    """Windows that tile a text."""
+    return (
+        f"CASE WHEN length({expr}) <= 800 THEN [{expr}] ELSE list_transform(range(0, length({expr}), 800), "
+        f"lambda i: substr({expr}, i + 1, 800)) END"
+    )
+
+
+def spread_windows(expr: str) -> str:
+    """Six windows spread over a text."""
     n = f"length({expr})"
     return (
         f"CASE WHEN {n} <= 800 THEN [{expr}] ELSE list_transform("

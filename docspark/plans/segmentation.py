@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.functions import stylometry
+from docspark.functions import fixed, stylometry
 from docspark.functions.expr import let
 from docspark.operators import segment
 from docspark.plans import oracle
@@ -26,10 +26,11 @@ def chunk_offsets(t: Tables):
     "sample_windows",
     f"""
 SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS pos, u.w AS segment
-FROM (SELECT doc_id, {oracle.windows('text')} AS ws FROM documents) d, unnest(ws) WITH ORDINALITY AS u(w, i)""",
+FROM (SELECT doc_id, {oracle.spread_windows('text')} AS ws FROM documents) d, unnest(ws) WITH ORDINALITY AS u(w, i)""",
 )
 def sample_windows(t: Tables):
-    return segment.sample_windows(t.texts)
+    """Six windows spread over each text."""
+    return segment.sample_windows(t.texts, max_windows=fixed.MAX_WINDOWS)
 
 
 @query(
@@ -116,7 +117,7 @@ def word_ngrams(t: Tables):
     Sorting a document's grams in its row marks their first occurrences, so the number of
     documents is a plain sum and needs no distinct.
     """
-    grams = segment.word_ngrams(t.texts).select(F.array_sort("ngrams").alias("g"))
+    grams = segment.word_ngrams(t.texts).select(F.sort_array("ngrams").alias("g"))
     marked = let(
         F.col("g"),
         lambda g: F.transform(
@@ -135,7 +136,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS n_tokens, n >= 64 AS scorable, n > 512 AS t
 FROM (SELECT doc_id, len(regexp_extract_all(text, '{oracle.WORD}')) AS n FROM documents)""",
 )
 def token_gate(t: Tables):
-    gated = segment.token_gate(segment.tokenize_words(t.texts))
+    gated = segment.token_gate(segment.tokenize_words(t.texts), max_tokens=512)
     return gated.select("doc_id", "n_tokens", "scorable", "truncated", F.size("words").alias("n_scored"))
 
 

@@ -54,12 +54,13 @@ def accepted_users(t: Tables):
     "validate_users",
     WITH
     + r""",
-raw AS (SELECT id, CASE WHEN id % 4 = 0 THEN replace(email, '@', ' at ') ELSE email END AS email,
+raw AS (SELECT id, CASE WHEN id % 4 = 0 THEN replace(email, '@', ' at ') WHEN id % 7 = 0 THEN '.' || email
+    WHEN id % 11 = 0 THEN 'a..' || email ELSE email END AS email,
   CASE WHEN id % 6 = 0 THEN 'ab' ELSE username END AS username,
   CASE WHEN id % 9 = 0 THEN 'short' ELSE password END AS password, CASE WHEN id % 2 = 0 THEN role END AS role
   FROM user_table)
 SELECT id, coalesce(role, 'user') AS role, list_filter([
-  CASE WHEN NOT regexp_matches(email, '^[A-Za-z0-9_''+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$')
+  CASE WHEN starts_with(email, '.') OR contains(email, '..') OR NOT regexp_matches(email, '^[A-Za-z0-9_''+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$')
     THEN 'email is not valid' END,
   CASE WHEN length(username) NOT BETWEEN 3 AND 50 THEN 'username must have 3 to 50 characters' END,
   CASE WHEN length(password) NOT BETWEEN 6 AND 100 THEN 'password must have 6 to 100 characters' END],
@@ -69,7 +70,9 @@ def validate_users(t: Tables):
     i = F.col("id")
     raw = views.user_table(t).select(
         "id",
-        F.when(i % 4 == 0, F.replace("email", F.lit("@"), F.lit(" at "))).otherwise(F.col("email")).alias("email"),
+        F.when(i % 4 == 0, F.replace("email", F.lit("@"), F.lit(" at ")))
+        .when(i % 7 == 0, F.concat(F.lit("."), "email")).when(i % 11 == 0, F.concat(F.lit("a.."), "email"))
+        .otherwise(F.col("email")).alias("email"),
         F.when(i % 6 == 0, "ab").otherwise(F.col("username")).alias("username"),
         F.when(i % 9 == 0, "short").otherwise(F.col("password")).alias("password"),
         F.when(i % 2 == 0, F.col("role")).alias("role"),

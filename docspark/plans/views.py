@@ -70,7 +70,7 @@ ID_DOCS = f"""id_docs AS (
 
 
 def id_nodes(t: Tables) -> DataFrame:
-    """Documents as ordered text nodes: a cover in six styles, the text lines, name and number again."""
+    """Documents as ordered text nodes: a cover in seven styles (one far down), the text lines, name and number again."""
     docs = t.texts.withColumn("n", person()).withColumn("r", roll())
     n, r = F.col("n"), F.col("r")
     cover = _case(
@@ -78,7 +78,9 @@ def id_nodes(t: Tables) -> DataFrame:
             F.array(F.lit("NAME:"), n, F.lit("ROLL NUMBER:"), r),
             F.array(F.concat(F.lit("Student Name: "), n), F.concat(F.lit("Roll No "), r)),
             F.array(F.lit("Submitted by:"), F.lit("12345"), n, F.concat(F.lit("Enrollment No: "), r)),
-            F.array().cast("array<string>"),
+            F.when(F.col("doc_id") % 12 == 9, F.concat(
+                F.array_repeat(F.lit("plain text"), 35), F.array(F.lit("NAME:"), n, F.concat(F.lit("ROLL NO: "), r))
+            )).otherwise(F.array().cast("array<string>")),
             F.array(F.concat(F.lit("Prepared for "), n, F.lit(" "), r)),
         ],
         F.array(F.concat(n, F.lit(" registered")), F.concat(F.lit("ROLL NO: "), r)),
@@ -91,7 +93,8 @@ ID_NODES = f"""id_nodes AS (
     WHEN 0 THEN ['NAME:', n, 'ROLL NUMBER:', r]
     WHEN 1 THEN ['Student Name: ' || n, 'Roll No ' || r]
     WHEN 2 THEN ['Submitted by:', '12345', n, 'Enrollment No: ' || r]
-    WHEN 3 THEN CAST([] AS VARCHAR[])
+    WHEN 3 THEN CASE WHEN doc_id % 12 = 9 THEN list_concat(list_transform(range(35), lambda k: 'plain text'), ['NAME:', n, 'ROLL NO: ' || r])
+      ELSE CAST([] AS VARCHAR[]) END
     WHEN 4 THEN ['Prepared for ' || n || ' ' || r]
     ELSE [n || ' registered', 'ROLL NO: ' || r] END,
     list_concat(string_split(text, {NL}), [n, r])) AS nodes
@@ -133,7 +136,8 @@ def object_catalog(t: Tables) -> DataFrame:
     derived = keyed.filter((d % 2 == 0) & (d % 5 < 2)).select(
         "doc_id",
         F.concat("f", F.when(d % 5 == 0, F.lit("/formatted")).otherwise(F.lit("/other")),
-                 F.when(d % 7 == 0, "/sub").otherwise(""), "b", F.lit("_humanized.docx")).alias("key"),
+                 F.when(d % 7 == 0, "/sub").otherwise(""), "b", F.when(d % 4 == 0, "_v2").otherwise(""),
+                 F.lit("_humanized.docx")).alias("key"),
         (F.col("size") + d % 3).alias("size"),
     )
     loose = keyed.filter(d % 50 == 0).select(
@@ -149,7 +153,7 @@ object_catalog AS (
   SELECT doc_id, f || '/' || s || sub || b || CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '.PDF' END AS key, size
   FROM keyed
   UNION ALL SELECT doc_id, f || CASE WHEN doc_id % 5 = 0 THEN '/formatted' ELSE '/other' END || sub || b
-    || '_humanized.docx', size + doc_id % 3 FROM keyed WHERE doc_id % 2 = 0 AND doc_id % 5 < 2
+    || CASE WHEN doc_id % 4 = 0 THEN '_v2' ELSE '' END || '_humanized.docx', size + doc_id % 3 FROM keyed WHERE doc_id % 2 = 0 AND doc_id % 5 < 2
   UNION ALL SELECT doc_id, 'edited-files' || b || '.html', size FROM keyed WHERE doc_id % 50 = 0)"""
 
 

@@ -58,6 +58,22 @@ def test_number_duplicates(spark):
         "a.txt", "a(1).txt", "a(2).txt", "b", "b(1)", ".env", ".env(1)", "x.tar.gz", "x.tar(1).gz"]
 
 
+def test_number_duplicates_around_taken_names(spark):
+    schema = "dir string, name string, ts int"
+    files = spark.createDataFrame([("d", "a.pdf", 1), ("d", "a.pdf", 2), ("d", "a(1).pdf", 3), ("e", "a.pdf", 4), ("e", "a.pdf", 4)], schema)
+    assert sorted(r.final_name for r in uploads.number_duplicates(files).collect()) == ["a(1).pdf", "a(1).pdf", "a(2).pdf", "a.pdf", "a.pdf"]
+    stored = spark.createDataFrame([("d", n) for n in ("a.pdf", "a(1).pdf", "a(3).pdf", "a(4).pdf", "a(01).pdf")], "dir string, name string")
+    new = spark.createDataFrame([("d", "a.pdf", i) for i in range(4)], schema)
+    assert [r.final_name for r in uploads.number_duplicates(new, stored).orderBy("ts").collect()] == ["a(2).pdf", "a(5).pdf", "a(6).pdf", "a(7).pdf"]
+
+
+def test_derived_copy_whose_name_contains_the_source(spark):
+    keys = ["users/u/uploads/x/raw/report.docx", "users/u/uploads/x/other/report_v2_humanized.docx", "users/u/uploads/y/other/report_humanized.docx"]
+    stored = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = catalog.find_derived(stored.limit(1), stored).first()
+    assert not got["exists"] and got.alternatives[-1] == keys[1]
+
+
 def test_filename_strategies(spark):
     files = spark.createDataFrame([(5, "a b.txt")], "upload_id bigint, name string")
     assert uploads.final_names(files).first().final_name == "5"

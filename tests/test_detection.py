@@ -52,7 +52,8 @@ def brute_features(window):
 
 def test_features_match_brute_force(docs):
     for row in detect.document_features(docs).collect():
-        rows = [brute_features(w) for w in brute_windows(TEXTS[row.doc_id])]
+        text = TEXTS[row.doc_id]
+        rows = [brute_features(text[i:i + 800]) for i in range(0, max(1, len(text)), 800)]
         for name in stylometry.FEATURES:
             assert row[name] == pytest.approx(statistics.fmean(r[name] for r in rows), abs=1e-9), (row.doc_id, name)
         assert 0.15 <= row.ai_likeness <= 0.85
@@ -64,7 +65,9 @@ def test_windows_and_chunks_rebuild_text(docs):
         mine = [c for c in chunks if c.doc_id == doc_id]
         assert "".join(c.segment for c in mine) == text
         assert all(text[c.start_index:c.end_index] == c.segment for c in mine)
-    for row in segment.sample_windows(docs).groupBy("doc_id").agg(F.collect_list("segment").alias("w")).collect():
+    for row in segment.sample_windows(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "segment"))).alias("w")).collect():
+        assert "".join(w.segment for w in row.w) == TEXTS[row.doc_id] and all(len(w.segment) <= 800 for w in row.w)
+    for row in segment.sample_windows(docs, max_windows=6).groupBy("doc_id").agg(F.collect_list("segment").alias("w")).collect():
         assert sorted(row.w) == sorted(brute_windows(TEXTS[row.doc_id]))
 
 
@@ -178,3 +181,14 @@ def test_scorer_failures_are_isolated(spark):
     assert got[3] == (None, "scoring_failed")
     assert all(got[i] == (i / 10, None) for i in range(9) if i != 3)
     assert scorers.score_by("stylometric", df).filter("score is null").count() == 0
+
+
+def test_a_batch_that_fails_half_way(spark):
+    from docspark.operators import scorers
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(6)], "doc_id bigint, text string").coalesce(1)
+    load = lambda: lambda texts: [None if t == "1" else int(t) / 10 for t in texts]
+    got = {r.doc_id: (r.score, r.error) for r in scorers.score_with(df, load).collect()}
+    assert got == {i: ((None, "scoring_failed") if i == 1 else (i / 10, None)) for i in range(6)}
+    short = {r.doc_id: r.error for r in scorers.score_with(df, lambda: lambda texts: [0.5] * min(len(texts), 1)).collect()}
+    assert short == dict.fromkeys(range(6))
