@@ -227,18 +227,19 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     runs = cut_lineage(rows.select("doc", "text_hash", "text").mapInArrow(_runs_of(window, anchor), RUNS))
 
     met = runs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
-    shared = cut_lineage(runs.join(met, "anchor", "left_semi"))
-    regions = shared.groupBy("anchor", "region").agg(F.min("doc").alias("owner"))
+    # what is joined by a hot key is written first: a join of two plain shuffles is one that Spark splits
+    shared = cut_lineage(runs.join(cut_lineage(met), "anchor", "left_semi"))
+    regions = cut_lineage(shared.groupBy("anchor", "region").agg(F.min("doc").alias("owner")))
     owned = cut_lineage(shared.join(regions, ["anchor", "region"]))
     whole = owned.filter("doc > owner").select("doc", "text_hash", "first", "last")
 
     edges = owned.filter("doc = owner")
     differing = edges.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
-    chosen = edges.join(differing, "anchor", "left_semi").groupBy("doc", "text_hash").agg(_spans(F.col("first"), F.col("last")).alias("runs"))
+    chosen = edges.join(cut_lineage(differing), "anchor", "left_semi").groupBy("doc", "text_hash").agg(_spans(F.col("first"), F.col("last")).alias("runs"))
     texts = rows.select("doc", "text_hash", "text").join(cut_lineage(chosen).hint("shuffle_hash"), ["doc", "text_hash"])
     windows = cut_lineage(texts.select("doc", "text_hash", "text", "runs").mapInArrow(_windows_of(window), WINDOWS))
     owners = windows.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).filter("owner < high").select("h1", "h2", "owner")
-    single = windows.join(owners, ["h1", "h2"]).filter("doc > owner").select("doc", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+    single = windows.join(cut_lineage(owners), ["h1", "h2"]).filter("doc > owner").select("doc", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
     return cut_lineage(whole.unionByName(single).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
 
 
