@@ -52,3 +52,8 @@ ROLL_WEAK = WORD_START + r"(\d{6,15})" + WORD_END
 
 # --- e-mail addresses: no dot in front, no two dots in a row ----------------------------
 EMAIL = r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$"
+
+# --- paragraphs of an assignment (white space collapsed, lower case) ---------------------
+QUESTION = r"^q\s*\d+[\.:]*|^question\s+\d+"
+ANSWER = r"^a\s*\d+[\.:]*|^answer\s+\d+"
+HEADING_WORDS = ["assignment", "set"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from docspark.functions.expr import draw, draw_int, let, strip
 from docspark.functions.stylometry import sentences_of
 
 TOKEN = r"[\p{L}']+|[^\p{L}']+"
+WORD = r"[\p{L}']+"
 PIECE = r"[\p{L}']+[^\p{L}']*|[^\p{L}']+"
 WORD_HEAD = r"^([\p{L}']*)"
 
@@ -202,22 +200,3 @@ def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, F.lit(1.0) - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
-
-def first_changed_enough(max_similarity: float = fixed.MAX_SIMILARITY):
-    """Vectorised UDF: index of the first candidate whose matching-block ratio is low enough, or null.
-
-    Null candidates were rejected by the native guards and are not compared.
-    """
-    limit = max_similarity
-
-    @F.pandas_udf("int")
-    def pick(texts: pd.Series, candidates: pd.Series) -> pd.Series:
-        def chosen(text, options):
-            for i, option in enumerate(options if options is not None else []):
-                if option is not None and difflib.SequenceMatcher(a=text, b=option).ratio() <= limit:
-                    return i
-            return None
-
-        return pd.Series([chosen(t, c) for t, c in zip(texts, candidates)], dtype="Int32")
-
-    return pick

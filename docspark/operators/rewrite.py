@@ -1,24 +1,25 @@
 """Seeded text augmentation with quality guards.
 
 Every random choice is a hash of (seed, document, position), so a rerun or a lost task
-gives the same text. Only the lexicon lookup leaves the row.
+gives the same text. Only the distinct words of a row leave it for the lexicon lookup.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions import fixed, wording
+from docspark.functions import fixed, patterns, wording
 from docspark.functions.expr import draw, draw_int, let, strip
 from docspark.functions.stylometry import sentences_of
 from docspark.operators.segment import tokenize_counts
 from docspark.operators.skew import balanced_join
 from docspark.session import cut_lineage
-from docspark.sources.tables import keep_partitions
 
-BROADCAST_ROWS = 200_000
-GAP_KEYS = 4096
+#: Only longer words are looked up.
+MIN_WORD = 3
 
 
 # --- predicates on paragraphs and nodes -------------------------------------------------
@@ -27,23 +28,23 @@ def normalized(text: Column) -> Column:
 
 
 def is_question(text: Column) -> Column:
-    return normalized(text).rlike(r"^q\s*\d+[\.:]*|^question\s+\d+")
+    return normalized(text).rlike(patterns.QUESTION)
 
 
 def is_answer(text: Column) -> Column:
-    return normalized(text).rlike(r"^a\s*\d+[\.:]*|^answer\s+\d+")
+    return normalized(text).rlike(patterns.ANSWER)
 
 
 def is_section_heading(text: Column) -> Column:
-    return F.contains(normalized(text), F.lit("assignment")) & F.contains(normalized(text), F.lit("set"))
+    return functools.reduce(lambda a, b: a & b, [F.contains(normalized(text), F.lit(w)) for w in patterns.HEADING_WORDS])
 
 
-def rewrite_eligible(node_text: Column, para_text: Column, style: Column, is_list: Column,
-                     in_table: Column) -> Column:
+def rewrite_eligible(node_text: Column, para_text: Column, style: Column, is_list: Column, in_table: Column,
+                     min_para: int = fixed.MIN_REWRITE_PARAGRAPH, min_node: int = fixed.MIN_REWRITE_NODE) -> Column:
     """May a text node be rewritten? Headings, questions, tables and very short text may not."""
     heading = F.coalesce(style.rlike("(?i)heading"), F.lit(False))
-    long_enough = is_list | (F.length(strip(para_text)) >= 15)
-    worth_it = (F.length(strip(node_text)) >= 5) & node_text.rlike(r"[\p{L}\p{N}_]{2,}")
+    long_enough = is_list | (F.length(strip(para_text)) >= min_para)
+    worth_it = (F.length(strip(node_text)) >= min_node) & node_text.rlike(r"[\p{L}\p{N}_]{2,}")
     return ~heading & ~is_question(para_text) & long_enough & worth_it & ~in_table
 
 
@@ -80,23 +81,31 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Does the frame have at most ``rows`` rows? Looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def _row_key(key: str, text: Column) -> list[Column]:
+    """What tells rows apart: the key (null kept apart from every value) and a hash of the text.
 
+    Rows equal in both get the same drawn words, so they may share one entry.
+    """
+    return [F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")).alias("_k"), F.xxhash64(text).alias("_h")]
 
-def _lookup(tokens: DataFrame, lexicon: DataFrame, spread: list[str]) -> DataFrame:
-    """Tokens with their lexicon entry. Tokens that cannot match get throw-away keys that spread evenly."""
-    keyed = tokens.withColumn(
-        "word",
-        F.when(F.length("token") > 3, F.lower("token")).otherwise(
-            F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread), F.lit(GAP_KEYS)).cast("string"))
-        ),
+
+def _with_entries(df: DataFrame, lexicon: DataFrame, key: str, text: Column) -> DataFrame:
+    """``df`` with ``_entries``: the lexicon entries of the words that a row's text holds, null when there is none.
+
+    Only the distinct words of a row meet the lexicon, and only those found come back, folded to one small map per row.
+    The optimizer broadcasts the lexicon when its size allows that. A word that many rows hold is an ordinary skewed join key.
+    """
+    words = F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(wording.WORD), F.lit(0)), lambda w: F.length(w) > MIN_WORD), F.lower))
+    held = df.select(*_row_key(key, text), F.explode(words).alias("word")).join(lexicon, "word")
+    entries = held.groupBy("_k", "_h").agg(
+        F.map_from_entries(F.collect_set(F.struct("word", F.struct("word_class", "synonyms")))).alias("_entries")
     )
-    if is_bounded(lexicon):
-        return keyed.join(F.broadcast(lexicon), "word", "left")
-    counts = cut_lineage(keyed.groupBy("word").agg(F.count("*").alias("n")))
-    return balanced_join(keyed, lexicon, ["word"], counts, spread)
+    keyed = df.withColumns({"_k": _row_key(key, text)[0], "_h": _row_key(key, text)[1]})
+    return keyed.join(entries, ["_k", "_h"], "left").drop("_k", "_h")
+
+
+def _entry(entries: Column, token: Column) -> Column:
+    return F.when((F.length(token) > MIN_WORD) & entries.isNotNull(), F.try_element_at(entries, F.lower(token)))
 
 
 def _chosen(p_syn: Column | float, *keys: Column | str | int, pos: Column, token: Column, word_class: Column,
@@ -122,28 +131,20 @@ def _pieces(text: Column) -> Column:
 
 def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed: int = 0, key: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """Swap words for drawn synonyms. Other columns of ``df`` travel on the first token only."""
-    others = [c for c in df.columns if c not in (key, text_col)]
+    """Swap words for drawn synonyms inside each row; all other columns, and rows with equal or null keys, stay as they are."""
     if p_syn <= 0:
         return df
-    tokens = df.select(
-        key, F.struct(*others).alias("_rest") if others else F.lit(None).cast("int").alias("_rest"),
-        F.posexplode_outer(_pieces(F.col(text_col))).alias("pos", "piece"),
-    ).select(key, "_rest", "pos", "piece.*").withColumn("_rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_rest")))
-    found = _lookup(tokens, lexicon, [key, "pos"])
-    swapped = found.withColumn(
-        "token",
-        _chosen(p_syn, seed, F.col(key), pos=F.col("pos"), token=F.col("token"), word_class=F.col("word_class"),
-                synonyms=F.col("synonyms")),
-    )
-    rows = swapped.groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.concat("token", "gap").alias("token"))))
-        ).alias("_t"),
-        F.first("_rest", ignorenulls=True).alias("_rest"),
-    )
-    joined = F.array_join(F.transform("_t", lambda t: t["token"]), "").alias(text_col)
-    return rows.select(key, joined, *[F.col("_rest")[c].alias(c) for c in others])
+    found = _with_entries(df, lexicon, key, F.col(text_col))
+
+    def swapped(row: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            return let(_entry(row["entries"], p["token"]), lambda e: F.concat(
+                _chosen(p_syn, seed, row["key"], pos=i, token=p["token"], word_class=e["word_class"], synonyms=e["synonyms"]), p["gap"]))
+
+        return F.array_join(F.transform(_pieces(row["text"]), piece), "")
+
+    row = F.struct(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col("_entries").alias("entries"))
+    return found.select(*[let(row, swapped).alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 # --- whole pipelines --------------------------------------------------------------------
@@ -201,39 +202,23 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
                     text_col: str = "text", attempts: int = fixed.REWRITE_ATTEMPTS) -> DataFrame:
     """First of several seeded rewrites that passes the guards; the original when none does.
 
-    The lexicon is looked up once per node; all candidates of a node are then built and
-    judged inside its row. Guards: length within 20 %, low enough similarity, numbers kept.
+    The lexicon is looked up once per node; candidates are then built and judged one after the other inside its row, and
+    none after the first that passes. Guards: length within 20 %, numbers kept, edit similarity low enough, at any length.
     """
     core = nodes.select(
         F.col(key).alias("_key"), F.col(text_col).alias("_node"), strip(F.col(text_col)).alias("_core")
     ).withColumn("_c", wording.extract_citations(F.col("_core")))
-    tokens = core.select(
-        "_key",
-        F.posexplode_outer(_pieces(wording.expand_contractions(F.col("_c.text")))).alias("pos", "piece"),
-        "_node", "_core", F.col("_c.refs").alias("_refs"),
-    )
-    first = F.coalesce("pos", F.lit(0)) == 0
-    slim = tokens.select(
-        "_key", "pos", "piece.*", F.when(first, F.struct("_node", "_core", "_refs")).alias("_rest")
-    )
-    found = keep_partitions(_lookup(slim, lexicon, ["_key", "pos"]), "_key")
-    grouped = found.groupBy("_key").agg(
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "gap", "word_class", "synonyms"))
-            )
-        ).alias("_t"),
-        F.first("_rest", ignorenulls=True).alias("_rest"),
-    ).select("_key", "_t", "_rest.*")
+    expanded = core.select("_key", "_node", "_core", F.col("_c.refs").alias("_refs"), wording.expand_contractions(F.col("_c.text")).alias("_work"))
+    found = _with_entries(expanded, lexicon, "_key", F.col("_work"))
 
     def candidate(node: Column, attempt: Column) -> Column:
         keys = (seed, node["key"], attempt["n"])
         text = F.array_join(
             F.transform(
                 node["tokens"],
-                lambda t: F.concat(
-                    _chosen(attempt["p_syn"], *keys, pos=t["pos"], token=t["token"], word_class=t["word_class"],
-                            synonyms=t["synonyms"]),
+                lambda t, i: F.concat(
+                    _chosen(attempt["p_syn"], *keys, pos=i, token=t["token"], word_class=t["entry"]["word_class"],
+                            synonyms=t["entry"]["synonyms"]),
                     t["gap"],
                 ),
             ),
@@ -241,35 +226,35 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
         )
         opened = let(text, lambda x: wording.with_line_transitions(x, attempt["p_trans"], *keys))
         final = wording.normalize_punctuation(wording.restore_citations(opened, node["refs"]))
-        return let(
+        kept = let(
             final,
             lambda c: F.when(c.rlike(r"\S") & wording.length_ratio_ok(node["core"], c),
                              wording.restore_numbers(node["core"], c)),
         )
+        return let(kept, lambda c: F.when(wording.edit_similarity(node["core"], c) <= fixed.MAX_SIMILARITY,
+                                          F.struct(attempt["n"].alias("n"), c.alias("text"))))
 
     tries = F.array(*[
         F.struct(F.lit(i * attempts + k).alias("n"), F.lit(p_syn).alias("p_syn"), F.lit(p_trans).alias("p_trans"))
         for i, (p_syn, p_trans) in enumerate(fixed.REWRITE_LEVELS)
         for k in range(attempts)
     ])
+    tokens = let(F.struct(F.col("_work").alias("text"), F.col("_entries").alias("entries")), lambda r: F.transform(
+        _pieces(r["text"]), lambda p: F.struct(p["token"].alias("token"), p["gap"].alias("gap"), _entry(r["entries"], p["token"]).alias("entry"))))
     node = F.struct(
-        F.col("_key").alias("key"), F.col("_t").alias("tokens"), F.col("_core").alias("core"),
-        F.col("_refs").alias("refs"),
-    )
-    offered = grouped.select(
-        "_key", "_node", "_core",
-        let(node, lambda n: F.transform(tries, lambda attempt: candidate(n, attempt))).alias("_candidates"),
+        F.col("_key").alias("key"), tokens.alias("tokens"), F.col("_core").alias("core"), F.col("_refs").alias("refs"),
     )
-    judged = offered.withColumn("attempt", wording.first_changed_enough()(F.col("_core"), F.col("_candidates")))
-    accepted = F.get("_candidates", F.col("attempt"))
+    none = F.lit(None).cast("struct<n:int,text:string>")
+    picked = let(node, lambda n: F.aggregate(tries, none, lambda acc, attempt: F.when(acc.isNotNull(), acc).otherwise(candidate(n, attempt))))
+    judged = found.select("_key", "_node", "_core", picked.alias("_picked"))
     styled = wording.preserve_whitespace_shell(
-        F.col("_node"), wording.apply_casing_like(F.col("_core"), accepted)
+        F.col("_node"), wording.apply_casing_like(F.col("_core"), F.col("_picked.text"))
     )
     return judged.select(
         F.col("_key").alias(key),
         F.col("_node").alias(text_col),
-        "attempt",
-        F.coalesce(F.when(F.col("attempt").isNotNull(), styled), F.col("_node")).alias("rewritten"),
+        F.col("_picked.n").alias("attempt"),
+        F.when(F.col("_picked").isNotNull(), styled).otherwise(F.col("_node")).alias("rewritten"),
     )
 
 

@@ -308,17 +308,98 @@ def conversation_nodes(t: Tables) -> DataFrame:
     )
 
 
-@query("guarded_rewrite")
+#: DuckDB measures edits in bytes: letters outside ASCII become single unused bytes first, one for one.
+FOREIGN = "äöüßéèêàçñáíóúâîôûÄÖÜÉÈÊÀÇÑÁÍÓÚ"
+UNUSED = [*range(1, 9), *range(14, 32), 94, 95, 96, 123, 124, 125, 126]
+
+
+def edits_sql(a: str, b: str) -> str:
+    """Edit similarity of two texts by characters."""
+    assert len(FOREIGN) <= len(UNUSED)
+    single = "translate({0}, '" + FOREIGN + "', " + " || ".join(f"chr({c})" for c in UNUSED[: len(FOREIGN)]) + ")"
+    return (
+        f"1.0::DOUBLE - levenshtein({single.format(a)}, {single.format(b)}) / greatest(length({a}), length({b}))"
+    )
+
+
+def cased_sql(source: str, new: str) -> str:
+    """Casing of ``source`` passed on to ``new``."""
+    words = f"list_filter(string_split_regex({source}, '\\s+'), lambda x: length(x) > 0)"
+    return (
+        f"CASE WHEN NOT regexp_matches({source}, '\\S') THEN {new} "
+        f"WHEN regexp_matches({source}, '\\p{{L}}') AND upper({source}) = {source} THEN upper({new}) "
+        f"WHEN len(list_filter({words}, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= "
+        f"greatest(1, CAST(floor(len({words}) * 0.6::DOUBLE) AS BIGINT)) THEN array_to_string(list_transform("
+        f"list_filter(string_split_regex({new}, '\\s+'), lambda x: length(x) > 0), lambda x: upper(x[1]) || x[2:]), ' ') "
+        f"WHEN regexp_matches({source}, '\\p{{L}}') AND lower({source}) = {source} THEN lower({new}) ELSE {new} END"
+    )
+
+
+TRIES = ", ".join(
+    f"({i * fixed.REWRITE_ATTEMPTS + k}, {p_syn}::DOUBLE, {p_trans}::DOUBLE)"
+    for i, (p_syn, p_trans) in enumerate(fixed.REWRITE_LEVELS) for k in range(fixed.REWRITE_ATTEMPTS)
+)
+DRAWN = (f"'{SEED}'", "node_id", "n")
+NUMBERS = r"\d+[\d,\.]*"
+
+
+@query(
+    "guarded_rewrite",
+    f"WITH {LEXICON}, tries(n, ps, pt) AS (VALUES {TRIES}),"
+    + rf"""
+nodes AS (SELECT conv_id || '/' || turn AS node_id, ' ' || text || chr(10) AS text FROM conversations),
+c0 AS (SELECT *, {oracle.strip('text')} AS core FROM nodes),
+c1 AS (SELECT *, {citations_sql('core')} AS m, regexp_extract_all(core, '{CIT}') AS refs FROM c0),
+c2 AS (SELECT *, {contractions_sql('m')} AS work FROM c1),
+tok AS (SELECT node_id, u.i - 1 AS pos, regexp_extract(u.x, '^([\p{{L}}'']*)', 1) AS token,
+  regexp_extract(u.x, '^[\p{{L}}'']*(.*)$', 1, 's') AS gap FROM c2, unnest(regexp_extract_all(work, '{PIECE_SQL}')) WITH ORDINALITY AS u(x, i)),
+ent AS (SELECT tok.*, word_class, synonyms FROM tok LEFT JOIN lexicon ON lexicon.word = lower(token) AND length(token) > 3),
+swp AS (SELECT node_id, n, pos, CASE WHEN {oracle.draw(*DRAWN, "'swap'", 'pos')} < CASE
+    WHEN word_class IN ('ADJ', 'ADV') THEN ps * 1.3::DOUBLE WHEN word_class IN ('NOUN', 'VERB') THEN ps ELSE 0.0::DOUBLE END
+    THEN synonyms[{oracle.draw_int(*DRAWN, "'pick'", 'pos')} % 3 + 1] ELSE token END || gap AS piece FROM ent, tries),
+syn AS (SELECT node_id, n, string_agg(piece, '' ORDER BY pos) AS w FROM swp GROUP BY node_id, n),
+opn AS (SELECT node_id, n, {opened_lines_sql('w', 'pt', *DRAWN)} AS o FROM syn JOIN tries USING (n)),
+res AS (SELECT opn.*, core, {restore_sql('o', 'refs')} AS r FROM opn JOIN c2 USING (node_id)),
+fin AS (SELECT node_id, n, core, {spacing_sql('r')} AS c FROM res),
+num AS (SELECT *, regexp_extract_all(core, '{NUMBERS}') AS old, regexp_extract_all(c, '{NUMBERS}') AS new FROM fin
+  WHERE regexp_matches(c, '\S') AND abs(length(c) - length(core)) <= 0.2::DOUBLE * length(core)),
+kept AS (SELECT node_id, n, core, CASE WHEN len(old) = len(new) THEN c WHEN len(new) > 0 THEN
+    array_to_string(list_transform(string_split_regex(c, '{NUMBERS}'), lambda x, i: x || CASE WHEN i <= len(new)
+      THEN coalesce(old[i], new[i]) ELSE '' END), '') END AS c FROM num),
+best AS (SELECT node_id, min(n) AS n, arg_min(c, n) AS c FROM kept WHERE c IS NOT NULL AND {edits_sql('core', 'c')} <= {fixed.MAX_SIMILARITY}::DOUBLE GROUP BY node_id)
+SELECT node_id, text, CAST(n AS INTEGER) AS attempt, CASE WHEN n IS NULL THEN text ELSE regexp_extract(text, '^(\s*)', 1)
+  || ({cased_sql('core', 'c')}) || regexp_extract(text, '(\s*)$', 1) END AS rewritten
+FROM c0 LEFT JOIN best USING (node_id)""",
+)
 def guarded_rewrite(t: Tables):
     return rewrite.guarded_rewrite(conversation_nodes(t), rewrite.prepare_lexicon(lexicon(t)), SEED)
 
 
-@query("redistribute_words")
+SHOUTED = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(
+    "redistribute_words",
+    rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, string_split(regexp_replace(text, '([.,])', '\1' || chr(1), 'g'), chr(1)) AS runs, string_split({SHOUTED}, ' ') AS ws
+  FROM conversations),
+sized AS (SELECT *, list_sum(list_transform(runs, lambda r: length(r)))::BIGINT AS total, len(ws) AS n FROM src),
+step AS (
+  SELECT conv_id, turn, runs, ws, total, n, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS took, []::VARCHAR[] AS out FROM sized
+  UNION ALL
+  SELECT conv_id, turn, runs, ws, total, n, i + 1, used + take, take, list_append(out, array_to_string(list_slice(ws, used + 1, used + take), ' ')
+    || CASE WHEN take > 0 AND used + take < n THEN ' ' ELSE '' END)
+  FROM (SELECT *, greatest(0, least(n - used, CASE WHEN i = len(runs) - 1 THEN n - used ELSE greatest(1,
+      CASE WHEN total > 0 THEN (n - used) * length(runs[i + 1]) // total ELSE (n - used) // (len(runs) - i) END) END)) AS take
+    FROM step WHERE i < len(runs)))
+SELECT conv_id, turn, out AS runs FROM step WHERE i = len(runs)""",
+)
 def redistribute_words(t: Tables):
-    """Each conversation turn's text, upper-cased, spread over its original sentences as runs."""
+    """Each conversation turn's text, in capitals, spread over the parts of the original as runs."""
     runs = t.conversations.select("conv_id", "turn", "text", F.split("text", r"(?<=[.,])").alias("runs"))
     return runs.select(
-        "conv_id", "turn", rewrite.redistribute_words(F.col("runs"), F.upper("text")).alias("runs")
+        "conv_id", "turn", rewrite.redistribute_words(F.col("runs"), F.expr(SHOUTED)).alias("runs")
     )
 
 

@@ -17,11 +17,3 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     return df.repartition(wanted)
 
-
-def keep_partitions(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle by ``keys`` into the configured number of partitions, exempt from coalescing.
-
-    For groups that are small in bytes but costly to process: merging them by size would
-    leave the work to a few tasks. A following groupBy on the keys needs no second shuffle.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

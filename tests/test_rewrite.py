@@ -88,11 +88,21 @@ def test_rewrite_example(spark, lexicon):
     assert untouched[1] == EXAMPLE.replace("can't", "cannot")
 
 
-def test_lookup_ways_agree(spark, lexicon, monkeypatch):
+def test_rows_with_equal_and_null_keys(spark, lexicon):
+    rows = [(1, EXAMPLE, "a"), (1, EXAMPLE + " more", "b"), (None, EXAMPLE, "c"), (None, "tiny", "d"), (1, EXAMPLE, "e"), (2, None, "f"), (3, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    got = {r.tag: r for r in rewrite.replace_synonyms(df, lexicon, 0.9, 1).collect()}
+    assert len(got) == len(rows) and [r.tag for r in got.values() if r.text is None] == ["f"]
+    assert got["a"].text == got["e"].text and got["b"].text.endswith(" more") and got["d"].text == "tiny"
+    assert got["a"].text != EXAMPLE
+
+
+def test_lookup_ways_agree(spark, lexicon):
     df = spark.createDataFrame([(i, EXAMPLE * 5) for i in range(40)], "doc_id bigint, text string")
     small = {r.doc_id: r.text for r in rewrite.replace_synonyms(df, lexicon, 0.5, 1).collect()}
-    monkeypatch.setattr(rewrite, "is_bounded", lambda frame: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     large = {r.doc_id: r.text for r in rewrite.replace_synonyms(df, lexicon, 0.5, 1).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert small == large and len(set(small.values())) > 1
 
 
