@@ -26,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def lowered_words(text: Column) -> Column:
+    """Lower-cased words: one call for all of them instead of one per word."""
+    return F.array_remove(F.split(F.lower(F.array_join(words_of(text), " ")), " "), "")
+
+
 def sentences_of(text: Column) -> Column:
     """Sentences by the punctuation rule, blank ones dropped."""
     return F.filter(F.split(text, SENTENCE_GAP), lambda s: s.rlike(r"\S"))
@@ -65,6 +70,15 @@ def ngrams_of(words: Column, n: int = 3) -> Column:
     return let(words, joined)
 
 
+def _trigram_hashes(words: Column) -> Column:
+    """A 64-bit hash per word 3-gram: enough to tell the few of one window apart."""
+    def hashed(ws: Column) -> Column:
+        starts = F.when(F.size(ws) >= 3, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+
+    return let(words, hashed)
+
+
 def measure(window: Column) -> Column:
     """Tokens, sentence lengths and character counts of one window.
 
@@ -74,7 +88,7 @@ def measure(window: Column) -> Column:
         F.length(window).alias("chars"),
         (F.length(window) - F.length(F.translate(window, PUNCTUATION, ""))).alias("punctuation"),
         F.length(F.regexp_replace(window, r"[^\p{Lu}]+", "")).alias("capitals"),
-        F.transform(words_of(window), F.lower).alias("words"),
+        lowered_words(window).alias("words"),
         F.transform(sentences_of(window), lambda s: F.regexp_count(s, F.lit(WORD))).alias("sentence_words"),
     )
 
@@ -91,7 +105,7 @@ def features_of(measured: Column) -> Column:
         lambda m: F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(lengths),
     )
     repetition = let(
-        ngrams_of(words),
+        _trigram_hashes(words),
         lambda g: F.when(F.size(g) > 0, F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)),
     )
     return F.struct(

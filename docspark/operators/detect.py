@@ -179,15 +179,19 @@ LABEL_COLUMNS = ["ai_share", "ai_refined_share", "human_share", "human_refined_s
 
 
 def dedup_scoring(df: DataFrame, scorer: Scorer = stylometry.fast_score, key: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Score each distinct text once and hand the score to all its copies.
+                  text_col: str = "text", fold: bool = False) -> DataFrame:
+    """Score of every text with its hash and the number of its copies.
 
-    Copies are folded map-side before the shuffle, the narrow score table is written once,
-    and the join back spreads any text that owns a large share of the rows.
+    A native scorer runs in the row, for a score costs less than moving the text. With ``fold`` identical texts are
+    folded map-side and scored once, which pays for expensive scorers. Either way the narrow table is written once, and
+    the join of the counts spreads any text that owns a large share of the rows.
     """
-    hashed = df.select(key, F.sha2(text_col, 256).alias("text_hash"))
-    distinct = df.groupBy(F.sha2(text_col, 256).alias("text_hash")).agg(
-        F.first(text_col).alias("_text"), F.count("*").alias("copies")
-    )
-    scored = cut_lineage(distinct.select("text_hash", "copies", scorer(F.col("_text")).alias("ai_likeness")))
-    return balanced_join(hashed, scored, ["text_hash"], scored, [key], count_col="copies")
+    text_hash = F.sha2(text_col, 256).alias("text_hash")
+    if fold:
+        distinct = df.groupBy(text_hash).agg(F.first(text_col).alias("_text"), F.count("*").alias("copies"))
+        scored = cut_lineage(distinct.select("text_hash", "copies", scorer(F.col("_text")).alias("ai_likeness")))
+        return balanced_join(df.select(key, text_hash), scored, ["text_hash"], scored, [key], count_col="copies")
+    rows = cut_lineage(df.select(key, text_hash, scorer(F.col(text_col)).alias("ai_likeness")))
+    counts = rows.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    joined = balanced_join(rows, counts, ["text_hash"], counts, [key], count_col="copies")
+    return joined.select("text_hash", key, "copies", "ai_likeness")

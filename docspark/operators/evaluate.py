@@ -2,7 +2,7 @@
 
 Scores are human-likeness: class 1 (machine) is predicted *below* the threshold. All
 measures work on counts per distinct score, never on the raw rows, and running totals are
-taken inside score bins so that no window has to hold the whole score range.
+taken inside score ranges so that no window has to hold all scores.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import fixed
+from docspark.operators.ranking import running_totals
 from docspark.session import cut_lineage
 
-BINS = 100_000
-
 
 def union_scores(human: DataFrame, machine: DataFrame, score_col: str = "score") -> DataFrame:
     """Scores of human texts (class 0) and machine texts (class 1) in one frame."""
@@ -53,46 +52,21 @@ def confusion(groups: DataFrame, threshold: float = fixed.THRESHOLDS["accuracy"]
     return counted.withColumn("f1", _safe_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def roc_points(groups: DataFrame, bins: int = BINS) -> DataFrame:
+def roc_points(groups: DataFrame, ranges: int | None = None) -> DataFrame:
     """Cumulative true and false positives at each distinct score, most machine-like first.
 
-    Bin totals (at most ``bins`` rows, hence safe to order in one task and to broadcast) give
-    each bin its starting point; inside a bin the running sum is local.
+    Scores are dealt out by sampled ranges, so outliers do not push the others into one task, and every range adds the
+    totals of those before it.
     """
-    low = groups.agg(F.min("score")).scalar()
-    high = groups.agg(F.max("score")).scalar()
-    binned = groups.withColumn("_lo", low).withColumn("_hi", high).withColumn(
-        "bin",
-        F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.least(
-                F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"),
-                F.lit(bins - 1),
-            ),
-        ).otherwise(F.lit(0)),
-    ).drop("_lo", "_hi")
-    earlier = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    starts = binned.groupBy("bin").agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg")).select(
-        "bin",
-        F.coalesce(F.sum("bin_pos").over(earlier), F.lit(0)).alias("pos_before"),
-        F.coalesce(F.sum("bin_neg").over(earlier), F.lit(0)).alias("neg_before"),
-    )
-    inside = W.partitionBy("bin").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-    running = binned.withColumn("_pos", F.sum("pos").over(inside)).withColumn("_neg", F.sum("neg").over(inside))
-    return running.join(F.broadcast(starts), "bin").select(
-        "score",
-        "pos",
-        "neg",
-        (F.col("pos_before") + F.col("_pos")).alias("tp"),
-        (F.col("neg_before") + F.col("_neg")).alias("fp"),
-    )
+    running = running_totals(groups.select("score", "pos", "neg"), [], [F.col("score")], {"_tp": F.col("pos"), "_fp": F.col("neg")}, ranges)
+    return running.select("score", "pos", "neg", (F.col("_tp") + F.col("pos")).alias("tp"), (F.col("_fp") + F.col("neg")).alias("fp"))
 
 
-def roc_curve(groups: DataFrame, bins: int = BINS) -> DataFrame:
+def roc_curve(groups: DataFrame, ranges: int | None = None) -> DataFrame:
     """ROC table with rates; the curve starts at the implied point (0, 0)."""
     positives = groups.agg(F.sum("pos")).scalar()
     negatives = groups.agg(F.sum("neg")).scalar()
-    points = roc_points(groups, bins).withColumn("_p", positives).withColumn("_n", negatives)
+    points = roc_points(groups, ranges).withColumn("_p", positives).withColumn("_n", negatives)
     return points.select(
         "score",
         "pos",

@@ -5,36 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
-SALTS = 32
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_keys(counts: DataFrame, keys: list[str], count_col: str = "n") -> DataFrame:
-    """Keys owning at least 1/HOT_SHARE of all rows.
+    """Keys with more rows than a partition's fair share, and over how many partitions they have to spread: ``_salts``.
 
-    There can be at most HOT_SHARE of them whatever the data, so the result is always safe
-    to broadcast.
+    There are fewer of them than partitions, whatever the data, so the result is always safe to broadcast.
     """
     rows = counts.agg(F.sum(count_col)).scalar()
-    return counts.filter(F.col(count_col) * HOT_SHARE >= rows).select(*keys)
+    salts = F.ceil(F.col(count_col) * F.lit(shuffle_partitions(counts)) / rows).cast("int")
+    return counts.withColumn("_salts", salts).filter("_salts > 1").select(*keys, "_salts")
 
 
 def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame,
                   spread: list[str], how: str = "left", count_col: str = "n") -> DataFrame:
-    """Equi-join where hot keys of ``big`` are spread over SALTS partitions.
+    """Equi-join where each hot key of ``big`` is spread over as many partitions as its rows would fill.
 
     ``counts`` holds rows per key of ``big`` (``count_col``); ``spread`` names columns of
     ``big`` that vary inside a key. Only the few hot rows of ``small`` are replicated. Rows
-    with a null key match nothing and are spread in the same way.
+    with a null key match nothing and are spread over all partitions.
     """
-    hot = hot_keys(counts, keys, count_col).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot_keys(counts, keys, count_col))
     unmatched = F.lit(False)
     for key in keys:
         unmatched = unmatched | F.col(key).isNull()
-    salted_big = big.join(F.broadcast(hot), keys, "left").withColumn(
+    drawn = F.xxhash64(*spread)
+    salted_big = big.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot") | unmatched, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
-    ).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_small = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+        F.when(F.col("_salts").isNotNull(), F.pmod(drawn, F.col("_salts")).cast("int"))
+        .when(unmatched, F.pmod(drawn, F.lit(shuffle_partitions(big))).cast("int")).otherwise(F.lit(0)),
+    ).drop("_salts")
+    salts = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    salted_small = small.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
     return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import wording
 from docspark.operators import rewrite
-from docspark.operators.skew import balanced_join
+from docspark.operators.skew import balanced_join, hot_keys
 
 EXAMPLE = "Recent studies (Smith et al., 2020) show promising results. It can't be ignored."
 
@@ -117,6 +117,20 @@ def test_balanced_join_keeps_all_rows(spark):
             map(tuple, want.select("k", "id", "v").collect()), key=str)
 
 
+def test_balanced_join_spreads_by_need(spark):
+    """A key with 30 % of the rows is spread over 30 % of the partitions, small keys stay whole."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    big = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, -1).when(F.col("id") % 2000 == 1999, -2).otherwise(F.col("id") % 1400).alias("k"), "id")
+    counts = big.groupBy("k").agg(F.count("*").alias("n"))
+    salts = {r.k: r["_salts"] for r in hot_keys(counts, ["k"]).collect()}
+    assert salts == {-1: 15}
+    small = counts.select("k", F.lit("v").alias("v"))
+    joined = balanced_join(big, small, ["k"], counts, ["id"], "inner")
+    sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 20_000
+
+
 def test_guards_hold(spark, lexicon):
     texts = ["  " + EXAMPLE + "\n", "Recent studies show 12 promising results", "tiny", "RECENT STUDIES SHOW RESULTS",
              "unknown words only without any synonym whatsoever"]
