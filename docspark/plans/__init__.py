@@ -10,6 +10,7 @@ from docspark.plans import (  # noqa: F401
     markup,
     rewriting,
     segmentation,
+    storage,
     uploads,
     users,
 )
