@@ -66,17 +66,19 @@ def places(index: DataFrame, probes: DataFrame, window: int = WINDOW, slop: int
     """Places where a window may stand, exactly or nearly: ``doc, text_hash, item, start, begin, parts, exact``.
 
     The rarest word's postings give the place; the second list is met within the window's span and ``slop``. Positions
-    are cut into spans as wide as that, so one word repeated through a long text meets its neighbours only.
+    are cut into spans as wide as that, so one word repeated through a long text meets its neighbours only. Windows
+    go by item and start through the joins; their words are added to the places that are left.
     """
     width = window + 2 * slop
-    lists = probes.select(F.col("t1").alias("term"), "o1", "t2", "o2", "item", "start", "parts")
-    begun = index.join(lists, "term").select("doc", "text_hash", (F.col("pos") - F.col("o1")).alias("begin"), F.col("t2").alias("term"), "o2", "item", "start", "parts")
-    low, high = F.col("begin") - slop, F.col("begin") + F.size("parts") + slop - 1
+    lists = probes.select(F.col("t1").alias("term"), "o1", "t2", "o2", "item", "start", F.size("parts").alias("n"))
+    begun = index.join(lists, "term").select("doc", "text_hash", (F.col("pos") - F.col("o1")).alias("begin"), F.col("t2").alias("term"), "o2", "item", "start", "n")
+    low, high = F.col("begin") - slop, F.col("begin") + F.col("n") + slop - 1
     spans = F.array_distinct(F.array(F.floor(low / width), F.floor(high / width)))
     begun = begun.withColumn("span", F.explode(spans))
     second = index.select("doc", "text_hash", "term", "pos", F.floor(F.col("pos") / width).alias("span"))
     met = begun.join(second, ["doc", "text_hash", "term", "span"]).filter((F.col("pos") >= low) & (F.col("pos") <= high))
-    return met.groupBy("doc", "text_hash", "item", "start", "begin", "parts").agg(F.max((F.col("pos") == F.col("begin") + F.col("o2")) & (F.col("begin") >= 0)).alias("exact"))
+    left = met.groupBy("doc", "text_hash", "item", "start", "begin").agg(F.max((F.col("pos") == F.col("begin") + F.col("o2")) & (F.col("begin") >= 0)).alias("exact"))
+    return left.join(probes.select("item", "start", "parts").distinct(), ["item", "start"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
