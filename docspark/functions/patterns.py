@@ -16,7 +16,7 @@ NAME_STRICT = (
     FLAGS + WORD_START + r"(?<!&\s)NAME\s*:\s*([A-Z][A-Za-z\s]+?)(?=\n|$"
     + "".join(f"|{WORD_START}{w}" for w in NAME_STOPS) + ")"
 )
-NAME_STRICT_LITERAL = r"(?imd)NAME\s*:\s*([A-Z][A-Za-z\s]+?)(?=\n|$|ROLL|PROGRAM|SEMESTER|COURSE)"
+NAME_STRICT_LITERAL = FLAGS + r"NAME\s*:\s*([A-Z][A-Za-z\s]+?)(?=\n|$" + "".join(f"|{w}" for w in NAME_STOPS) + ")"
 NAME_FLEXIBLE = (
     FLAGS + WORD_START + r"(?<!&\s)(?:STUDENT\s+)?NAME\s*[:\s]+\s*([A-Z][A-Za-z\s]+?)(?=\n"
     + f"|{WORD_START}ROLL|{WORD_START}PROGRAM" + "|$)"

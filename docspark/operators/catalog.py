@@ -1,7 +1,7 @@
 """Object catalog: listings, lineage of derived objects, existence and integrity checks.
 
-The catalog is a table of (key, size, ...). Listings filter on the key prefix, which a
-catalog partitioned by user and stage turns into partition pruning.
+The catalog is a table of (key, size, ...). Listings filter on the key, so a table partitioned by
+other columns is read whole unless the caller filters those columns as well.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import patterns
 from docspark.operators import identity, redact
 from docspark.plans import oracle, views
 from docspark.plans.registry import Tables, query
@@ -272,10 +273,10 @@ def removed_lines_preview(t: Tables):
 
 
 # --- node tables ------------------------------------------------------------------------
-SHORT_NAME_LABEL = r"(?i)^(NAME|STUDENT\s+NAME|SUBMITTED\s+BY|AUTHOR)\s*:?\s*(.*)$"
-SHORT_ROLL_LABEL = r"(?i)^(ROLL\s*NO|ROLL\s*NUMBER|STUDENT\s*ID|ENROLLMENT\s*NO)\s*:?\s*(.*)$"
-FULL_NAME_LABEL = r"(?i)^(NAME|STUDENT\s+NAME|SUBMITTED\s+BY|AUTHOR|SIGNED\s+BY)\s*:?\s*(.*)$"
-FULL_ROLL_LABEL = r"(?i)^(ROLL\s*NUMBER|ROLL\s*NO|STUDENT\s*ID|ENROLLMENT\s*NO|STUDENT\s*CODE)\s*:?\s*(.*)$"
+SHORT_NAME_LABEL = patterns.SHORT_WALK["name_label"]
+SHORT_ROLL_LABEL = patterns.SHORT_WALK["roll_label"]
+FULL_NAME_LABEL = patterns.FULL_WALK["name_label"]
+FULL_ROLL_LABEL = patterns.FULL_WALK["roll_label"]
 
 
 def labelled(label: str, own: str, following: str, limit: str) -> str:
@@ -311,8 +312,8 @@ def short_walk(rows: str, p: str = "") -> str:
   {oracle.strip("string_agg(text, ' ' ORDER BY node_idx)")} AS head
   FROM {p}vv GROUP BY doc_id),
 {p}tx AS (SELECT doc_id, nl, rl,
-  {oracle.strip(first('head', r'(?i)(?:NAME|STUDENT\s+NAME|SUBMITTED\s+BY)\s*[:–-]?\s*([A-Z][A-Za-z]+\s+[A-Z][A-Za-z]+)'))} AS nt,
-  {first('head', r'(?i)(?:ROLL|ENROLLMENT|ID)\s*[:–-]?\s*(\d{6,15})')} AS rt,
+  {oracle.strip(first('head', patterns.SHORT_WALK['name_text']))} AS nt,
+  {first('head', patterns.SHORT_WALK['roll_text'])} AS rt,
   {first('head', EDGE + r'([A-Z][A-Za-z]+\s+[A-Z][A-Za-z]+)' + EDGE_END)} AS nw,
   {first('head', EDGE + r'(\d{6,15})' + EDGE_END)} AS rw FROM {p}ph),
 {p}id AS (SELECT doc_id, coalesce(nl, nt, nw) AS name, coalesce(rl, rt, rw) AS roll_no,
@@ -346,12 +347,7 @@ def full_walk(rows: str) -> str:
     def names(text: str) -> str:
         return f"regexp_extract_all({DOUBLED.format(text)}, '{WEAK_NAME}', 1)"
 
-    text_name = (
-        r"(?i)(?:NAME|STUDENT NAME|SUBMITTED BY|AUTHOR|SIGNED BY)\s*[:\-]?\s*([A-Z][A-Za-z]*\s+[A-Z][A-Za-z]*)"
-    )
-    text_roll = (
-        r"(?i)(?:ROLL\s*NUMBER|ROLL\s*NO|STUDENT\s*ID|ENROLLMENT\s*NO|STUDENT\s*CODE)\s*[:\-]?\s*(\d{6,15})"
-    )
+    text_name, text_roll = patterns.FULL_WALK["name_text"], patterns.FULL_WALK["roll_text"]
     return f"""
 st AS (SELECT doc_id, node_idx, text, {oracle.strip('text')} AS s FROM {rows}),
 ld AS (SELECT *, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(s, 3) OVER w AS s3 FROM st
