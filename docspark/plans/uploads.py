@@ -46,16 +46,17 @@ def stale_uploads(t: Tables):
 @query(
     "concatenate_parts",
     """
-SELECT multipart_id, CAST(4 AS INTEGER) AS total_parts, CASE WHEN n = 4 THEN content END AS content,
-  CASE WHEN n <> 4 THEN 'missing part' END AS error
-FROM (SELECT event_id // 4 AS multipart_id, count(*) AS n, string_agg(props, '' ORDER BY event_id % 4) AS content
-  FROM events WHERE event_id % 9 <> 8 GROUP BY 1)""",
+SELECT multipart_id, CAST(total AS INTEGER) AS total_parts, CASE WHEN n = total THEN content END AS content,
+  CASE WHEN n <> total THEN 'missing part' END AS error
+FROM (SELECT event_id // 4 AS multipart_id, CASE WHEN (event_id // 4) % 3 = 0 THEN 5 ELSE 4 END AS total, count(*) AS n,
+  string_agg(props, '' ORDER BY event_id % 4) AS content FROM events GROUP BY 1, 2)""",
 )
 def concatenate_parts(t: Tables):
     e = F.col("event_id")
-    parts = t.events.filter(e % 9 != 8).select(
-        F.floor(e / 4).cast("bigint").alias("multipart_id"), (e % 4).cast("int").alias("part_index"),
-        F.lit(4).alias("total_parts"), F.col("props").alias("data"),
+    upload = F.floor(e / 4).cast("bigint")
+    parts = t.events.select(
+        upload.alias("multipart_id"), (e % 4).cast("int").alias("part_index"),
+        views.announced_parts(upload).alias("total_parts"), F.col("props").alias("data"),
     )
     return uploads.concatenate_parts(parts)
 

@@ -210,12 +210,17 @@ QA_PARAS = """qa_paras AS (
       ELSE 'A' || turn || '. ' END || text AS text FROM conversations)"""
 
 
+def announced_parts(upload: Column) -> Column:
+    return F.when(upload % 3 == 0, 5).otherwise(4)
+
+
 def upload_parts(t: Tables) -> DataFrame:
-    """Events as upload parts, four per upload, every ninth lost and every eleventh sent twice."""
+    """Events as upload parts, four per upload, every eleventh sent twice; each third upload announces a part that never comes."""
     e = F.col("event_id")
-    parts = t.events.filter(e % 9 != 8).select(
-        F.floor(e / 4).cast("bigint").alias("multipart_id"), (e % 4).cast("int").alias("part_index"),
-        F.lit(4).alias("total_parts"), e.alias("upload_id"), F.col("ts"),
+    upload = F.floor(e / 4).cast("bigint")
+    parts = t.events.select(
+        upload.alias("multipart_id"), (e % 4).cast("int").alias("part_index"),
+        announced_parts(upload).alias("total_parts"), e.alias("upload_id"), F.col("ts"),
     )
     again = parts.filter(F.col("upload_id") % 11 == 0).withColumn("upload_id", F.col("upload_id") + 1_000_000_000)
     return parts.unionByName(again)
@@ -223,7 +228,7 @@ def upload_parts(t: Tables) -> DataFrame:
 
 UPLOAD_PARTS = """parts0 AS (
   SELECT CAST(event_id // 4 AS BIGINT) AS multipart_id, CAST(event_id % 4 AS INTEGER) AS part_index,
-    CAST(4 AS INTEGER) AS total_parts, event_id AS upload_id, ts FROM events WHERE event_id % 9 <> 8),
+    CAST(CASE WHEN (event_id // 4) % 3 = 0 THEN 5 ELSE 4 END AS INTEGER) AS total_parts, event_id AS upload_id, ts FROM events),
 upload_parts AS (SELECT * FROM parts0
   UNION ALL SELECT multipart_id, part_index, total_parts, upload_id + 1000000000, ts FROM parts0
   WHERE upload_id % 11 = 0)"""
