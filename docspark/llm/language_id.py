@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.llm.common import ship_with_tasks
+from docspark.session import cut_lineage
 
 ship_with_tasks(__name__)
 
@@ -92,7 +93,8 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A hash draw with a margin thins each language before its rows are ranked by the draw, so the ranking sees few rows.
     """
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    # written, so that its size is known and the texts are thinned before any shuffle by language
+    sizes = cut_lineage(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")))
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(sizes, "lang")
     drawn = drawn.filter(F.col("draw") * F.col("n") < F.lit(1.3 * sample + 20)).drop("n")
