@@ -26,6 +26,7 @@ HEADLINE = [
     "identity_nodes",
     "identity_proximity",
     "redact_and_verify",
+    "docx_redaction",
     "rewrite_text",
     "guarded_rewrite",
     "section_gate",

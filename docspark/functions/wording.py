@@ -200,3 +200,9 @@ def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, F.lit(1.0) - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
+
+def changed_enough(a: Column, b: Column, max_similarity: float = fixed.MAX_SIMILARITY) -> Column:
+    """Is the edit similarity at most ``max_similarity``? The distance is only followed up to that bound."""
+    longest = F.greatest(F.length(a), F.length(b))
+    bound = F.ceil(F.lit(1 - max_similarity) * longest).cast("int") - 1
+    return F.when(longest > 0, F.call_function("levenshtein", a, b, F.greatest(bound, F.lit(0))) < 0).otherwise(F.lit(False))

@@ -231,7 +231,7 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
             lambda c: F.when(c.rlike(r"\S") & wording.length_ratio_ok(node["core"], c),
                              wording.restore_numbers(node["core"], c)),
         )
-        return let(kept, lambda c: F.when(wording.edit_similarity(node["core"], c) <= fixed.MAX_SIMILARITY,
+        return let(kept, lambda c: F.when(wording.changed_enough(node["core"], c),
                                           F.struct(attempt["n"].alias("n"), c.alias("text"))))
 
     tries = F.array(*[

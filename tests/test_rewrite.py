@@ -131,6 +131,14 @@ def test_balanced_join_spreads_by_need(spark):
     assert sum(sizes) == 20_000
 
 
+def test_changed_enough_is_the_edit_bound(spark):
+    base = "abcdefghijklmnopqrst"
+    rows = [(base[:n], "z" * k + base[k:n]) for n in range(21) for k in range(n + 1)] + [("a" * 300, "b" + "a" * 300), ("a" * 300, "a" * 400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(wording.changed_enough(F.col("a"), F.col("b")).alias("x"), (wording.edit_similarity(F.col("a"), F.col("b")) <= 0.75).alias("y"))
+    assert got.filter("x <> y OR x is null").count() == 0 and got.filter("x").count() > 50
+
+
 def test_guards_hold(spark, lexicon):
     texts = ["  " + EXAMPLE + "\n", "Recent studies show 12 promising results", "tiny", "RECENT STUDIES SHOW RESULTS",
              "unknown words only without any synonym whatsoever"]
