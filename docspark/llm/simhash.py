@@ -74,10 +74,6 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _shift(value: int) -> Column:
-    return F.lit(value if value < 1 << 63 else value - (1 << 64)).cast("bigint")
-
-
 def _set_bits(fp: Column, segment: int) -> Column:
     return F.bit_count(F.shiftright(fp, segment * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)))
 
