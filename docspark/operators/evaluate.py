@@ -8,7 +8,6 @@ taken inside score ranges so that no window has to hold all scores.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import fixed
