@@ -1,8 +1,8 @@
 """Quality rules: measures of one document, and cross-document line frequency.
 
 Lines are normalised and hashed; per host the number of distinct documents that hold a line is counted. Lines
-held by more documents than the host's limit are removed from all of them but the first, and a document that
-keeps too few of its words is rejected. Measures and line hashes are taken in one pass over the texts and written;
+held by more documents than the host's limit are removed from all of them but the first that is kept, and a document
+that keeps too few of its words is rejected. Measures and line hashes are taken in one pass over the texts and written;
 counting shuffles hashes only. Each document names a line once, so a common line is pre-aggregated in the tasks.
 """
 
@@ -90,18 +90,57 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     ))
 
 
-def common_lines(rows: DataFrame, line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS) -> DataFrame:
-    """Lines above their host's limit: ``key, hash, n_docs, first_doc``; written once.
+def base_failed() -> Column:
+    """Whether a measured row fails the rules that look at the document alone."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-    Every row counts as one document. The first document is the one with the smallest id.
-    """
+
+def left_too_few(removed: Column, kept_share: float) -> Column:
+    return (F.col("n_words") - removed) < F.lit(kept_share) * F.col("n_words")
+
+
+def common_lines(rows: DataFrame, line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS) -> DataFrame:
+    """Lines above their host's limit: ``key, hash, n_docs``; written once. Every row counts as one document."""
     key = filled(F.col("host")).alias("key")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     hosts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("host_docs"))
-    named = rows.select(key, doc.alias("doc"), F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
-    counted = named.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"))
+    named = rows.select(key, F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
+    counted = named.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n_docs"))
     limit = F.greatest(F.lit(line_docs), F.ceil(F.col("host_docs") * line_share))
-    return cut_lineage(counted.filter(F.col("n_docs") > line_docs).join(hosts, "key").filter(F.col("n_docs") > limit).select("key", "hash", "n_docs", "first_doc"))
+    return cut_lineage(counted.filter(F.col("n_docs") > line_docs).join(hosts, "key").filter(F.col("n_docs") > limit).select("key", "hash", "n_docs"))
+
+
+def held_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The common lines of every document: ``key, doc, text_hash, hash, n, n_words, failed``; written once. Repeated rows name a line once."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    lines = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "text_hash", "n_words", base_failed().alias("failed"), F.explode("lines").alias("line"))
+    lines = lines.select("key", "doc", "text_hash", "n_words", "failed", F.col("line.hash").alias("hash"), F.col("line.n").alias("n"))
+    lines = lines.join(common.select("key", "hash"), ["key", "hash"])
+    return cut_lineage(lines.groupBy("key", "doc", "text_hash", "hash").agg(F.max("n").alias("n"), F.max("n_words").alias("n_words"), F.max("failed").alias("failed")))
+
+
+def line_owners(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """The kept document with the smallest id of every common line that a kept document holds: ``key, hash, owner``.
+
+    Whether a document is kept depends on the owners before it. In each round a document is settled as kept if it is not
+    depleted even when every open document before it owns its lines, and as rejected if the settled owners alone deplete it.
+    The first open document of a host is always settled, so the rounds end; copies of a settled document are settled in the next one.
+    """
+    doc, line = ["key", "doc", "text_hash"], ["key", "hash"]
+    open_lines = held.filter("NOT failed").drop("failed")
+    owners = open_lines.limit(0).select(*line, F.col("doc").alias("owner"))
+    words_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
+    while not open_lines.isEmpty():
+        first = cut_lineage(open_lines.groupBy(*line).agg(F.min("doc").alias("first_open")).join(owners, line, "left"))
+        bounds = open_lines.join(first, line).groupBy(*doc).agg(
+            F.max("n_words").alias("n_words"), words_if(F.col("owner") < F.col("doc")).alias("least"),
+            words_if(F.least("owner", "first_open") < F.col("doc")).alias("most"),
+        )
+        state = F.when(~left_too_few(F.col("most"), kept_share), "kept").when(left_too_few(F.col("least"), kept_share), "rejected").otherwise("open")
+        told = open_lines.join(cut_lineage(bounds.select(*doc, state.alias("state"))), doc)
+        settled = told.filter("state = 'kept'").select(*line, F.col("doc").alias("owner"))
+        owners = cut_lineage(owners.unionByName(settled).groupBy(*line).agg(F.min("owner").alias("owner")))
+        open_lines = cut_lineage(told.filter("state = 'open'").drop("state"))
+    return owners
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE,
@@ -110,24 +149,20 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns: ``doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
     base_failed, depleted, kept``. A null text has no words and fails the base rules. A null host is a host of its
-    own. A row without an id never counts as a line's first document unless all are without. Repeated rows (equal id and
+    own. A common line stays in the first kept document that holds it; one that no kept document holds is removed from none.
+    A row without an id never counts as a line's first document unless all are without. Repeated rows (equal id and
     text) get the same verdict. An empty table gives no row.
     """
     rows = measure(docs, id_col, text_col, host_col)
-    common = common_lines(rows, line_share, line_docs)
+    held = held_lines(rows, common_lines(rows, line_share, line_docs))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    lines = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "text_hash", F.explode("lines").alias("line"))
-    lines = lines.select("key", "doc", "text_hash", F.col("line.hash").alias("hash"), F.col("line.n").alias("n"))
-    removed = lines.join(common, ["key", "hash"]).filter(F.col("doc") > F.col("first_doc"))
-    removed = removed.groupBy("key", "doc", "text_hash", "hash").agg(F.max("n").alias("n"))  # repeated rows name a line once
+    removed = held.join(line_owners(held, kept_share), ["key", "hash"]).filter(F.col("doc") > F.col("owner"))
     removed = removed.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed"))
     judged = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "*").join(removed, ["key", "doc", "text_hash"], "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
         "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_common_words"), failed.alias("base_failed"),
-    ).withColumn("depleted", (F.col("n_words") - F.col("n_common_words")) < F.lit(kept_share) * F.col("n_words")).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("depleted"))
+        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_common_words"), base_failed().alias("base_failed"),
+    ).withColumn("depleted", left_too_few(F.col("n_common_words"), kept_share)).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
