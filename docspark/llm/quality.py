@@ -1,7 +1,7 @@
 """Quality rules: measures of one document, and cross-document line frequency.
 
 Lines are normalised and hashed; per host the number of distinct documents that hold a line is counted. Lines
-held by more documents than the host's limit are removed from all of them but the first that is kept, and a document
+held by more documents than the limit, the same for every host, are removed from all of them but the first that is kept, and a document
 that keeps too few of its words is rejected. Measures and line hashes are taken in one pass over the texts and written;
 counting shuffles hashes only. Each document names a line once, so a common line is pre-aggregated in the tasks.
 """
@@ -20,9 +20,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[^#*$%&|<>]+"
 
-#: A line is common in a host from this share of the host's documents on, but not below this many.
-LINE_SHARE = 0.001
+#: A line is common in a host when more than this many of the host's documents hold it.
 LINE_DOCS = 10
+#: Only the SQL and the brute-force version still raise that limit to this share of a host above 10,000 rows.
+LINE_SHARE = 0.001
 #: A document is depleted when less than this share of its words is left.
 KEPT_SHARE = 0.3
 
@@ -99,14 +100,11 @@ def left_too_few(removed: Column, kept_share: float) -> Column:
     return (F.col("n_words") - removed) < F.lit(kept_share) * F.col("n_words")
 
 
-def common_lines(rows: DataFrame, line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS) -> DataFrame:
-    """Lines above their host's limit: ``key, hash, n_docs``; written once. Every row counts as one document."""
-    key = filled(F.col("host")).alias("key")
-    hosts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("host_docs"))
-    named = rows.select(key, F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
+def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """Lines held by more than ``line_docs`` documents of a host, however large the host: ``key, hash, n_docs``; written once. Every row counts as one document."""
+    named = rows.select(filled(F.col("host")).alias("key"), F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
     counted = named.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n_docs"))
-    limit = F.greatest(F.lit(line_docs), F.ceil(F.col("host_docs") * line_share))
-    return cut_lineage(counted.filter(F.col("n_docs") > line_docs).join(hosts, "key").filter(F.col("n_docs") > limit).select("key", "hash", "n_docs"))
+    return cut_lineage(counted.filter(F.col("n_docs") > line_docs))
 
 
 def held_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -143,8 +141,8 @@ def line_owners(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
     return owners
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE,
-                  line_docs: int = LINE_DOCS, kept_share: float = KEPT_SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS,
+                  kept_share: float = KEPT_SHARE) -> DataFrame:
     """Measures and verdict of every row.
 
     Columns: ``doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
@@ -154,7 +152,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text) get the same verdict. An empty table gives no row.
     """
     rows = measure(docs, id_col, text_col, host_col)
-    held = held_lines(rows, common_lines(rows, line_share, line_docs))
+    held = held_lines(rows, common_lines(rows, line_docs))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     removed = held.join(line_owners(held, kept_share), ["key", "hash"]).filter(F.col("doc") > F.col("owner"))
     removed = removed.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed"))

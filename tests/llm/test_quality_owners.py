@@ -66,3 +66,11 @@ def test_a_depleted_document_keeps_no_line(spark):
     assert [k for *_, k in got[:6]] == [False, True, False, False, True, False]
     held = {x for (_, t, _), g in zip(rows, got) if g[2] for x in t.split("\n")}
     assert set(a + b + c) <= held
+
+
+def test_the_limit_is_the_same_in_a_large_host(spark):
+    shared = [line(f"s{k}") for k in range(6)]
+    rows = [(i, "\n".join(shared + own(i, 6)), host) for host, at in (("small", 0), ("large", 1000)) for i in range(at + 1, at + 16)]
+    fill = spark.range(2000, 22000).selectExpr("id AS doc_id", "concat('filler ', id) AS text", "'large' AS source")
+    got = quality.judge_quality(spark.createDataFrame(rows, SCHEMA).unionByName(fill)).filter("doc_id < 2000")
+    assert sorted((r["doc_id"], r["n_common_words"]) for r in got.collect()) == [(d, 0 if d in (1, 1001) else 48) for d, *_ in rows]
