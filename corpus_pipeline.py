@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docspark.llm import decontamination, mixing, quality, sharding, simhash
 from docspark.llm.plans import Query
@@ -16,8 +17,9 @@ from docspark.session import work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the quality rules or are depleted of lines of their own."""
-    return quality.kept_documents(docs)
+    """Drop documents that fail the quality rules or are depleted of lines of their own; take common lines out of the others."""
+    kept = quality.kept_documents(docs, remove_lines=True)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

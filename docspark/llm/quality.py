@@ -61,10 +61,23 @@ def repeated_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= 4, let(tokens, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def normal_lines(text: Column) -> Column:
-    """Lines of a text, A-Z lower-cased, white space collapsed and trimmed; lines without a word dropped."""
+def line_forms(text: Column) -> Column:
+    """The normal form of every ``\\n``-line: A-Z lower-cased, white space collapsed and trimmed; empty for a line without a word."""
     tidy = F.regexp_replace(F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
-    return F.array_remove(F.split(F.regexp_replace(tidy, r"^ | $", ""), "\n"), "")
+    return F.split(F.regexp_replace(tidy, r"^ | $", ""), "\n")
+
+
+def normal_lines(text: Column) -> Column:
+    """Normal forms of a text's lines; lines without a word dropped."""
+    return F.array_remove(line_forms(text), "")
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normal form has one of the hashes; the other lines as they are."""
+    def left(forms: Column) -> Column:
+        return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(hashes, F.xxhash64(F.get(forms, i)))), "\n")
+
+    return let(line_forms(text), left)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -141,6 +154,24 @@ def line_owners(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
     return owners
 
 
+def judged_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, kept_share: float) -> tuple[DataFrame, DataFrame]:
+    """The measured rows, and the lines that each document loses: ``key, doc, text_hash, hash, n``."""
+    rows = measure(docs, id_col, text_col, host_col)
+    held = held_lines(rows, common_lines(rows, line_docs))
+    lost = held.join(line_owners(held, kept_share), ["key", "hash"]).filter(F.col("doc") > F.col("owner"))
+    return rows, lost.select("key", "doc", "text_hash", "hash", "n")
+
+
+def verdicts(rows: DataFrame, removed: DataFrame, kept_share: float) -> DataFrame:
+    """Measures and verdict of every row, with the columns of ``removed``: by ``key, doc, text_hash`` at least the words ``removed``."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    judged = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "*").join(removed, ["key", "doc", "text_hash"], "left")
+    return judged.select(
+        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_common_words"), base_failed().alias("base_failed"), *removed.columns[:2], *removed.columns[3:],
+    ).withColumn("depleted", left_too_few(F.col("n_common_words"), kept_share)).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS,
                   kept_share: float = KEPT_SHARE) -> DataFrame:
     """Measures and verdict of every row.
@@ -151,27 +182,29 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A row without an id never counts as a line's first document unless all are without. Repeated rows (equal id and
     text) get the same verdict. An empty table gives no row.
     """
-    rows = measure(docs, id_col, text_col, host_col)
-    held = held_lines(rows, common_lines(rows, line_docs))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    removed = held.join(line_owners(held, kept_share), ["key", "hash"]).filter(F.col("doc") > F.col("owner"))
-    removed = removed.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed"))
-    judged = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "*").join(removed, ["key", "doc", "text_hash"], "left")
-    return judged.select(
-        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_common_words"), base_failed().alias("base_failed"),
-    ).withColumn("depleted", left_too_few(F.col("n_common_words"), kept_share)).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    rows, removed = judged_lines(docs, id_col, text_col, host_col, line_docs, kept_share)
+    return verdicts(rows, removed.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed")), kept_share).drop("key", "doc", "removed")
+
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", remove_lines: bool = False) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns; with ``remove_lines`` their texts lose the common lines that count as removed.
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns. The rejected ones are looked up by id, host and text hash."""
-    names = {c: fresh(f"out_{c}", docs.columns) for c in ("doc_id", "host", "text_hash")}
-    out = judge_quality(docs, id_col, text_col, host_col).filter("NOT kept").select(
-        filled(F.col("doc_id")).alias(names["doc_id"]), filled(F.col("host")).alias(names["host"]), F.col("text_hash").alias(names["text_hash"])
-    ).distinct()
-    out = cut_lineage(out)
+    Rejected and changed rows are looked up by id, host and text hash; a text without such lines stays as it is.
+    """
+    names = {c: fresh(f"out_{c}", docs.columns) for c in ("doc_id", "host", "text_hash", "kept", "hashes")}
+    rows, lost = judged_lines(docs, id_col, text_col, host_col, LINE_DOCS, KEPT_SHARE)
+    removed = lost.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed"), F.collect_set("hash").alias("hashes"))
+    out = verdicts(rows, removed, KEPT_SHARE).filter(F.expr("NOT kept OR hashes IS NOT NULL") if remove_lines else F.expr("NOT kept"))
+    out = cut_lineage(out.select(
+        filled(F.col("doc_id")).alias(names["doc_id"]), filled(F.col("host")).alias(names["host"]), F.col("text_hash").alias(names["text_hash"]),
+        F.col("kept").alias(names["kept"]), F.when(F.col("kept"), F.sort_array("hashes")).alias(names["hashes"]),
+    ).distinct())
     match = (
         (filled(docs[id_col]) == out[names["doc_id"]]) & (filled(docs[host_col]) == out[names["host"]])
         & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == out[names["text_hash"]])
     )
-    return docs.join(out, match, "left_anti")
+    if not remove_lines:
+        return docs.join(out, match, "left_anti")
+    found = docs.join(out, match, "left").filter(F.coalesce(F.col(names["kept"]), F.lit(True)))
+    text = F.when(F.col(names["hashes"]).isNull(), docs[text_col]).otherwise(without_lines(docs[text_col], F.col(names["hashes"])))
+    return found.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

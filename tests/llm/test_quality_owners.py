@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from docspark.llm import quality
 from tests.llm import brute
 from tests.llm.conftest import WORDS
@@ -74,3 +75,14 @@ def test_the_limit_is_the_same_in_a_large_host(spark):
     fill = spark.range(2000, 22000).selectExpr("id AS doc_id", "concat('filler ', id) AS text", "'large' AS source")
     got = quality.judge_quality(spark.createDataFrame(rows, SCHEMA).unionByName(fill)).filter("doc_id < 2000")
     assert sorted((r["doc_id"], r["n_common_words"]) for r in got.collect()) == [(d, 0 if d in (1, 1001) else 48) for d, *_ in rows]
+
+
+def test_common_lines_leave_the_texts(spark):
+    rows = [(i, "\n".join(own(i, 54) + [" Cookie\tNOTICE: x" if i % 2 else "cookie notice:  X ", "", "last  Line"] + own(-i, 6)), "h") for i in range(1, 21)]
+    rows += [(2, rows[1][1], "h"), (30, "too short\ncookie notice: x", "h"), (31, rows[2][1], "other"), (None, None, "h")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA + ", n_chars int")
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    assert got.schema.names == docs.schema.names and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    want = [rows[0], rows[22]] + [(d, "\n".join(own(d, 54) + [""] + own(-d, 6)), "h") for d, *_ in rows[1:21]]
+    assert sorted(map(tuple, got.collect())) == sorted((*r, len(r[1])) for r in want)
+    assert quality.kept_documents(docs).filter("text LIKE '%ookie%'").count() == 22
