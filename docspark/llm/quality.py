@@ -81,10 +81,7 @@ def without_lines(text: Column, hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The measures of every row and its distinct normal lines as ``lines: (hash, n_words)``; written once.
-
-    ``n_words`` of a line counts all its occurrences in the document.
-    """
+    """The measures of every row and its normal lines, one entry for each place, as ``lines: (hash, n)``; written once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     tokens, lines = F.col("tokens"), F.col("normal")
@@ -121,12 +118,16 @@ def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
 
 
 def held_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """The common lines of every document: ``key, doc, text_hash, hash, n, n_words, failed``; written once. Repeated rows name a line once."""
+    """The common lines of every document: ``key, doc, text_hash, hash, n, n_words, failed``; written once.
+
+    ``n`` counts the words of all the line's places in the document; repeated rows count once.
+    """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    lines = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "text_hash", "n_words", base_failed().alias("failed"), F.explode("lines").alias("line"))
-    lines = lines.select("key", "doc", "text_hash", "n_words", "failed", F.col("line.hash").alias("hash"), F.col("line.n").alias("n"))
+    lines = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "text_hash", "n_words", base_failed().alias("failed"), F.posexplode("lines").alias("place", "line"))
+    lines = lines.select("key", "doc", "text_hash", "n_words", "failed", "place", F.col("line.hash").alias("hash"), F.col("line.n").alias("n"))
     lines = lines.join(common.select("key", "hash"), ["key", "hash"])
-    return cut_lineage(lines.groupBy("key", "doc", "text_hash", "hash").agg(F.max("n").alias("n"), F.max("n_words").alias("n_words"), F.max("failed").alias("failed")))
+    once = lines.groupBy("key", "doc", "text_hash", "hash", "n_words", "failed", "place").agg(F.max("n").alias("n"))
+    return cut_lineage(once.groupBy("key", "doc", "text_hash", "hash").agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), F.max("failed").alias("failed")))
 
 
 def line_owners(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:

@@ -86,3 +86,10 @@ def test_common_lines_leave_the_texts(spark):
     want = [rows[0], rows[22]] + [(d, "\n".join(own(d, 54) + [""] + own(-d, 6)), "h") for d, *_ in rows[1:21]]
     assert sorted(map(tuple, got.collect())) == sorted((*r, len(r[1])) for r in want)
     assert quality.kept_documents(docs).filter("text LIKE '%ookie%'").count() == 22
+
+
+def test_every_place_of_a_common_line_counts(spark):
+    a, b = line("a", 9), [line(f"b{k}") for k in range(3)]
+    rows = [(i, "\n".join([a] * (5 if i > 12 else 1) + b + own(i, 54 if i <= 12 else 24)), "h") for i in range(1, 14)]
+    got = {r["doc_id"]: (r["n_words"], r["n_common_words"], r["kept"]) for r in quality.judge_quality(spark.createDataFrame(rows + rows[12:], SCHEMA)).collect()}
+    assert (got[1], got[2], got[13]) == ((87, 0, True), (87, 33, True), (93, 69, False))
