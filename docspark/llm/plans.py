@@ -231,23 +231,29 @@ qlines AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 qdup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM qlines GROUP BY doc_id),
 qnorm AS (
-  SELECT doc_id, {_src('source')} AS host, norm, len(string_split(norm, ' ')) AS n
+  SELECT doc_id, {_src('source')} AS host, norm, sum(len(string_split(norm, ' '))) AS n
   FROM qlines GROUP BY doc_id, source, norm),
-qhosts AS (SELECT {_src('source')} AS host, count(*) AS host_docs FROM qdocs GROUP BY ALL),
-qcommon AS (
-  SELECT host, norm, min(doc_id) AS first_doc FROM qnorm JOIN qhosts USING (host) GROUP BY host, norm
-  HAVING count(*) > greatest({quality.LINE_DOCS}, ceil(max(host_docs) * {quality.LINE_SHARE}::DOUBLE))),
-qremoved AS (
-  SELECT doc_id, sum(n) AS removed FROM qnorm JOIN qcommon USING (host, norm) WHERE doc_id > first_doc GROUP BY doc_id),
 qmeasured AS (
-  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT d.doc_id, {_src('source')} AS host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(removed, 0)::BIGINT AS n_common_words
-  FROM qdocs d LEFT JOIN qrepeat USING (doc_id) LEFT JOIN qdup USING (doc_id) LEFT JOIN qremoved USING (doc_id)),
+    len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
+  FROM qdocs d LEFT JOIN qrepeat USING (doc_id) LEFT JOIN qdup USING (doc_id)),
+qcommon AS (SELECT host, norm FROM qnorm GROUP BY host, norm HAVING count(*) > {quality.LINE_DOCS}),
+qheld AS (SELECT doc_id, host, norm, n, n_words, base_failed FROM qnorm JOIN qcommon USING (host, norm) JOIN qmeasured USING (doc_id, host)),
+qfirst AS (
+  SELECT host, norm, min(doc_id) AS first_doc, arg_min(doc_id, md5(doc_id::VARCHAR)) AS rescuer
+  FROM qheld WHERE NOT base_failed GROUP BY host, norm),
+qsums AS (SELECT doc_id, coalesce(sum(n) FILTER (first_doc < doc_id), 0) AS removed, max(n_words) AS n_words FROM qheld JOIN qfirst USING (host, norm) GROUP BY doc_id),
+qthin AS (SELECT doc_id, removed, n_words - removed < {quality.KEPT_SHARE}::DOUBLE * n_words AS thin FROM qsums),
+qrescued AS (
+  SELECT DISTINCT rescuer AS doc_id FROM (
+    SELECT host, norm, any_value(rescuer) AS rescuer FROM qheld JOIN qfirst USING (host, norm) JOIN qthin USING (doc_id)
+    WHERE NOT base_failed GROUP BY host, norm HAVING bool_and(thin))),
 qverdict AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    n_words - n_common_words < {quality.KEPT_SHARE}::DOUBLE * n_words AS depleted FROM qmeasured)"""
+  SELECT m.* EXCLUDE (host), coalesce(removed, 0)::BIGINT AS n_common_words, r.doc_id IS NOT NULL AS rescued,
+    coalesce(thin, false) AND r.doc_id IS NULL AS depleted
+  FROM qmeasured m LEFT JOIN qthin USING (doc_id) LEFT JOIN qrescued r USING (doc_id))"""
 
 
 @query("op7_quality_rules", f"WITH {QUALITY.strip()} SELECT *, NOT base_failed AND NOT depleted AS kept FROM qverdict")

@@ -1,8 +1,8 @@
 """Quality rules: measures of one document, and cross-document line frequency.
 
 Lines are normalised and hashed; per host the number of distinct documents that hold a line is counted. Lines
-held by more documents than the limit, the same for every host, are removed from all of them but the first that is kept, and a document
-that keeps too few of its words is rejected. Measures and line hashes are taken in one pass over the texts and written;
+held by more documents than the limit, the same for every host, stay in one document, and a document that keeps too few
+of its words is rejected (``line_fates``). Measures and line hashes are taken in one pass over the texts and written;
 counting shuffles hashes only. Each document names a line once, so a common line is pre-aggregated in the tasks.
 """
 
@@ -22,8 +22,6 @@ SYMBOLS = r"[^#*$%&|<>]+"
 
 #: A line is common in a host when more than this many of the host's documents hold it.
 LINE_DOCS = 10
-#: Only the SQL and the brute-force version still raise that limit to this share of a host above 10,000 rows.
-LINE_SHARE = 0.001
 #: A document is depleted when less than this share of its words is left.
 KEPT_SHARE = 0.3
 
@@ -130,47 +128,47 @@ def held_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
     return cut_lineage(once.groupBy("key", "doc", "text_hash", "hash").agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), F.max("failed").alias("failed")))
 
 
-def line_owners(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
-    """The kept document with the smallest id of every common line that a kept document holds: ``key, hash, owner``.
+def line_fates(held: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """What common lines mean for every document that holds one: ``key, doc, text_hash, removed, rescued, hashes``; written once.
 
-    Whether a document is kept depends on the owners before it. In each round a document is settled as kept if it is not
-    depleted even when every open document before it owns its lines, and as rejected if the settled owners alone deplete it.
-    The first open document of a host is always settled, so the rounds end; copies of a settled document are settled in the next one.
+    1. The first holder of a line is the smallest id among its holders that pass the base rules. ``removed`` counts the words of a
+       document's common lines that have an earlier first holder; a document with too few words left is depleted.
+    2. A line that only depleted documents hold is orphaned. Of these the one with the smallest md5 of its id is rescued,
+       so neighbours that share lines mostly agree on one document, and no line is lost that any of them could have kept.
+    3. Documents that pass the base rules and are not depleted, or are rescued, are kept. A line stays in the kept document with
+       the smallest id; ``hashes`` are the lines that a document loses to another one.
+
+    Each step is one pass, whatever the lines of a host look like.
     """
     doc, line = ["key", "doc", "text_hash"], ["key", "hash"]
-    open_lines = held.filter("NOT failed").drop("failed")
-    owners = open_lines.limit(0).select(*line, F.col("doc").alias("owner"))
-    words_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
-    while not open_lines.isEmpty():
-        first = cut_lineage(open_lines.groupBy(*line).agg(F.min("doc").alias("first_open")).join(owners, line, "left"))
-        bounds = open_lines.join(first, line).groupBy(*doc).agg(
-            F.max("n_words").alias("n_words"), words_if(F.col("owner") < F.col("doc")).alias("least"),
-            words_if(F.least("owner", "first_open") < F.col("doc")).alias("most"),
-        )
-        state = F.when(~left_too_few(F.col("most"), kept_share), "kept").when(left_too_few(F.col("least"), kept_share), "rejected").otherwise("open")
-        told = open_lines.join(cut_lineage(bounds.select(*doc, state.alias("state"))), doc)
-        settled = told.filter("state = 'kept'").select(*line, F.col("doc").alias("owner"))
-        owners = cut_lineage(owners.unionByName(settled).groupBy(*line).agg(F.min("owner").alias("owner")))
-        open_lines = cut_lineage(told.filter("state = 'open'").drop("state"))
-    return owners
-
-
-def judged_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, kept_share: float) -> tuple[DataFrame, DataFrame]:
-    """The measured rows, and the lines that each document loses: ``key, doc, text_hash, hash, n``."""
+    able = held.filter("NOT failed")
+    by_chance = F.min(F.struct(F.md5(F.col("doc").cast("string")).alias("chance"), "doc"))
+    firsts = cut_lineage(able.groupBy(*line).agg(F.min("doc").alias("first"), by_chance["doc"].alias("rescuer")))
+    told = cut_lineage(held.join(firsts, line))
+    others = F.coalesce(F.sum(F.when(F.col("first") < F.col("doc"), F.col("n"))), F.lit(0))
+    sums = told.groupBy(*doc).agg(others.alias("removed"), F.max("n_words").alias("n_words"))
+    sums = cut_lineage(sums.select(*doc, "removed", left_too_few(F.col("removed"), kept_share).alias("depleted")))
+    judged = cut_lineage(told.join(sums, doc))
+    orphaned = judged.filter("NOT failed").groupBy(*line).agg(F.min("depleted").alias("orphaned"), F.max("rescuer").alias("rescuer")).filter("orphaned")
+    rescued = cut_lineage(orphaned.select("key", F.col("rescuer").alias("doc"), F.lit(True).alias("rescued")).distinct())
+    settled = judged.join(rescued, ["key", "doc"], "left").withColumn("rescued", F.coalesce("rescued", F.lit(False)) & ~F.col("failed"))
+    settled = cut_lineage(settled.withColumn("kept", ~F.col("failed") & (~F.col("depleted") | F.col("rescued"))))
+    owners = cut_lineage(settled.filter("kept").groupBy(*line).agg(F.min("doc").alias("owner")))
+    lost = F.collect_set(F.when(F.col("owner") != F.col("doc"), F.col("hash")))
+    return cut_lineage(settled.join(owners, line).groupBy(*doc).agg(F.max("removed").alias("removed"), F.max("rescued").alias("rescued"), lost.alias("hashes")))
+
+
+def judge_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, kept_share: float) -> DataFrame:
+    """Measures and verdict of every row, with ``hashes``, the lines that it loses."""
     rows = measure(docs, id_col, text_col, host_col)
-    held = held_lines(rows, common_lines(rows, line_docs))
-    lost = held.join(line_owners(held, kept_share), ["key", "hash"]).filter(F.col("doc") > F.col("owner"))
-    return rows, lost.select("key", "doc", "text_hash", "hash", "n")
-
-
-def verdicts(rows: DataFrame, removed: DataFrame, kept_share: float) -> DataFrame:
-    """Measures and verdict of every row, with the columns of ``removed``: by ``key, doc, text_hash`` at least the words ``removed``."""
+    fates = line_fates(held_lines(rows, common_lines(rows, line_docs)), kept_share)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    judged = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "*").join(removed, ["key", "doc", "text_hash"], "left")
+    judged = rows.select(filled(F.col("host")).alias("key"), doc.alias("doc"), "*").join(fates, ["key", "doc", "text_hash"], "left")
     return judged.select(
         "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_common_words"), base_failed().alias("base_failed"), *removed.columns[:2], *removed.columns[3:],
-    ).withColumn("depleted", left_too_few(F.col("n_common_words"), kept_share)).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_common_words"), base_failed().alias("base_failed"),
+        F.coalesce("rescued", F.lit(False)).alias("rescued"), "hashes",
+    ).withColumn("depleted", left_too_few(F.col("n_common_words"), kept_share) & ~F.col("rescued")).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS,
@@ -178,13 +176,12 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measures and verdict of every row.
 
     Columns: ``doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
-    base_failed, depleted, kept``. A null text has no words and fails the base rules. A null host is a host of its
-    own. A common line stays in the first kept document that holds it; one that no kept document holds is removed from none.
-    A row without an id never counts as a line's first document unless all are without. Repeated rows (equal id and
-    text) get the same verdict. An empty table gives no row.
+    base_failed, rescued, depleted, kept``. A null text has no words and fails the base rules. A null host is a host of its
+    own. Common lines and who keeps them: ``line_fates``; one that no document passing the base rules holds is removed from none.
+    Ids are whole numbers. A row without an id (or with the largest 64-bit number) never counts as a line's first holder unless all are
+    without. Repeated rows (equal id and text) get the same verdict. An empty table gives no row.
     """
-    rows, removed = judged_lines(docs, id_col, text_col, host_col, line_docs, kept_share)
-    return verdicts(rows, removed.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed")), kept_share).drop("key", "doc", "removed")
+    return judge_lines(docs, id_col, text_col, host_col, line_docs, kept_share).drop("hashes")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", remove_lines: bool = False) -> DataFrame:
@@ -193,9 +190,8 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rejected and changed rows are looked up by id, host and text hash; a text without such lines stays as it is.
     """
     names = {c: fresh(f"out_{c}", docs.columns) for c in ("doc_id", "host", "text_hash", "kept", "hashes")}
-    rows, lost = judged_lines(docs, id_col, text_col, host_col, LINE_DOCS, KEPT_SHARE)
-    removed = lost.groupBy("key", "doc", "text_hash").agg(F.sum("n").alias("removed"), F.collect_set("hash").alias("hashes"))
-    out = verdicts(rows, removed, KEPT_SHARE).filter(F.expr("NOT kept OR hashes IS NOT NULL") if remove_lines else F.expr("NOT kept"))
+    out = judge_lines(docs, id_col, text_col, host_col, LINE_DOCS, KEPT_SHARE).withColumn("hashes", F.when(F.size("hashes") > 0, F.col("hashes")))
+    out = out.filter(F.expr("NOT kept OR hashes IS NOT NULL") if remove_lines else F.expr("NOT kept"))
     out = cut_lineage(out.select(
         filled(F.col("doc_id")).alias(names["doc_id"]), filled(F.col("host")).alias(names["host"]), F.col("text_hash").alias(names["text_hash"]),
         F.col("kept").alias(names["kept"]), F.when(F.col("kept"), F.sort_array("hashes")).alias(names["hashes"]),

@@ -152,24 +152,48 @@ def norm_line(line):
     return " ".join(plain(low(line)))
 
 
+def line_fates(rows):
+    """(words of common lines with another first holder, rescued, lines lost to another document, kept) of every (doc_id, text, host)."""
+    failed, held, found = [], Counter(), []
+    for _, t, h in rows:
+        w = plain(t)
+        failed.append(len(w) < 50 or 100 * repeated(w) > 50 * len(w))
+        found.append([norm_line(x) for x in (t or "").split("\n") if plain(x)])
+        held.update((h, x) for x in set(found[-1]))
+    common = {k for k, n in held.items() if n > quality.LINE_DOCS}
+    holders = defaultdict(list)
+    for i, (d, _, h) in enumerate(rows):
+        for x in set(found[i]):
+            if (h, x) in common and not failed[i]:
+                holders[h, x].append(i)
+    ids = [order(d) for d, *_ in rows]
+    first = {k: min(ids[i] for i in v) for k, v in holders.items()}
+    gone, thin = [], []
+    for i, (_, t, h) in enumerate(rows):
+        gone.append(sum(len(x.split(" ")) for x in found[i] if first.get((h, x), ids[i]) < ids[i]))
+        thin.append(len(plain(t)) - gone[-1] < quality.KEPT_SHARE * len(plain(t)))
+    chosen = {(k[0], min(v, key=lambda i: (hashlib.md5(str(ids[i]).encode()).hexdigest(), ids[i]))) for k, v in holders.items() if all(thin[i] for i in v)}
+    chosen = {(h, ids[i]) for h, i in chosen}
+    rescued = [
+        not failed[i] and (h, ids[i]) in chosen and any((h, x) in common for x in found[i]) for i, (_, _, h) in enumerate(rows)
+    ]
+    kept = [not failed[i] and (not thin[i] or rescued[i]) for i in range(len(rows))]
+    owner = {k: min((ids[i] for i in v if kept[i]), default=None) for k, v in holders.items()}
+    lost = [{x for x in found[i] if owner.get((h, x), ids[i]) != ids[i]} for i, (_, _, h) in enumerate(rows)]
+    return list(zip(gone, rescued, lost, kept))
+
+
+def without_lines(text, lost):
+    return "\n".join(x for x in text.split("\n") if norm_line(x) not in lost) if lost else text
+
+
 def quality_rules(rows):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every (doc_id, text, host)."""
-    docs, held, first = Counter(), Counter(), {}
-    for d, t, h in rows:
-        docs[h] += 1
-        for line in {norm_line(x) for x in (t or "").split("\n")} - {""}:
-            held[h, line] += 1
-            first[h, line] = min(first.get((h, line), LAST_ID), order(d))
     out = []
-    for d, t, h in rows:
+    for (_, t, _), (*_, kept) in zip(rows, line_fates(rows)):
         w, lines = plain(t), [x for x in (t or "").split("\n") if plain(x)]
         failed = len(w) < 50 or 100 * repeated(w) > 50 * len(w)
-        gone = sum(
-            len(norm_line(x).split(" ")) for x in set(map(norm_line, lines))
-            if held[h, x] > max(quality.LINE_DOCS, math.ceil(docs[h] * quality.LINE_SHARE)) and order(d) > first[h, x]
-        )
         symbols = sum((t or "").count(c) for c in "#*$%&|<>")
-        kept = not failed and not len(w) - gone < quality.KEPT_SHARE * len(w)
         out.append((len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), repeated(w), failed, kept))
     return out
 
@@ -241,7 +265,7 @@ def simhash_groups(rows):
 
 def pipeline(rows, items, mix_seed, shard_seed):
     """Rows of the last stage for (doc_id, text, source)."""
-    rows = [r for r, q in zip(rows, quality_rules(rows)) if q[-1]]
+    rows = [(d, without_lines(t, lost), s) for (d, t, s), (_, _, lost, kept) in zip(rows, line_fates(rows)) if kept]
     rows = [r for r, g in zip(rows, simhash_groups([r[:2] for r in rows])) if g[1] == r[0]]
     rows = [r for r, (n, hit, _) in zip(rows, decontaminate([r[:2] for r in rows], items)) if not (hit and 20 * hit >= n)]
     rows = [r for r, m in zip(rows, mix(rows, mix_seed)) for _ in range(m[3])]

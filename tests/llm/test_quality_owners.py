@@ -19,56 +19,61 @@ def own(i: int, n: int, per_line: int = 6) -> list[str]:
     return [" ".join(names[k : k + per_line]) for k in range(0, n, per_line)]
 
 
-def in_order(rows, limit=quality.LINE_DOCS):
-    """(doc_id, n_common_words, kept) when documents are taken by id and only kept ones own lines; lines stand once in a document."""
-    lines = {d: [x for x in (t or "").split("\n") if brute.plain(x)] for d, t, _ in rows}
-    held = {}
-    for d, _, h in rows:
-        for x in lines[d]:
-            held[h, x] = held.get((h, x), 0) + 1
-    owner, out = {}, []
-    for d, t, h in sorted(rows):
-        w = brute.plain(t)
-        gone = sum(len(brute.plain(x)) for x in lines[d] if held[h, x] > limit and (h, x) in owner)
-        kept = not (len(w) < 50 or 100 * brute.repeated(w) > 50 * len(w) or len(w) - gone < quality.KEPT_SHARE * len(w))
-        if kept:
-            for x in lines[d]:
-                owner.setdefault((h, x), d)
-        out.append([d, gone, kept])
-    for r, (d, t, h) in zip(out, sorted(rows)):  # a rejected document holds no line, also when its line finds an owner only later
-        r[1] = sum(len(brute.plain(x)) for x in lines[d] if held[h, x] > limit and owner.get((h, x), d) < d)
-    return [tuple(r) for r in out]
-
-
 def judged(spark, rows):
     got = quality.judge_quality(spark.createDataFrame(rows, SCHEMA).repartition(3))
     return sorted(tuple(r) for r in got.select("doc_id", "n_common_words", "kept").collect())
 
 
+def by_rule(rows):
+    return sorted((d, gone, kept) for (d, *_), (gone, _, _, kept) in zip(rows, brute.line_fates(rows)))
+
+
 def test_a_rejected_document_keeps_no_line(spark):
     shared = [line(f"s{k}") for k in range(6)]
     rows = [(1, "\n".join(shared), "h")]
     rows += [(i, "\n".join(shared + own(i, 6)), "h") for i in range(2, 31)]
     rows += [(i, "\n".join(own(i, 60)), "h") for i in range(31, 531)]
     got = judged(spark, rows)
-    assert got == in_order(rows)
+    assert got == by_rule(rows)
     assert got[:3] == [(1, 0, False), (2, 0, True), (3, 48, False)]
     assert sum(k for *_, k in got) == 501
 
 
-def test_a_depleted_document_keeps_no_line(spark):
+def test_no_line_is_lost_with_depleted_documents(spark):
     a, b, c = ([line(f"{t}{k}") for k in range(6)] for t in "abc")
     rows = [(1, "\n".join(a), "h"), (2, "\n".join(a + own(2, 12)), "h")]
-    rows += [(3, "\n".join(a + b[:1] + own(3, 6)), "h")]  # depleted by 2, so the first of b is for 5
+    rows += [(3, "\n".join(a + b[:1] + own(3, 6)), "h")]  # depleted by 2, though the first holder of a line of b
     rows += [(4, "\n".join(b + own(4, 1)), "i"), (5, "\n".join(b + own(5, 8)), "h"), (6, "\n".join(b + c[:1] + own(6, 2)), "h")]
     rows += [(i, "\n".join((a, b, c, a[:3] + b[3:] + c[:2], b[:4] + c[2:])[i % 5] + own(i, i % 16 + 1)), "h") for i in range(7, 130)]
     got = judged(spark, rows)
-    assert got == in_order(rows)
+    assert got == by_rule(rows)
     assert [k for *_, k in got[:6]] == [False, True, False, False, True, False]
     held = {x for (_, t, _), g in zip(rows, got) if g[2] for x in t.split("\n")}
     assert set(a + b + c) <= held
 
 
+def rolling(n: int):
+    """Pages of a feed that moves on by one line."""
+    feed = [line(f"f{k}x", 6) for k in range(n + 12)]
+    return [(i, "\n".join(feed[i : i + 12] + own(i, 3)), "feed") for i in range(1, n + 1)]
+
+
+def test_a_rolling_feed_takes_a_fixed_number_of_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(quality, "cut_lineage", lambda df, cut=quality.cut_lineage: written.append(df) or cut(df))
+    tables = []
+    for n in (20, 80):
+        rows, before = rolling(n), len(written)
+        got = judged(spark, rows)
+        assert got == by_rule(rows)
+        tables.append(len(written) - before)
+        common = {x for x in (f for _, t, _ in rows for f in t.split("\n")[:12]) if sum(x in t.split("\n") for _, t, _ in rows) > quality.LINE_DOCS}
+        kept = {d for d, _, k in got if k}
+        assert common <= {x for d, t, _ in rows if d in kept for x in t.split("\n")}
+        assert len(kept) < 20 + n / 4
+    assert tables[0] == tables[1]
+
+
 def test_the_limit_is_the_same_in_a_large_host(spark):
     shared = [line(f"s{k}") for k in range(6)]
     rows = [(i, "\n".join(shared + own(i, 6)), host) for host, at in (("small", 0), ("large", 1000)) for i in range(at + 1, at + 16)]

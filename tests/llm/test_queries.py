@@ -13,12 +13,14 @@ from tests.compare import difference, duck
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
+#: Larger tables where the smallest ones lack what the query looks for (lines that many documents share).
+LARGER = {"op7_quality_rules": "/root/testdata/sf0.01"}
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.oracle])
 def test_query_against_sql(spark, name):
-    query = QUERIES[name]
-    assert difference(query(spark, FOLDER).toArrow(), duck(FOLDER).execute(query.oracle).to_arrow_table()) is None
+    query, folder = QUERIES[name], LARGER.get(name, FOLDER)
+    assert difference(query(spark, folder).toArrow(), duck(folder).execute(query.oracle).to_arrow_table()) is None
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.oracle])
