@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import (
+    bpe,
     decontamination,
     language_id,
     license_scan,
@@ -329,3 +330,14 @@ def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+# -- 13 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text that they stand for, as checksums."""
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
