@@ -11,7 +11,7 @@ not start in the text), and it stands between two characters. The pairs inside c
 are never cut. A run of letters, digits or signs that is cut keeps its two parts as pre-tokens, between which no merge exists.
 
 Cutting, finding distinct fragments and gluing ids run on whole Arrow batches in numpy; a task handles at most ``PIECE`` bytes at a
-time, also within one long text, and keeps nothing between pieces.
+time, also within one long text, and remembers at most ``KNOWN`` fragments or those of the last piece.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ ship_with_tasks(__name__)
 FILE = "byte_bpe_50k.json"
 #: Bytes handled at once: bounds the memory of a task besides its rows.
 PIECE = 1 << 23
+#: Fragments whose ids a worker remembers; those of one piece may be more.
+KNOWN = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,6 +59,7 @@ class Codec:
         for i, t in tokens:
             self.tokens[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
         self.certain = self.boundaries()
+        self.known: dict[str, list[int]] = {}
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
@@ -91,10 +94,15 @@ class Codec:
         """Ids of the bytes ``begin .. end - 1`` of a buffer, and the number of ids before each of ``places`` (texts start there)."""
         np = self.np
         cuts = self.cuts(np.frombuffer(data, dtype=np.uint8, count=end)[begin:]) + begin
-        bounds = np.unique(np.concatenate((cuts, places, [begin, end])))
+        bounds = np.sort(np.concatenate((cuts, places, [begin, end])), kind="stable")
+        bounds = bounds[np.concatenate(([True], bounds[1:] != bounds[:-1]))]
         fragments = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), data).dictionary_encode()
         distinct = [f.decode("utf-8", "replace") for f in fragments.dictionary.cast(pa.binary()).to_pylist()]
-        ids = [code.ids for code in self.model.encode_batch_fast(distinct, add_special_tokens=False)]
+        if new := [f for f in distinct if f not in self.known]:
+            if len(self.known) + len(new) > KNOWN:
+                self.known, new = {}, distinct
+            self.known.update(zip(new, [code.ids for code in self.model.encode_batch_fast(new, add_special_tokens=False)]))
+        ids = [self.known[f] for f in distinct]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
         index = fragments.indices.to_numpy()
