@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import (
     bpe,
+    conversation_trie,
     decontamination,
     language_id,
     license_scan,
@@ -332,6 +333,48 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+# -- 12 -----------------------------------------------------------------------------------------------------------
+
+OP12 = rf"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i::UBIGINT, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+turns AS (
+  SELECT conv_id, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k, len({WHITE_WORDS}) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS ts FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, ts, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INTEGER + 1])), 4294967295::UBIGINT) % 4)::BIGINT AS h
+  FROM own, crc),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.ts, 1, c.h), []), list_slice(c.ts, c.h + 1, len(c.ts))) AS rb
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, d, len(rb) AS size, CASE WHEN d > 0 THEN rb[d].w ELSE 0 END AS w,
+    sha256(array_to_string(list_transform(list_slice(rb, 1, d), lambda x: x.k), '')) AS node,
+    CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(list_slice(rb, 1, d - 1), lambda x: x.k), '')) END AS parent
+  FROM (SELECT conv_id, rb, unnest(range(len(rb) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = size), '')) AS ends_sha256
+  FROM prefixes GROUP BY node),
+below AS (SELECT parent, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT p.node, sum(CASE WHEN b.parent IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved_tokens
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.depth LEFT JOIN below b ON b.parent = n.node GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.node = n.parent LEFT JOIN below b ON b.parent = n.node JOIN sums s ON s.node = n.node"""
+
+
+@query("op12_conversation_trie", OP12)
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 # -- 13 -----------------------------------------------------------------------------------------------------------
 
 
