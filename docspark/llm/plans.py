@@ -13,6 +13,7 @@ from docspark.llm import (
     conversation_trie,
     decontamination,
     language_id,
+    lexical_search,
     license_scan,
     mixing,
     quality,
@@ -333,6 +334,31 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+# -- 11 -----------------------------------------------------------------------------------------------------------
+
+OP11 = rf"""
+WITH items AS (SELECT DISTINCT item_id, unnest({LOW_WORDS.format('text')}) AS term FROM benchmark),
+docs AS (SELECT doc_id, {LOW_WORDS.format('text')} AS ws FROM documents),
+sums AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM docs),
+tfs AS (
+  SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term, len(ws) AS n FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY doc_id, term, n),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), sums),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN tfs USING (term) JOIN weights USING (term), sums GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= {lexical_search.BEST}"""
+
+
+@query("op11_lexical_search", OP11)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 50 documents for every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # -- 12 -----------------------------------------------------------------------------------------------------------
 
 OP12 = rf"""
