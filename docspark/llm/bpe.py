@@ -16,6 +16,8 @@ time, also within one long text, and remembers at most ``KNOWN`` fragments or th
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -30,9 +32,13 @@ ship_with_tasks(__name__)
 
 FILE = "byte_bpe_50k.json"
 #: Bytes handled at once: bounds the memory of a task besides its rows.
-PIECE = 1 << 23
+PIECE = 1 << 22
+#: Ids decoded at once.
+IDS = 1 << 18
+#: Rows passed on at once.
+ROWS = 1000
 #: Fragments whose ids a worker remembers; those of one piece may be more.
-KNOWN = 600_000
+KNOWN = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,33 +53,37 @@ class Codec:
 
     def __init__(self, definition: str):
         import numpy as np
-        import tokenizers
 
-        self.np = np
-        self.model = tokenizers.Tokenizer.from_str(definition)
-        self.model.no_truncation()
-        self.model.no_padding()
-        alphabet = byte_alphabet()
-        tokens = sorted((i, t) for t, i in self.model.get_vocab(with_added_tokens=True).items())
-        self.tokens = [b""] * (tokens[-1][0] + 1 if tokens else 0)
-        for i, t in tokens:
+        self.np, self.definition = np, definition
+        alphabet, parsed = byte_alphabet(), json.loads(definition)
+        tokens = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+        self.tokens = [b""] * (max(tokens, default=-1) + 1)
+        for i, t in tokens.items():
             self.tokens[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+        self.added = [t["content"].encode() for t in parsed["added_tokens"]]
         self.certain = self.boundaries()
         self.known: dict[str, list[int]] = {}
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
 
+    @functools.cached_property
+    def model(self):
+        """The merging rules, which only encoding needs."""
+        import tokenizers
+
+        model = tokenizers.Tokenizer.from_str(self.definition)
+        model.no_truncation()
+        model.no_padding()
+        return model
+
     def boundaries(self):
         """Flags over (byte, next byte): never together in a token, and harmless to the pre-token pattern as far as two bytes tell."""
         np = self.np
         inside = np.zeros((256, 256), dtype=bool)
-        for t in self.tokens:
+        for t in self.tokens + self.added:
             b = np.frombuffer(t, dtype=np.uint8)
             inside[b[:-1], b[1:]] = True
-        for special in self.model.get_added_tokens_decoder().values():
-            b = np.frombuffer(special.content.encode(), dtype=np.uint8)
-            inside[b[:-1], b[1:]] = True
         certain = ~inside
         certain[:0x21, :] = False  # white space and control characters in front
         certain[:, ord("'")] = False
@@ -131,7 +141,11 @@ class Codec:
         known = (ids >= 0) & (ids < len(self.tokens))
         safe = np.where(known, ids, 0)
         sizes = np.where(known, self.sizes[safe], 0)
-        data = self.bytes[stretches(np, self.starts[safe], sizes)].tobytes()
+        parts = []
+        for at in range(0, len(ids), IDS):
+            own = slice(at, at + IDS)
+            parts.append(self.bytes[stretches(np, self.starts[safe[own]], sizes[own])].tobytes())
+        data = b"".join(parts)
         ends = np.concatenate(([0], np.cumsum(sizes)))[offsets]
         return [data[b:e].decode("utf-8", "replace") for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -174,10 +188,8 @@ def _encode(shared):
         import numpy as np
 
         codec = _codec(shared)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column(batch.num_columns - 1)
-            if not len(texts):
-                continue
             offsets, data = _offsets(np, texts), texts.buffers()[2] or pa.py_buffer(b"")
             ids, before, total = [np.zeros(0, dtype=np.int32)], np.zeros(len(offsets), dtype=np.int64), 0
             for begin, end in codec.pieces(data, offsets):
@@ -201,13 +213,12 @@ def _decode(shared):
 
         codec = _codec(shared)
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            if not len(lists):
-                continue
-            offsets = _offsets(np, lists)
-            values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).fill_null(-1).to_numpy().astype(np.int64)
-            texts = pa.array(codec.decode(values, offsets - offsets[0]), type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
+            for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                lists = part.column(part.num_columns - 1)
+                offsets = _offsets(np, lists)
+                values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).fill_null(-1).to_numpy()
+                texts = pa.array(codec.decode(values, offsets - offsets[0]), type=pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "text"])
 
     return task
 
