@@ -219,7 +219,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _spans(first: Column, last: Column) -> Column:
-    return F.collect_list(F.struct(first.alias("first"), last.alias("last")))
+    return F.collect_set(F.struct(first.alias("first"), last.alias("last")))
 
 
 def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
