@@ -56,10 +56,10 @@ def rarest_words(windows: DataFrame, docs: DataFrame, text_col: str = "text") ->
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index of the corpus for ``terms``: ``doc, text_hash, term, pos``; written once."""
+    """Index of the corpus for ``terms``: ``doc, text_hash, term, pos``; repeated rows are one document; written once."""
     tokens = docs.select(_doc(id_col), F.col(text_col).alias("text"), _text_hash(text_col))
     placed = tokens.select("doc", "text_hash", F.posexplode(_tokens(F.col("text"))).alias("pos", "term"))
-    return cut_lineage(placed.join(terms, "term").select("doc", "text_hash", "term", "pos"))
+    return cut_lineage(placed.join(terms, "term").select("doc", "text_hash", "term", "pos").distinct())
 
 
 def places(index: DataFrame, probes: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
