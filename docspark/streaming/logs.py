@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark.functions import fixed
-from docspark.operators import logs, uploads
+from docspark.operators import logs
 
 
 def rate_limit_violations(requests: DataFrame, client: str = "user_id", delay: str = "10 minutes",
@@ -38,6 +38,109 @@ def store_logs(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def job_progress(items: DataFrame) -> DataFrame:
-    """Running progress per job, for the update output mode."""
-    return uploads.job_progress(items)
+PROGRESS = "job_id bigint, opened_at timestamp, total bigint, finished bigint, progress int, status string, results bigint, closed boolean"
+ENDED = ("success", "error")
+
+
+def _tracker(idle_ms: int):
+    """Keyed state per job: its counts, and the newest status of each item; both go when the job has been idle in event time."""
+    import datetime as dt
+
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Tracker(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.items = handle.getMapState("items", "item_id bigint", "status string, ts timestamp")
+            self.counts = handle.getValueState("counts", "opened_at timestamp, newest timestamp, total bigint, finished bigint, successful bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            counts = self._counts()
+            for batch in rows:
+                for row in batch.sort_values(["ts", "item_id", "status"]).itertuples():
+                    stamp = row.ts.to_pydatetime().replace(tzinfo=None)
+                    if counts and (stamp - counts[1]).total_seconds() * 1000 > idle_ms:
+                        yield self._row(key, counts, True)
+                        self.items.clear()
+                        counts = None
+                    counts = counts or [stamp, stamp, 0, 0, 0]
+                    counts[1] = max(counts[1], stamp)
+                    self._take(counts, (int(row.item_id),), row.status, stamp)
+            if counts:
+                self.counts.update(tuple(counts))
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(counts[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + idle_ms)
+                yield self._row(key, counts, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            counts = self._counts()
+            if counts:
+                yield self._row(key, counts, True)
+            self.items.clear()
+            self.counts.clear()
+
+        def close(self):
+            pass
+
+        def _counts(self):
+            if not self.counts.exists():
+                return None
+            opened, newest, *numbers = self.counts.get()
+            return [opened.replace(tzinfo=None), newest.replace(tzinfo=None), *map(int, numbers)]
+
+        def _take(self, counts, item, status, stamp):
+            """Count an item's status in place of an older one; one sent again or late changes nothing."""
+            known = self.items.getValue(item) if self.items.containsKey(item) else None
+            if known is None:
+                counts[2] += 1
+            elif stamp < known[1].replace(tzinfo=None):
+                return
+            else:
+                counts[3] -= known[0] in ENDED
+                counts[4] -= known[0] == "success"
+            counts[3] += status in ENDED
+            counts[4] += status == "success"
+            self.items.updateValue(item, (status, stamp))
+
+        def _row(self, key, counts, closed):
+            import pandas as pd
+
+            opened, _, total, finished, successful = counts
+            status = "processing" if finished < total else "failed" if not successful else "completed"
+            return pd.DataFrame({
+                "job_id": [key[0]], "opened_at": [pd.Timestamp(opened, tz="UTC")], "total": [total], "finished": [finished],
+                "progress": pd.array([int(finished * 100 / total + 0.5)], dtype="int32"), "status": [status],
+                "results": pd.array([successful if status == "completed" else None], dtype="Int64"), "closed": [closed],
+            })
+
+    return Tracker()
+
+
+def job_progress(items: DataFrame, delay: str = "10 minutes", idle_seconds: int = fixed.STALE_SECONDS) -> DataFrame:
+    """Progress per job for the update output mode: ``job_id, opened_at, total, finished, progress, status, results, closed``.
+
+    ``items`` holds (job_id, item_id, ts, status); the newest status of an item counts, so items sent again are not counted twice. A
+    job ends when no item came for ``idle_seconds`` in event time: its last row is marked ``closed`` and its state goes, so state holds
+    only jobs active within that time and the watermark's ``delay``. Later items open the job anew. Needs the RocksDB state store. The metric
+    ``job_items`` (items, finished) of every micro-batch is in the query's progress.
+    """
+    timed = items.select("job_id", "item_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    counted = timed.observe("job_items", F.count(F.lit(1)).alias("items"), F.count_if(F.col("status").isin(*ENDED)).alias("finished"))
+    return counted.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
+        _tracker(idle_seconds * 1000), PROGRESS, outputMode="update", timeMode="EventTime")
+
+
+def store_progress(progress: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream that keeps every micro-batch's changes, one folder per batch; a replayed batch writes its own folder again."""
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return progress.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every run of a job: of one micro-batch, the one with more items."""
+    rows = spark.read.schema(f"{PROGRESS}, epoch bigint").parquet(path)
+    newest = F.max_by(F.struct("total", "finished", "progress", "status", "results", "closed"), F.struct("epoch", "closed", "total")).alias("r")
+    return rows.groupBy("job_id", "opened_at").agg(newest).select("job_id", "opened_at", "r.*")

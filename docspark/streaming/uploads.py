@@ -98,10 +98,15 @@ def assemble_multipart(parts: DataFrame, delay: str = "10 minutes",
     )
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """All rows of all ledger versions, with ``run`` and ``version``; None where no ledger is yet."""
+LEDGER = "upload_id bigint, ts timestamp, outcome string, error string, failures bigint, bucket int, version bigint, run string, epoch bigint"
+#: Hash buckets of a ledger; a batch rewrites only those that its uploads fall into.
+BUCKETS = 64
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of all kept versions; None where no ledger is yet."""
     try:
-        return spark.read.option("basePath", path).parquet(f"{path}/run=*/version=*")
+        return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
             return None
@@ -109,35 +114,82 @@ def _versions(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _newest(ledger: DataFrame) -> DataFrame:
-    """Rows of the version written last."""
-    last = ledger.agg(F.max_by(F.struct("run", "version"), "folded_at").alias("v"))
-    return ledger.filter(F.struct("run", "version") == last.select("v").scalar())
+    """The rows of every bucket's last version."""
+    last = ledger.groupBy("bucket").agg(F.max("version").alias("version"))
+    return ledger.join(F.broadcast(last), ["bucket", "version"])
 
 
-def update_ledger(batch: DataFrame, epoch: int, path: str, run: str) -> None:
-    """Fold a batch of upload outcomes into the ledger's next version.
+def fold_outcomes(rows: DataFrame) -> DataFrame:
+    """``bucket, upload_id, ts, outcome, error, failures, new, known``: one row per upload of its events and its stored row.
 
-    Each version is a folder of its own under its run (the id of the streaming query, which its checkpoint keeps), so a
-    batch that is replayed writes the same rows to the same place and readers never see a half-written ledger. The first
-    batch of a new run goes on from the newest version of earlier runs.
+    The latest event decides; ties go to the larger outcome. ``failures`` counts those after the last success.
     """
-    spark = batch.sparkSession
-    rows = batch.select("upload_id", "ts", "outcome", "error", (F.col("outcome") == "failure").cast("bigint").alias("failures"))
-    known = _versions(spark, path)
-    if known is not None:
-        before = known.filter(F.col("run") == run).filter(F.col("version") == epoch - 1) if epoch else _newest(known.filter(F.col("run") != run))
-        rows = rows.unionByName(before.select(*rows.columns))
-    folded = rows.groupBy("upload_id").agg(
-        F.max(F.struct("ts", "outcome", "error")).alias("l"), F.sum("failures").alias("failures")
+    keys = ["bucket", "upload_id"]
+    last = rows.groupBy(*keys).agg(
+        F.max(F.struct("ts", "outcome", "error")).alias("l"), F.max(F.when(F.col("outcome") == "success", F.col("ts"))).alias("closed_at"),
+        F.max("new").alias("new"), F.min("new").alias("_all_new"),
     )
-    stamped = folded.select("upload_id", "l.*", "failures", F.current_timestamp().alias("folded_at"))
-    stamped.write.mode("overwrite").parquet(f"{path}/run={run}/version={epoch}")
+    since = rows.join(last.select(*keys, "closed_at"), keys).filter(F.col("closed_at").isNull() | (F.col("ts") > F.col("closed_at")))
+    counted = since.groupBy(*keys).agg(F.sum("failures").alias("failures"))
+    return last.join(counted, keys, "left").select(
+        *keys, "l.ts", "l.outcome", "l.error", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"), "new", (F.col("_all_new") == 0).alias("known"))
+
 
+def update_ledger(batch: DataFrame, epoch: int, path: str, run: str, delay: str = "1 hour", buckets: int = BUCKETS) -> None:
+    """Fold a batch of upload outcomes into the ledger: parquet, partitioned by bucket and version.
 
-def failed_ledger(outcomes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    Only the buckets of the batch's uploads are read and written, as their next version; readers take each bucket's last one, so they never
+    see half a bucket. A replayed batch (same ``run``, the id that the checkpoint keeps, and ``epoch``) starts from the versions before it and
+    overwrites its own ones. Versions before the previous one are removed.
+
+    Each bucket has a watermark, ``delay`` behind the newest event that earlier batches brought. Closed uploads behind it leave the ledger when
+    their bucket is written next; an event behind it of an upload that the ledger does not know is late and ignored. Events without
+    an upload id are ignored.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("upload_id"), F.lit(buckets)).cast("int").alias("bucket")
+    is_failure = (F.col("outcome") == "failure").cast("bigint").alias("failures")
+    events = batch.filter("upload_id IS NOT NULL").select("upload_id", F.col("ts").cast("timestamp").alias("ts"), "outcome", "error", is_failure, bucket).persist()
+    try:
+        touched = sorted(r["bucket"] for r in events.select("bucket").distinct().collect())
+        if not touched:
+            return
+        version, rows = 0, events.withColumn("new", F.lit(1))
+        marks = events.groupBy("bucket").agg(F.max("ts").alias("ts"))
+        before = marks.limit(0).withColumnRenamed("ts", "seen")
+        stored = _stored(spark, path)
+        if stored is not None:
+            own = stored.filter((F.col("run") == run) & (F.col("epoch") == epoch)).agg(F.max("version")).first()[0]
+            version = own if own is not None else 1 + (stored.agg(F.max("version")).first()[0] or 0)
+            base = _newest(stored.filter(F.col("bucket").isin(touched) & (F.col("version") < version)))
+            rows = rows.unionByName(base.filter("upload_id IS NOT NULL").select(*events.columns, F.lit(0).alias("new")))
+            before = base.filter("upload_id IS NULL").select("bucket", F.col("ts").alias("seen"))
+            marks = marks.unionByName(before.withColumnRenamed("seen", "ts")).groupBy("bucket").agg(F.max("ts").alias("ts"))
+        folded = fold_outcomes(rows).join(F.broadcast(before), "bucket", "left").withColumn("behind", F.coalesce(F.col("ts") < F.col("seen") - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+        kept = folded.filter(~(F.col("behind") & F.when(F.col("known"), (F.col("new") == 0) & (F.col("outcome") == "success")).otherwise(F.lit(True))))
+        written = kept.select("upload_id", "ts", "outcome", "error", "failures", "bucket").unionByName(marks, allowMissingColumns=True)
+        stamped = written.withColumns({"version": F.lit(version).cast("bigint"), "run": F.lit(run), "epoch": F.lit(epoch).cast("bigint")})
+        stamped.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket", "version", "run", "epoch").parquet(path)
+    finally:
+        events.unpersist()
+    _forget_versions(spark, path, touched, version)
+
+
+def _forget_versions(spark: SparkSession, path: str, touched: list[int], version: int) -> None:
+    """Remove what is older than the last version before ``version`` in the touched buckets."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in touched:
+        found = {int(s.getPath().getName().split("=")[1]): s.getPath() for s in files.listStatus(hadoop(f"{path}/bucket={bucket}")) if "=" in s.getPath().getName()}
+        for old in sorted(v for v in found if v < version)[:-1]:
+            files.delete(found[old], True)
+
+
+def failed_ledger(outcomes: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", buckets: int = BUCKETS) -> StreamingQuery:
     """Start the ledger stream over what is available."""
     def fold(batch: DataFrame, epoch: int) -> None:
-        update_ledger(batch, epoch, path, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        update_ledger(batch, epoch, path, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), delay, buckets)
 
     return (
         outcomes.writeStream.foreachBatch(fold)
@@ -147,9 +199,6 @@ def failed_ledger(outcomes: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
-def open_failures(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Failures still open in the newest version of the ledger, or in version ``version`` of its newest run."""
-    ledger = _versions(spark, path)
-    if version is not None:
-        ledger = ledger.filter(F.col("version") == version)
-    return _newest(ledger).filter("outcome = 'failure'").select("upload_id", F.col("ts").alias("failed_at"), "error", "failures")
+def open_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``upload_id, failed_at, error, failures``: uploads whose last event is a failure, and how often they failed since their last success."""
+    return _newest(_stored(spark, path)).filter("outcome = 'failure'").select("upload_id", F.col("ts").alias("failed_at"), "error", "failures")
