@@ -201,8 +201,26 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, F.lit(1.0) - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
+def _allowed_edits(a: Column, b: Column, max_similarity: float) -> Column:
+    """The largest edit distance at which two texts are still too similar."""
+    return F.ceil(F.lit(1 - max_similarity) * F.greatest(F.length(a), F.length(b))).cast("int") - 1
+
+
+def surely_alike(a: Column, b: Column, max_similarity: float = fixed.MAX_SIMILARITY) -> Column:
+    """Do edits inside matching sentences alone show that the texts are too similar? False says nothing.
+
+    Both texts are cut behind end marks and line breaks. With equally many pieces the distances of the pieces add up to an upper bound
+    of the whole distance, at the price of the squares of the pieces instead of that of the text.
+    """
+    cut = lambda t: F.split(t, r"(?<=[.!?\n])")
+    edits = lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y))
+    bounded = lambda s: (F.size(s["x"]) == F.size(s["y"])) & (
+        F.aggregate(F.zip_with(s["x"], s["y"], edits), F.lit(0), lambda acc, n: acc + n) <= _allowed_edits(a, b, max_similarity))
+    return let(F.struct(cut(a).alias("x"), cut(b).alias("y")), bounded)
+
+
 def changed_enough(a: Column, b: Column, max_similarity: float = fixed.MAX_SIMILARITY) -> Column:
-    """Is the edit similarity at most ``max_similarity``? The distance is only followed up to that bound."""
-    longest = F.greatest(F.length(a), F.length(b))
-    bound = F.ceil(F.lit(1 - max_similarity) * longest).cast("int") - 1
-    return F.when(longest > 0, F.call_function("levenshtein", a, b, F.greatest(bound, F.lit(0))) < 0).otherwise(F.lit(False))
+    """Is the edit similarity at most ``max_similarity``? The distance is only followed up to that bound, and not at all where the texts are surely alike."""
+    bound = F.greatest(_allowed_edits(a, b, max_similarity), F.lit(0))
+    far = F.when(surely_alike(a, b, max_similarity), F.lit(False)).otherwise(F.call_function("levenshtein", a, b, bound) < 0)
+    return F.when(F.greatest(F.length(a), F.length(b)) > 0, far).otherwise(F.lit(False))

@@ -129,6 +129,26 @@ def _pieces(text: Column) -> Column:
     )
 
 
+def _known_words(pieces: Column, entries: Column) -> Column:
+    """``head`` and ``words``: the text up to the first word that has an entry, and each such word with its place, entry and the text up to the next one.
+
+    So attempts go from known word to known word, and what lies between is put together once.
+    """
+    def between(texts: Column, begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(texts, begin + 1, F.greatest(end - begin, F.lit(0))), "")
+
+    def cut(s: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(s["hits"], k), F.size(s["texts"]))
+        words = F.transform(s["hits"], lambda i, k: let(F.get(s["pieces"], i), lambda p: F.struct(
+            i.alias("pos"), p["token"].alias("token"), _entry(entries, p["token"]).alias("entry"), F.concat(p["gap"], between(s["texts"], i + 1, at(k + 1))).alias("rest"))))
+        return F.struct(between(s["texts"], F.lit(0), at(F.lit(0))).alias("head"), words.alias("words"))
+
+    indexes = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(indexes, lambda i: _entry(entries, F.get(pieces, i)["token"]).isNotNull())
+    texts = F.transform(pieces, lambda p: F.concat(p["token"], p["gap"]))
+    return let(F.struct(pieces.alias("pieces"), texts.alias("texts"), hits.alias("hits")), cut)
+
+
 def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed: int = 0, key: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """Swap words for drawn synonyms inside each row; all other columns, and rows with equal or null keys, stay as they are."""
@@ -213,17 +233,11 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
 
     def candidate(node: Column, attempt: Column) -> Column:
         keys = (seed, node["key"], attempt["n"])
-        text = F.array_join(
-            F.transform(
-                node["tokens"],
-                lambda t, i: F.concat(
-                    _chosen(attempt["p_syn"], *keys, pos=i, token=t["token"], word_class=t["entry"]["word_class"],
-                            synonyms=t["entry"]["synonyms"]),
-                    t["gap"],
-                ),
-            ),
-            "",
-        )
+        swapped = F.transform(node["words"], lambda w: F.concat(
+            _chosen(attempt["p_syn"], *keys, pos=w["pos"], token=w["token"], word_class=w["entry"]["word_class"], synonyms=w["entry"]["synonyms"]),
+            w["rest"],
+        ))
+        text = F.concat(node["head"], F.array_join(swapped, ""))
         opened = let(text, lambda x: wording.with_line_transitions(x, attempt["p_trans"], *keys))
         final = wording.normalize_punctuation(wording.restore_citations(opened, node["refs"]))
         kept = let(
@@ -239,11 +253,9 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
         for i, (p_syn, p_trans) in enumerate(fixed.REWRITE_LEVELS)
         for k in range(attempts)
     ])
-    tokens = let(F.struct(F.col("_work").alias("text"), F.col("_entries").alias("entries")), lambda r: F.transform(
-        _pieces(r["text"]), lambda p: F.struct(p["token"].alias("token"), p["gap"].alias("gap"), _entry(r["entries"], p["token"]).alias("entry"))))
-    node = F.struct(
-        F.col("_key").alias("key"), tokens.alias("tokens"), F.col("_core").alias("core"), F.col("_refs").alias("refs"),
-    )
+    node = let(F.struct(F.col("_work").alias("text"), F.col("_entries").alias("entries")), lambda r: let(_pieces(r["text"]), lambda p: _known_words(p, r["entries"])))
+    node = F.struct(F.col("_key").alias("key"), node.alias("cut"), F.col("_core").alias("core"), F.col("_refs").alias("refs"))
+    node = let(node, lambda n: F.struct(n["key"].alias("key"), n["cut"]["head"].alias("head"), n["cut"]["words"].alias("words"), n["core"].alias("core"), n["refs"].alias("refs")))
     none = F.lit(None).cast("struct<n:int,text:string>")
     picked = let(node, lambda n: F.aggregate(tries, none, lambda acc, attempt: F.when(acc.isNotNull(), acc).otherwise(candidate(n, attempt))))
     judged = found.select("_key", "_node", "_core", picked.alias("_picked"))

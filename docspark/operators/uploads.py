@@ -46,12 +46,11 @@ def stale_assemblies(parts: DataFrame, now: Column, idle_seconds: int = fixed.ST
 def concatenate_parts(parts: DataFrame, data_col: str = "data") -> DataFrame:
     """Part contents in index order per upload; a missing index is an error, not a short file.
 
-    Indexes may start at 0 or 1. Copies of a part are folded first, so a list never holds
-    more than the parts of one upload.
+    Indexes may start at 0 or 1. Of several copies of a part the newest (``ts, upload_id``) counts, so a list never holds
+    more than the parts of one upload. For contents that fit in a cell together; ``sources.assembled`` writes larger ones to files.
     """
-    once = parts.groupBy("multipart_id", "part_index").agg(
-        F.max(data_col).alias(data_col), F.max("total_parts").alias("total_parts")
-    )
+    newest = F.max_by(F.struct(data_col, "total_parts"), F.struct("ts", "upload_id")).alias("_n")
+    once = parts.groupBy("multipart_id", "part_index").agg(newest).select("multipart_id", "part_index", "_n.*")
     grouped = once.groupBy("multipart_id").agg(
         F.sort_array(F.collect_list(F.struct("part_index", data_col))).alias("_p"),
         F.max("total_parts").alias("total_parts"),

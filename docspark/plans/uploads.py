@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from docspark.functions import naming
 from docspark.operators import uploads
 from docspark.plans import views
 from docspark.plans.registry import Tables, query
+from docspark.session import work_folder
+from docspark.sources import assembled
 
 WITH = f"WITH {views.UPLOAD_PARTS}"
 LATEST = """,
@@ -56,11 +59,31 @@ def concatenate_parts(t: Tables):
     upload = F.floor(e / 4).cast("bigint")
     parts = t.events.select(
         upload.alias("multipart_id"), (e % 4).cast("int").alias("part_index"),
-        views.announced_parts(upload).alias("total_parts"), F.col("props").alias("data"),
+        views.announced_parts(upload).alias("total_parts"), F.col("props").alias("data"), "ts", e.alias("upload_id"),
     )
     return uploads.concatenate_parts(parts)
 
 
+@query(
+    "assembled_files",
+    """
+WITH parts AS (SELECT event_id // 4 AS multipart_id, event_id % 4 AS part_index, CASE WHEN (event_id // 4) % 3 = 0 THEN 5 ELSE 4 END AS total,
+    coalesce(props, '') || CASE WHEN event_id % 11 = 0 THEN ' sent again' ELSE '' END AS data FROM events),
+files AS (SELECT multipart_id, total, count(*) AS n, string_agg(data, '' ORDER BY part_index) AS content,
+    list_min(list_filter(range(total), lambda i: NOT list_contains(list(part_index), i))) AS missing FROM parts GROUP BY 1, 2)
+SELECT multipart_id, CAST(total AS INTEGER) AS total_parts, CAST(n AS INTEGER) AS parts, CASE WHEN missing IS NULL THEN CAST(strlen(content) AS BIGINT) END AS bytes,
+  CASE WHEN missing IS NULL THEN sha256(content) END AS sha256, CAST(missing AS INTEGER) AS missing_index,
+  CASE WHEN missing IS NOT NULL THEN 'missing part' END AS error FROM files""",
+)
+def assembled_files(t: Tables):
+    """Files of the complete uploads, written block by block (9 characters each); every eleventh part is sent again with other contents."""
+    parts = views.upload_parts(t).join(t.events.select(F.col("event_id").alias("e"), "props"), F.col("upload_id") % 1_000_000_000 == F.col("e"))
+    again = F.when(F.col("upload_id") >= 1_000_000_000, " sent again").otherwise("")
+    parts = parts.withColumn("data", F.concat(F.coalesce("props", F.lit("")), again)).drop("props", "e")
+    folder = f"{work_folder(t.spark)}/{uuid.uuid4().hex}"
+    return assembled.write_assembled(assembled.split_blocks(parts, block=9), folder).drop("path")
+
+
 LEDGER = """,
 outc AS (SELECT user_id AS upload_id, ts, CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN 'failure' ELSE 'success'
   END AS outcome, CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN 'code ' || (event_id % 5) END AS error FROM events),

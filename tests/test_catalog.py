@@ -146,7 +146,7 @@ def test_users(spark):
 
 
 def test_parts_one_based_and_missing(spark):
-    rows = [(1, 1, 2, "a"), (1, 2, 2, "b"), (2, 0, 2, "x"), (3, 2, 2, "x"), (3, 3, 2, "y")]
-    df = spark.createDataFrame(rows, "multipart_id bigint, part_index int, total_parts int, data string")
+    rows = [(1, 1, 2, "a", 0), (1, 2, 2, "z", 0), (1, 2, 2, "b", 1), (2, 0, 2, "x", 0), (3, 2, 2, "x", 0), (3, 3, 2, "y", 0)]
+    df = spark.createDataFrame(rows, "multipart_id bigint, part_index int, total_parts int, data string, upload_id bigint").withColumn("ts", F.lit(dt.datetime(2024, 1, 1)))
     got = {r.multipart_id: (r.content, r.error) for r in uploads.concatenate_parts(df).collect()}
-    assert got == {1: ("ab", None), 2: (None, "missing part"), 3: (None, "missing part")}
+    assert got == {1: ("ab", None), 2: (None, "missing part"), 3: (None, "missing part")}  # the newest copy of a part counts
