@@ -205,3 +205,27 @@ def test_redistribute(spark, runs, text):
     df = spark.createDataFrame([(runs, text)], "r array<string>, t string")
     got = df.select(rewrite.redistribute_words(F.col("r"), F.col("t")).alias("o")).first().o
     assert got == brute_spread([len(r) for r in runs], text) and "".join(got) == text
+
+
+def test_sentence_bound_is_never_wrong(spark):
+    """Where the cheap bound calls two texts alike, the edit distance does as well; and it settles lightly changed texts."""
+    import random
+
+    rng = random.Random(3)
+    words = [a + b for a in ("al", "be", "cor", "du", "e") for b in ("ra", "s", "timo", "ku'x", "né")]
+    rows = []
+    for i in range(400):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "! ", "\n", ".\n", "  "]) for _ in range(rng.randrange(0, 40)))
+        parts = text.split(" ")
+        for _ in range(rng.randrange(0, 12)):
+            at = rng.randrange(len(parts))
+            parts[at : at + rng.randrange(2)] = [rng.choice([*words, "However,", "", "x. y"])]
+        rows.append((text, " ".join(parts)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(
+        wording.surely_alike(F.col("a"), F.col("b")).alias("alike"), wording.changed_enough(F.col("a"), F.col("b")).alias("changed"),
+        wording.edit_similarity(F.col("a"), F.col("b")).alias("similarity"), F.greatest(F.length("a"), F.length("b")).alias("n")).collect()
+    for r in got:
+        assert r.changed == (r.n > 0 and r.similarity <= 0.75)
+        assert not (r.alike and r.changed)
+    assert sum(r.alike for r in got) > 100 and sum(r.changed for r in got) > 20
