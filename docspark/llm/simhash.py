@@ -160,12 +160,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` per component: the one with the smallest id. Of repeated rows with that id and fingerprint one stays."""
-    rows = _rows(docs, id_col, text_col)
-    groups = cut_lineage(group_fingerprints(rows))
-    first = rows.groupBy("fp").agg(F.min("doc").alias("doc")).join(groups, "fp").filter("doc = component_id")
-    first = first.groupBy("root").agg(F.min_by("fp", "doc").alias("fp"), F.min("doc").alias("doc"))
-    doc, fp = fresh("simhash_doc", docs.columns), fresh("simhash_fp", docs.columns)
-    first = cut_lineage(first.select(F.col("doc").alias(doc), F.col("fp").alias(fp)))
-    marked = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn(fp, simhash(F.col(text_col)))
-    return marked.join(first, [doc, fp], "left_semi").dropDuplicates([doc, fp]).drop(doc, fp)
+    """One row of ``docs`` per component: the one with the smallest id. Of repeated rows with that id and fingerprint one stays.
+
+    Texts are read for their fingerprints once; the rows that stay are chosen by id and text hash, and texts move once, to meet these. Only
+    where such a row is given several times are its copies folded.
+    """
+    doc, key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = cut_lineage(docs.select(doc.alias("doc"), key.alias("text_hash"), simhash(F.col(text_col)).alias("fp")))
+    least = rows.groupBy("fp").agg(F.min(F.struct("doc", "text_hash")).alias("least"))
+    first = least.join(cut_lineage(group_fingerprints(rows)), "fp").filter("least.doc = component_id")
+    first = cut_lineage(first.groupBy("root").agg(F.min_by("least", F.struct("least.doc", "fp")).alias("least")).select("least.*"))
+    repeated = cut_lineage(rows.join(first, ["doc", "text_hash"], "left_semi").groupBy("doc", "text_hash").count().filter("count > 1").drop("count"))
+    names = {c: fresh(f"simhash_{c}", docs.columns) for c in ("doc", "text_hash")}
+    marked = docs.withColumns({names["doc"]: doc, names["text_hash"]: key})
+    chosen = lambda keys: marked.join(keys.withColumnsRenamed(names), list(names.values()), "left_semi")
+    if repeated.isEmpty():
+        return chosen(first).drop(*names.values())
+    once = chosen(repeated).dropDuplicates(list(names.values()))
+    return chosen(cut_lineage(first.join(repeated, ["doc", "text_hash"], "left_anti"))).unionByName(once).drop(*names.values())
