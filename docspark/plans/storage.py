@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.functions import wording
+from docspark.functions import labels, wording
+from docspark.operators import score_cache as cache
 from docspark.operators import scorers, uploads
 from docspark.plans import oracle, views
 from docspark.plans.registry import Tables, query
 from docspark.session import work_folder
-from docspark.sources import evaluation, files, logstore
+from docspark.sources import evaluation, files, listing, logstore
+from docspark.streaming import runs
 
 ONE_LINE = r"[\n\r]+"
 
@@ -32,6 +34,21 @@ def scan_objects(t: Tables):
     return files.scan_objects(t.spark, folder, glob="part-*.txt").agg(F.sum("size").alias("bytes"))
 
 
+@query(
+    "object_stream",
+    r"""
+SELECT lang, CAST(sum(strlen(regexp_replace(coalesce(text, ''), '[\n\r]+', ' ', 'g')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang""",
+)
+def object_stream(t: Tables):
+    """Bytes of the text files of each language's folder, from a stream of their listing."""
+    folder = folder_of(t)
+    lines = t.documents.select("lang", F.regexp_replace("text", ONE_LINE, " ").alias("value"))
+    lines.write.partitionBy("lang").text(folder)
+    listed = runs.run_to_table(listing.object_stream(t.spark, folder, glob="part-*.txt", settle_seconds=0))
+    lang = F.nullif(F.regexp_extract("key", "/lang=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return listed.groupBy(lang.alias("lang")).agg(F.sum("size").alias("bytes"))
+
+
 @query(
     "text_files",
     r"""
@@ -101,3 +118,18 @@ def registered_strategies(t: Tables):
     """An unknown naming strategy falls back to the default one; the scorer comes from its registry."""
     named = uploads.final_names(t.texts.withColumn("upload_id", F.col("doc_id")), "no such strategy")
     return scorers.score_by("stylometric", named).select("doc_id", "final_name", F.round(F.col("score"), 8).alias("score"))
+
+
+@query(
+    "score_cache",
+    f"""
+WITH {oracle.score_ctes('documents', 'doc_id', 'text')},
+h AS (SELECT doc_id, sha256(text) AS text_hash, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS copies,
+  coalesce(bool_or(lang = 'en') OVER (PARTITION BY text), false) AS known FROM documents)
+SELECT doc_id, text_hash, copies, known, {oracle.rounded('s', 8)} AS ai_likeness FROM h JOIN score USING (doc_id)""",
+)
+def score_cache(t: Tables):
+    """All documents scored against a store that an earlier run over the English ones filled."""
+    store = cache.ScoreStore(folder_of(t), "stylometric-1", buckets=16)
+    cache.cached_scores(t.documents.filter("lang = 'en'"), store)
+    return cache.cached_scores(t.texts, store).withColumn("ai_likeness", labels.rounded(F.col("ai_likeness"), 8))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def scan_objects(spark: SparkSession, prefix: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """(key, size, last_modified) of every object under a prefix; contents are never read."""
+    """(key, size, last_modified) of every object under a prefix; contents are never read.
+
+    Listed by the driver, through Spark's own file index, which leaves out empty objects; ``sources.listing`` lists in parallel, with them.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
