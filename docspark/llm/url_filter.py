@@ -24,7 +24,7 @@ RULES = [
 #: Names of sites whose URLs are listed (fixed values).
 LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 #: Query parameters and host prefixes that do not change what a URL shows (fixed values).
-TRACKING = r"^(utm_[a-z]+|ref|page|fbclid|gclid)="
+TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
 HOST_PREFIX = r"^(www|m)\."
 
 WORDS_PER_BLOCK = 8
@@ -99,15 +99,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     table, blocks = bloom_filter(listed)
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(canonical(F.col(url_col)), F.lit("")).alias("canonical"))
-    rows = rows.withColumn("block", _place(F.col("canonical"), blocks))
+    named = rows.filter(F.col("host") != "").withColumn("block", _place(F.col("canonical"), blocks))
     hit = F.lit(True)
     for i in range(WORDS_PER_BLOCK):
         hit = hit & (F.col(f"w{i}").bitwiseAND(_bit(F.col("canonical"), i)) != 0)
-    tested = rows.join(table, "block", "left").withColumn("maybe_listed", F.coalesce(hit, F.lit(False)) & (F.col("host") != "")).select(
-        "page_id", "host", "path", "canonical", "maybe_listed")
+    tested = named.join(table, "block", "left").select("page_id", "host", "path", "canonical", F.coalesce(hit, F.lit(False)).alias("maybe_listed"))
+    unnamed = rows.filter(F.col("host") == "").withColumn("maybe_listed", F.lit(False))  # they would share one block
     exact = listed.select(F.col("canonical"), F.lit(True).alias("found"))
     passed = tested.filter("maybe_listed").join(exact, "canonical", "left").withColumn("listed", F.coalesce("found", F.lit(False))).drop("found")
-    stopped = tested.filter("NOT maybe_listed").withColumn("listed", F.lit(False))
+    stopped = tested.filter("NOT maybe_listed").unionByName(unnamed).withColumn("listed", F.lit(False))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return passed.unionByName(stopped).select(
         "page_id", "host", "path", "canonical", name.alias("rule"), "maybe_listed", "listed",
