@@ -104,7 +104,8 @@ def _template_rows() -> str:
     for number, (label, text) in enumerate(license_scan.TEMPLATES):
         members = license_scan.template_words(text)
         need = license_scan.math.ceil(license_scan.THRESHOLD * len(members) - 1e-9)
-        rows.append(f"({number}, '{label}', [{', '.join(repr(w) for w in members)}], {need})")
+        span = len(license_scan.template_sequence(text)) + license_scan.MARGIN
+        rows.append(f"({number}, '{label}', [{', '.join(repr(w) for w in members)}], {need}, {span})")
     return ",\n  ".join(rows)
 
 
@@ -114,19 +115,20 @@ def _phrase_rows() -> str:
 
 
 OP3 = f"""
-WITH templates(t, label, members, need) AS (VALUES
+WITH templates(t, label, members, need, span) AS (VALUES
   {_template_rows()}),
 phrases(label, parts) AS (VALUES {_phrase_rows()}),
-docs AS (SELECT doc_id, coalesce(text, '') AS text, {LOW_WORDS.format('text')} AS ws FROM documents),
+docs AS (SELECT doc_id, {LOW_WORDS.format('text')} AS ws FROM documents),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1:i + len(parts)] = parts)) AS pos
   FROM docs, phrases WHERE list_contains(ws, parts[1])),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-block_words AS (SELECT doc_id, list_distinct({LOW_WORDS.format('line')}) AS bw FROM blocks WHERE line <> ''),
+held AS (SELECT doc_id, ws, t, label, members, need, span FROM docs, templates WHERE len(list_intersect(list_distinct(ws), members)) >= need),
+begun AS (SELECT *, unnest(list_filter(range(len(ws)), lambda i: list_contains(members, ws[i + 1]))) AS i FROM held),
+blocks AS (SELECT doc_id, t, label, members, need, len(list_intersect(list_distinct(list_slice(ws, i + 1, i + span)), members)) AS overlap FROM begun),
 met AS (
-  SELECT doc_id, label, len(list_intersect(bw, members)) / len(members)::DOUBLE AS share
-  FROM block_words, templates WHERE len(list_intersect(bw, members)) >= need),
+  SELECT doc_id, label, max(overlap) / len(members)::DOUBLE AS share
+  FROM blocks GROUP BY doc_id, t, label, members, need HAVING max(overlap) >= need),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base,
   b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-from docspark.llm import license_scan, quality, url_filter
+from docspark.llm import language_id, license_scan, quality, url_filter
 from docspark.llm.common import LAST_ID
 
 WHITE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,13 +86,12 @@ def license_labels(text):
         places += at
         base |= {label} if at else set()
     labels, share = set(base), 0.0
-    for line in (text or "").split("\n"):
-        have = set(alnum(line))
-        for label, template in license_scan.TEMPLATES:
-            need = set(license_scan.template_words(template))
-            if len(have & need) >= math.ceil(license_scan.THRESHOLD * len(need) - 1e-9):
-                labels.add(label)
-                share = max(share, len(have & need) / len(need))
+    for label, template in license_scan.TEMPLATES:
+        members, span = set(license_scan.template_words(template)), len(license_scan.template_sequence(template)) + license_scan.MARGIN
+        most = max((len(members.intersection(w[i : i + span])) for i in range(len(w))), default=0)
+        if most >= math.ceil(license_scan.THRESHOLD * len(members) - 1e-9):
+            labels.add(label)
+            share = max(share, most / len(members))
     return len(w), sorted(places), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else share
 
 
@@ -270,3 +269,23 @@ def pipeline(rows, items, mix_seed, shard_seed):
     rows = [r for r, (n, hit, _) in zip(rows, decontaminate([r[:2] for r in rows], items)) if not (hit and 20 * hit >= n)]
     rows = [r for r, m in zip(rows, mix(rows, mix_seed)) for _ in range(m[3])]
     return shards(rows, shard_seed)
+
+
+def language(model, text):
+    """(language, probability) of a text under a trained model, n-gram by n-gram."""
+    spaced = " " + re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())) + " "
+    z, count = [0.0] * len(model.languages), 0
+    for size in language_id.SIZES:
+        for at in range(len(spaced) - size + 1):
+            code = size
+            for c in spaced[at : at + size]:
+                code = (code ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                code ^= code >> 29
+            count += 1
+            for i in range(len(z)):
+                z[i] += float(model.table[code % language_id.BUCKETS][i])
+    if not spaced.strip(" "):
+        return language_id.UNKNOWN, 0.0
+    e = [math.exp((x / count + float(b)) / model.temperature) for x, b in zip(z, model.bias)]
+    best = max(range(len(e)), key=lambda i: e[i])
+    return model.languages[best], e[best] / sum(e)

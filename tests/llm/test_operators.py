@@ -105,6 +105,18 @@ def test_url_filter(spark):
     assert rows_of(url_filter.judge_urls(pages, listed.limit(0)), "listed") == Counter({(False,): len(URLS)})
 
 
+def test_pages_of_a_listed_url_are_urls_of_their_own(spark):
+    pages = spark.createDataFrame([(i, f"http://www.h.example.com/en/1.html?{q}") for i, q in enumerate(["page=1", "page=2", "ref=a&page=1", "utm_source=b"])], "page_id bigint, url string")
+    listed = spark.createDataFrame([("h.example.com/en/1?page=1",)], "canonical string")
+    assert rows_of(url_filter.judge_urls(pages, listed), "page_id", "verdict") == Counter({(0, "block"): 1, (1, "allow"): 1, (2, "block"): 1, (3, "allow"): 1})
+
+
+def test_pages_without_host_are_not_looked_up(spark):
+    pages = spark.range(5000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'nowhere' ELSE 'http://?q' END AS url")
+    listed = spark.createDataFrame([("",), ("?q",)], "canonical string")
+    assert rows_of(url_filter.judge_urls(pages, listed), "host", "rule", "maybe_listed", "listed", "verdict") == Counter({("", None, False, False, "allow"): 5000})
+
+
 def test_bloom_filter_passes_every_listed_url(spark):
     urls = spark.range(3000).selectExpr("concat('h', id % 50, '.example.com/', id) AS canonical")
     pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://h', id % 50, '.example.com/', id) AS url")
@@ -127,6 +139,19 @@ def test_language_id(spark, awkward, nothing):
     assert {r["lang_pred"] for r in language_id.predict(awkward, empty).collect()} == {"und"}
 
 
+def test_language_scores_against_plain_python(spark, awkward):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(language_id.training_sample(docs, sample=40))
+    odd = [None, "", "12 !", " x", "x", "Ünï ÇÖDE ﬁ", "日本語の文", "İstanbul\t\n ſ", "a" * 70, "l'été, où es-tu? " * 50, "\u0301 e\u0301", "👍 ok 👍"]
+    texts = odd + [r["text"] for r in awkward.collect() if len(r["text"] or "") < 20_000] + [r["text"] for r in docs.limit(40).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r for r in language_id.predict(rows, model).collect()}
+    for i, text in enumerate(texts):
+        name, score = brute.language(model, text)
+        assert got[i]["lang_pred"] == name and abs(got[i]["score"] - score) < 1e-9, text
+        assert got[i]["rejected"] == (got[i]["score"] < model.threshold)
+
+
 def test_held_out_rule(spark):
     import zlib
 
