@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import fixed, patterns
+from docspark.functions.containment import missing
 from docspark.functions.expr import count_ignoring_case, first_match, let, replace_ignoring_case, strip
 from docspark.operators import identity
 
@@ -236,14 +237,12 @@ def term_counts(df: DataFrame, before: str, after: str, terms: list[str] | None
 
 
 def removed_lines(df: DataFrame, before: str, after: str, key: str = "doc_id") -> DataFrame:
-    """Trimmed non-blank lines of ``before`` that occur nowhere in ``after``."""
-    lost = let(
-        F.col(after),
-        lambda kept: F.filter(
-            F.transform(F.split(before, "\n"), strip), lambda line: (F.length(line) > 0) & ~F.contains(kept, line)
-        ),
-    )
-    return df.select(key, F.posexplode(lost).alias("pos", "line"))
+    """Trimmed non-blank lines of ``before`` that occur nowhere in ``after``; a null text has none."""
+    lines = F.filter(F.transform(F.split(before, "\n"), strip), lambda line: F.length(line) > 0)
+    judged = df.select(F.col(key).alias("key"), lines.alias("lines"), F.col(after).alias("kept"))
+    judged = judged.select("key", "lines", missing(F.col("lines"), F.col("kept")).alias("lost"))
+    lost = F.filter("lines", lambda line, i: F.get("lost", i))
+    return judged.select(F.col("key").alias(key), F.posexplode(lost).alias("pos", "line"))
 
 
 def removed_preview(lines: DataFrame, n: int | None = None, width: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -205,15 +205,14 @@ def neutral_labels(t: Tables):
     )
 
 
-@query(
-    "external_scorer",
-    """
+VOWEL_SCORES = """
 SELECT doc_id, CASE WHEN NOT contains(text, 'token = ') THEN
     len(regexp_extract_all(text, '[aeiou]')) / greatest(length(text), 1) END AS score,
-  CASE WHEN contains(text, 'token = ') THEN 'scoring_failed' END AS error FROM documents""",
-)
-def external_scorer(t: Tables):
-    """An external model (share of plain vowels) that refuses texts holding a token."""
+  CASE WHEN contains(text, 'token = ') THEN 'scoring_failed' END AS error FROM documents"""
+
+
+def vowel_model():
+    """A stand-in for a model: the share of plain vowels; a batch with a text that holds a token is refused."""
     def load_model():
         def score(texts):
             if any("token = " in x for x in texts):
@@ -222,4 +221,17 @@ def external_scorer(t: Tables):
 
         return score
 
-    return scorers.score_with(t.texts, load_model)
+    return load_model
+
+
+@query("external_scorer", VOWEL_SCORES)
+def external_scorer(t: Tables):
+    """An external model that refuses some texts."""
+    return scorers.score_with(t.texts, vowel_model())
+
+
+@query("scorer_in_sql", VOWEL_SCORES)
+def scorer_in_sql(t: Tables):
+    """The same model as a table function in SQL."""
+    scorers.register_table_function(t.spark, "vowel_score", vowel_model())
+    return t.spark.sql("SELECT * FROM vowel_score(TABLE(SELECT doc_id, text FROM {docs}))", docs=t.texts)

@@ -192,3 +192,25 @@ def test_a_batch_that_fails_half_way(spark):
     assert got == {i: ((None, "scoring_failed") if i == 1 else (i / 10, None)) for i in range(6)}
     short = {r.doc_id: r.error for r in scorers.score_with(df, lambda: lambda texts: [0.5] * min(len(texts), 1)).collect()}
     assert short == dict.fromkeys(range(6))
+
+
+def test_table_function_in_sql(spark):
+    from docspark.operators import scorers
+
+    df = spark.createDataFrame([(i, None if i == 5 else str(i), "x") for i in range(9)], "doc_id bigint, text string, score string")
+
+    def load():
+        def score(texts):
+            if "3" in texts:
+                raise ValueError("refused")
+            return [int(t) / 10 for t in texts]
+
+        return score
+
+    scorers.register_table_function(spark, "tenth", load)
+    for rows in (df, df.coalesce(1), df.repartition(4)):
+        got = {r.doc_id: (r.score, r.error) for r in spark.sql("SELECT * FROM tenth(TABLE(SELECT * FROM {rows}))", rows=rows).collect()}
+        assert got == {i: (None, "no_text") if i == 5 else (None, "scoring_failed") if i == 3 else (i / 10, None) for i in range(9)}
+    over = spark.sql("SELECT count(*) AS n, count(error) AS failed FROM tenth(TABLE(SELECT * FROM {rows})) WHERE doc_id > 2", rows=df).first()
+    assert (over.n, over.failed) == (6, 2)
+    assert spark.sql("SELECT * FROM tenth(TABLE(SELECT * FROM {rows}))", rows=df.limit(0)).collect() == []
