@@ -6,7 +6,9 @@ Posting lists are shifted by the word's offset in the window and intersected fro
 left names a place in a document where the window may stand. Places are verified against the document's own words:
 exactly for phrase matches, and for proximity matches by finding all words of the window at most ``slop`` words outside it.
 
-A common test word or passage is a hot key of plain equi-joins only; nothing is gathered by word.
+Equal windows of several items are one window with many holders, looked up and verified once. A common test word or passage
+is a hot key of plain equi-joins only; nothing is gathered by word. A document gathers the words of each of its windows
+once, and one number for each place.
 """
 
 from __future__ import annotations
@@ -44,15 +46,20 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def rarest_words(windows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Windows all of whose words occur in the corpus, with their two rarest words: ``item, start, parts, t1, o1, t2, o2``."""
-    windows = cut_lineage(windows)
+    """Distinct windows all of whose words occur in the corpus, with their holders and two rarest words.
+
+    Columns: ``win`` (digest of the words), ``parts, holders`` (item, start) and ``t1, o1, t2, o2``; of equally rare words the first is taken.
+    """
+    holders = F.sort_array(F.collect_set(F.struct("item", "start"))).alias("holders")
+    windows = cut_lineage(windows.groupBy("parts").agg(holders).withColumn("win", F.md5(F.array_join("parts", " "))))
     terms = cut_lineage(windows.select(F.explode("parts").alias("term")).distinct())
     seen = docs.select(F.explode(_tokens(F.col(text_col))).alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    placed = windows.select("item", "start", "parts", F.posexplode("parts").alias("o", "term")).join(cut_lineage(seen), "term")
-    ordered = placed.groupBy("item", "start", "parts").agg(F.sort_array(F.collect_set(F.struct("n", "o", "term"))).alias("by_rarity"))
-    ordered = ordered.filter(F.size("by_rarity") == F.size("parts"))
+    placed = windows.select("win", F.posexplode("parts").alias("o", "term")).join(cut_lineage(seen), "term")
+    ordered = placed.groupBy("win").agg(F.sort_array(F.collect_set(F.struct("n", "o", "term"))).alias("by_rarity"))
+    ordered = ordered.join(windows, "win").filter(F.size("by_rarity") == F.size("parts"))
     first, second = F.get("by_rarity", F.lit(0)), F.coalesce(F.get("by_rarity", F.lit(1)), F.get("by_rarity", F.lit(0)))
-    return cut_lineage(ordered.select("item", "start", "parts", first["term"].alias("t1"), first["o"].alias("o1"), second["term"].alias("t2"), second["o"].alias("o2")))
+    return cut_lineage(ordered.select(
+        "win", "parts", "holders", first["term"].alias("t1"), first["o"].alias("o1"), second["term"].alias("t2"), second["o"].alias("o2")))
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,22 +70,20 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
 
 
 def places(index: DataFrame, probes: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """Places where a window may stand, exactly or nearly: ``doc, text_hash, item, start, begin, parts, exact``.
+    """Places where a window may stand, exactly or nearly: ``doc, text_hash, win, begin, exact``.
 
     The rarest word's postings give the place; the second list is met within the window's span and ``slop``. Positions
-    are cut into spans as wide as that, so one word repeated through a long text meets its neighbours only. Windows
-    go by item and start through the joins; their words are added to the places that are left.
+    are cut into spans as wide as that, so one word repeated through a long text meets its neighbours only.
     """
     width = window + 2 * slop
-    lists = probes.select(F.col("t1").alias("term"), "o1", "t2", "o2", "item", "start", F.size("parts").alias("n"))
-    begun = index.join(lists, "term").select("doc", "text_hash", (F.col("pos") - F.col("o1")).alias("begin"), F.col("t2").alias("term"), "o2", "item", "start", "n")
+    lists = probes.select(F.col("t1").alias("term"), "o1", "t2", "o2", "win", F.size("parts").alias("n"))
+    begun = index.join(lists, "term").select("doc", "text_hash", (F.col("pos") - F.col("o1")).alias("begin"), F.col("t2").alias("term"), "o2", "win", "n")
     low, high = F.col("begin") - slop, F.col("begin") + F.col("n") + slop - 1
     spans = F.array_distinct(F.array(F.floor(low / width), F.floor(high / width)))
     begun = begun.withColumn("span", F.explode(spans))
     second = index.select("doc", "text_hash", "term", "pos", F.floor(F.col("pos") / width).alias("span"))
     met = begun.join(second, ["doc", "text_hash", "term", "span"]).filter((F.col("pos") >= low) & (F.col("pos") <= high))
-    left = met.groupBy("doc", "text_hash", "item", "start", "begin").agg(F.max((F.col("pos") == F.col("begin") + F.col("o2")) & (F.col("begin") >= 0)).alias("exact"))
-    return left.join(probes.select("item", "start", "parts").distinct(), ["item", "start"])
+    return met.groupBy("doc", "text_hash", "win", "begin").agg(F.max((F.col("pos") == F.col("begin") + F.col("o2")) & (F.col("begin") >= 0)).alias("exact"))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -87,34 +92,44 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Columns: ``doc_id, text_hash, n_words, n_hit, items, near_items, phrases``. ``phrases`` lists (item, start, begin) of windows
     that stand in the document word for word; ``n_hit`` counts its words inside any of them, ``items`` names their items
-    (sorted as strings); ``near_items`` names further items with a proximity match. A null or empty text has no words and no
-    match; an item without words matches nothing; an item without an id is named by the empty string. Repeated rows get the
-    same answer. Without documents there is no row, without items no match.
+    (sorted as strings). ``near_items`` names further items with a proximity match: a window's rarest word (by its count in ``docs``,
+    then its place in the window) stands somewhere, and all its other words stand within the window's span around it, widened by
+    ``slop`` words on both sides. A null or empty text has no words and no match; an item without words matches nothing; an item
+    without an id is named by the empty string. Repeated rows get the same answer. Without documents there is no row, without
+    items no match.
     """
     probes = rarest_words(item_windows(benchmark, item_col, item_text_col, window), docs, text_col)
     terms = cut_lineage(probes.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
-    found = places(postings(docs, terms, id_col, text_col), probes, window, slop)
-    found = cut_lineage(found.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("item", "start", "begin", "parts", "exact")).alias("places")))
+    spots = places(postings(docs, terms, id_col, text_col), probes, window, slop)
+    spots = spots.groupBy("doc", "text_hash", "win").agg(F.collect_list(F.struct("begin", "exact")).alias("spots"))
+    found = spots.join(probes.select("win", "parts", "holders"), "win")
+    found = cut_lineage(found.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("parts", "holders", "spots")).alias("places")))
 
-    place = "array<struct<item:string,start:int,begin:int,parts:array<string>,exact:boolean>>"
+    place = "array<struct<parts:array<string>,holders:array<struct<item:string,start:int>>,spots:array<struct<begin:int,exact:boolean>>>>"
     rows = docs.select(_doc(id_col), _text_hash(text_col), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(found.hint("shuffle_hash"), ["doc", "text_hash"], "left")
 
     def verified(t: Column) -> Column:
         given = F.coalesce(F.col("places"), F.array().cast(place))
-        around = lambda p: F.slice(t, F.greatest(p["begin"] - slop, F.lit(0)) + 1, F.size(p["parts"]) + 2 * slop)
-        exact = F.filter(given, lambda p: p["exact"] & (F.slice(t, F.greatest(p["begin"], F.lit(0)) + 1, F.size(p["parts"])) == p["parts"]))
-        near = F.filter(given, lambda p: F.size(F.array_intersect(p["parts"], around(p))) == F.size(F.array_distinct(p["parts"])))
-        return F.struct(F.size(t).cast("long").alias("n_words"), exact.alias("exact"), near.alias("near"))
 
+        def judged(w: Column) -> Column:
+            n, low = F.size(w["parts"]), lambda s: F.greatest(s["begin"] - slop, F.lit(0))
+            begins = F.transform(F.filter(w["spots"], lambda s: s["exact"] & (F.slice(t, F.greatest(s["begin"], F.lit(0)) + 1, n) == w["parts"])), lambda s: s["begin"])
+            around = lambda s: F.slice(t, low(s) + 1, s["begin"] + n + slop - low(s))
+            near = F.exists(w["spots"], lambda s: F.size(F.array_intersect(w["parts"], around(s))) == F.size(F.array_distinct(w["parts"])))
+            return F.struct(n.alias("n"), w["holders"].alias("holders"), begins.alias("begins"), near.alias("near"))
+
+        return F.struct(F.size(t).cast("long").alias("n_words"), F.transform(given, judged).alias("met"))
+
+    names = lambda met: F.flatten(F.transform(met, lambda w: w["holders"]["item"]))
     judged = rows.select("doc_id", "text_hash", let(_tokens(F.col("text")), verified).alias("m"))
-    exact = F.col("m.exact")
-    covered = F.array_distinct(F.flatten(F.transform(exact, lambda p: F.sequence(p["begin"], p["begin"] + F.size(p["parts"]) - 1))))
-    items = F.array_distinct(F.transform(exact, lambda p: p["item"]))
+    judged = judged.select("doc_id", "text_hash", "m.n_words", F.filter("m.met", lambda w: F.size(w["begins"]) > 0).alias("exact"), F.filter("m.met", lambda w: w["near"]).alias("near"))
+    covered = F.flatten(F.transform("exact", lambda w: F.flatten(F.transform(w["begins"], lambda b: F.sequence(b, b + w["n"] - 1)))))
+    phrases = F.flatten(F.transform("exact", lambda w: F.flatten(F.transform(
+        w["holders"], lambda h: F.transform(w["begins"], lambda b: F.struct(h["item"].alias("item"), h["start"].alias("start"), b.alias("begin")))))))
     return judged.select(
-        "doc_id", "text_hash", F.col("m.n_words").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.sort_array(items).alias("items"),
-        F.sort_array(F.array_except(F.transform("m.near", lambda p: p["item"]), items)).alias("near_items"),
-        F.transform(exact, lambda p: F.struct(p["item"].alias("item"), p["start"].alias("start"), p["begin"].alias("begin"))).alias("phrases"),
+        "doc_id", "text_hash", "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(names(F.col("exact")))).alias("items"),
+        F.array_sort(F.array_except(names(F.col("near")), names(F.col("exact")))).alias("near_items"), phrases.alias("phrases"),
     )
 
 

@@ -281,19 +281,30 @@ hwin AS (
 hmet AS (SELECT doc_id, b, n, item FROM hwin JOIN bwin USING (parts)),
 hwords AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + n)) AS p FROM (SELECT DISTINCT doc_id, b, n FROM hmet)) GROUP BY doc_id),
 hnames AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hmet GROUP BY doc_id),
+ncounts AS (SELECT term, count(*) AS n FROM (SELECT unnest(ws) AS term FROM hdocs) GROUP BY term),
+nplaced AS (SELECT parts, unnest(parts) AS term, unnest(range(len(parts))) AS o FROM (SELECT DISTINCT parts FROM bwin)),
+nfirst AS (
+  SELECT parts, r.term AS term, r.o AS o
+  FROM (SELECT parts, min(struct_pack(n := n, o := o, term := term)) AS r FROM nplaced JOIN ncounts USING (term) GROUP BY parts HAVING count(*) = len(parts))),
+npos AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM hdocs),
+nmet AS (
+  SELECT DISTINCT doc_id, parts FROM (SELECT doc_id, parts, pos - o AS b FROM npos JOIN nfirst USING (term)) JOIN hdocs USING (doc_id)
+  WHERE len(list_distinct(list_intersect(parts, list_slice(ws, greatest(b - {decontamination.SLOP}, 0) + 1, b + len(parts) + {decontamination.SLOP})))) = len(list_distinct(parts))),
+nnames AS (
+  SELECT doc_id, count(*) AS n_near_items FROM (SELECT DISTINCT doc_id, item FROM nmet JOIN bwin USING (parts) EXCEPT SELECT doc_id, item FROM hmet) GROUP BY doc_id),
 hits AS (
   SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(w.n_hit, 0)::BIGINT AS n_hit, coalesce(len(i.items), 0)::BIGINT AS n_items,
-    sha256(coalesce(array_to_string(i.items, ','), '')) AS items_sha256
-  FROM hdocs d LEFT JOIN hwords w USING (doc_id) LEFT JOIN hnames i USING (doc_id))"""
+    sha256(coalesce(array_to_string(i.items, ','), '')) AS items_sha256, coalesce(n.n_near_items, 0)::BIGINT AS n_near_items
+  FROM hdocs d LEFT JOIN hwords w USING (doc_id) LEFT JOIN hnames i USING (doc_id) LEFT JOIN nnames n USING (doc_id))"""
 
 
 @query("op8_benchmark_decontamination", f"WITH {HITS.strip()} SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM hits")
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items in every document."""
+    """Benchmark items in every document: phrases that stand in it, and further items whose words stand near each other."""
     found = decontamination.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
