@@ -10,74 +10,75 @@ from pyspark.sql.streaming import StreamingQuery
 from docspark.functions import fixed
 
 ASSEMBLY_SCHEMA = "multipart_id bigint, outcome string, total_parts int, part_uploads array<bigint>"
+#: Hash buckets of open uploads; a batch rewrites only those that its parts fall into. A checkpoint is bound to their number.
+ASSEMBLY_BUCKETS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _assembler(idle_ms: int):
-    """Keyed state per upload: the newest copy of each part, expired when idle in event time."""
+    """State per bucket of uploads: the newest copy of each part of the open ones; an upload idle in event time expires.
+
+    Every access to state is a call to the JVM, so a bucket's parts are read and written as one list, and its timer is the earliest
+    expiry of its uploads.
+    """
+    from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Assembler(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.parts = handle.getMapState("parts", "part_index int", "upload_id bigint, ts timestamp, total int")
+            self.parts = handle.getListState("parts", "multipart_id bigint, part_index int, micros bigint, upload_id bigint, total int")
+            self.timer = handle.getValueState("timer", "at bigint")
 
         def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            for batch in rows:
-                for row in batch.sort_values(["ts", "upload_id"]).itertuples():
-                    index = (int(row.part_index),)
-                    known = self.parts.getValue(index) if self.parts.containsKey(index) else None
-                    stamp = pd.Timestamp(row.ts).to_pydatetime()
-                    if known is None or (stamp, int(row.upload_id)) > (known[1].replace(tzinfo=None), known[0]):
-                        self.parts.updateValue(index, (int(row.upload_id), stamp, int(row.total_parts)))
-            held = self._held()
-            if held and len(held) == held[0][3]:
-                yield self._emit(key, "assembled", held)
-                self._forget()
-                return
-            self._forget_timers()
-            newest = max(h[2] for h in held)
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + idle_ms)
+            timer = self.timer.get()
+            uploads = self._stored() if timer else {}
+            for row in rows:
+                parts = uploads.setdefault(row.multipart_id, {})
+                part = (row.micros, row.upload_id, row.total_parts)
+                known = parts.get(row.part_index)
+                if known is None or part[:2] > known[:2]:
+                    parts[row.part_index] = part
+            for multipart_id, parts in list(uploads.items()):
+                if len(parts) == parts[min(parts)][2]:
+                    yield self._row(multipart_id, "assembled", uploads.pop(multipart_id))
+            if timer:
+                self.handle.deleteTimer(timer[0])
+            self._store(uploads)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            held = self._held()
-            if held:
-                yield self._emit(key, "expired", held)
-            self._forget()
+            uploads = self._stored()
+            now = timerValues.getCurrentWatermarkInMs()
+            for multipart_id, parts in list(uploads.items()):
+                if self._expiry(parts) <= now:
+                    yield self._row(multipart_id, "expired", uploads.pop(multipart_id))
+            self._store(uploads)
 
         def close(self):
             pass
 
-        def _held(self):
-            import datetime as dt
+        def _stored(self):
+            uploads = {}
+            for multipart_id, part_index, *part in self.parts.get():
+                uploads.setdefault(multipart_id, {})[part_index] = tuple(part)
+            return uploads
 
-            items = [
-                (index[0], value[0], value[1].replace(tzinfo=dt.timezone.utc), value[2])
-                for index, value in self.parts.iterator()
-            ]
-            return sorted(items)
-
-        def _emit(self, key, outcome, held):
-            import pandas as pd
-
-            return pd.DataFrame(
-                {
-                    "multipart_id": [key[0]],
-                    "outcome": [outcome],
-                    "total_parts": pd.array([held[0][3]], dtype="int32"),
-                    "part_uploads": [[h[1] for h in held]],
-                }
-            )
+        def _store(self, uploads):
+            if not uploads:
+                self.parts.clear()
+                self.timer.clear()
+                return
+            self.parts.put([(multipart_id, index, *part) for multipart_id, parts in uploads.items() for index, part in parts.items()])
+            at = min(map(self._expiry, uploads.values()))
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
 
-        def _forget_timers(self):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+        def _expiry(self, parts):
+            return max(part[0] for part in parts.values()) // 1000 + idle_ms
 
-        def _forget(self):
-            self._forget_timers()
-            self.parts.clear()
+        def _row(self, multipart_id, outcome, parts):
+            indexes = sorted(parts)
+            return Row(multipart_id=multipart_id, outcome=outcome, total_parts=parts[indexes[0]][2], part_uploads=[parts[i][1] for i in indexes])
 
     return Assembler()
 
@@ -88,11 +89,13 @@ def assemble_multipart(parts: DataFrame, delay: str = "10 minutes",
 
     A part that arrives after the expiry opens a new assembly. Needs the RocksDB state store.
     """
+    timed = parts.withColumn("ts", F.col("ts").cast("timestamp")).select(
+        "multipart_id", "part_index", "total_parts", "upload_id", "ts", F.unix_micros("ts").alias("micros"),
+        F.pmod(F.xxhash64("multipart_id"), F.lit(ASSEMBLY_BUCKETS)).cast("int").alias("bucket"))
     return (
-        parts.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy("multipart_id")
-        .transformWithStateInPandas(
+        timed.withWatermark("ts", delay)
+        .groupBy("bucket")
+        .transformWithState(
             _assembler(idle_seconds * 1000), ASSEMBLY_SCHEMA, outputMode="append", timeMode="EventTime"
         )
     )

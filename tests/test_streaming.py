@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docspark.operators import logs as batch_logs
@@ -213,3 +214,63 @@ def test_idle_jobs_leave_the_state(spark, tmp_path):
     assert all(r.closed and r.total == 3 for (j, _), r in latest.items() if j and j < 600)
     again = [r for (j, _), r in latest.items() if j == 0]
     assert sorted((r.total, r.status) for r in again) == [(2, "completed"), (3, "completed")]
+
+
+class CountedState:
+    """State of one bucket, as a handle's list and value states; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return self._state(name, [])
+
+    def getValueState(self, name, schema):
+        return self._state(name, None)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def _state(self, name, empty):
+        handle, states = self, self.states
+        states[name] = empty
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return iter(states[name]) if empty == [] else states[name]
+
+            def put(self, value):
+                handle.calls += 1
+                states[name] = value
+
+            update = put
+
+            def clear(self):
+                self.put(empty)
+
+        return State()
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_assembly_calls_state_per_bucket_not_per_part():
+    part = Row("multipart_id", "part_index", "total_parts", "upload_id", "micros")
+    handle, processor = CountedState(), uploads._assembler(3_600_000)
+    processor.init(handle)
+    first = [part(u, i, 4 + (u == 7), 10 * u + i, 1000 * (u + i)) for u in range(500) for i in range(4)]
+    done = list(processor.handleInputRows((0,), iter(first), Watermark(0)))
+    assert len(done) == 499 and handle.calls <= 10 and handle.timers == {7 + 3 + 3_600_000}
+    late = [part(u, 0, 2, u, 10**6 * u) for u in range(1000, 1500)]
+    assert not list(processor.handleInputRows((0,), iter(late), Watermark(0))) and handle.calls <= 20
+    handle.timers.clear()
+    assert [tuple(r) for r in processor.handleExpiredTimer((0,), Watermark(3_600_010), None)] == [(7, "expired", 5, [70, 71, 72, 73])]
+    assert handle.calls <= 30 and handle.timers == {1000 * 1000 + 3_600_000}
