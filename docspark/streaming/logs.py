@@ -42,77 +42,101 @@ PROGRESS = "job_id bigint, opened_at timestamp, total bigint, finished bigint, p
 ENDED = ("success", "error")
 
 
+#: Hash buckets of active jobs; a batch rewrites only those that its items fall into. A checkpoint is bound to their number.
+JOB_BUCKETS = 1024
+
+
 def _tracker(idle_ms: int):
-    """Keyed state per job: its counts, and the newest status of each item; both go when the job has been idle in event time."""
-    import datetime as dt
+    """State per bucket of jobs: their counts, and the newest status of each item; both go when a job has been idle in event time.
 
+    Every access to state is a call to the JVM, so a bucket's counts and items are read and written as one list each, and its timer is
+    the earliest end of its jobs.
+    """
+    from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Tracker(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.items = handle.getMapState("items", "item_id bigint", "status string, ts timestamp")
-            self.counts = handle.getValueState("counts", "opened_at timestamp, newest timestamp, total bigint, finished bigint, successful bigint")
+            self.items = handle.getListState("items", "job_id bigint, item_id bigint, status string, micros bigint")
+            self.counts = handle.getListState("counts", "job_id bigint, opened bigint, newest bigint, total bigint, finished bigint, successful bigint")
+            self.timer = handle.getValueState("timer", "at bigint")
 
         def handleInputRows(self, key, rows, timerValues):
-            counts = self._counts()
-            for batch in rows:
-                for row in batch.sort_values(["ts", "item_id", "status"]).itertuples():
-                    stamp = row.ts.to_pydatetime().replace(tzinfo=None)
-                    if counts and (stamp - counts[1]).total_seconds() * 1000 > idle_ms:
-                        yield self._row(key, counts, True)
-                        self.items.clear()
+            timer = self.timer.get()
+            jobs, items = self._stored() if timer else ({}, {})
+            arrived = {}
+            for row in rows:
+                arrived.setdefault(row.job_id, []).append((row.micros, row.item_id, row.status))
+            for job_id, news in arrived.items():
+                counts, known = jobs.get(job_id), items.setdefault(job_id, {})
+                for micros, item_id, status in sorted(news, key=lambda n: (n[0], n[1], n[2] or "")):
+                    if counts and micros - counts[1] > 1000 * idle_ms:
+                        yield self._row(job_id, counts, True)
+                        known.clear()
                         counts = None
-                    counts = counts or [stamp, stamp, 0, 0, 0]
-                    counts[1] = max(counts[1], stamp)
-                    self._take(counts, (int(row.item_id),), row.status, stamp)
-            if counts:
-                self.counts.update(tuple(counts))
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int(counts[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + idle_ms)
-                yield self._row(key, counts, False)
+                    counts = counts or [micros, micros, 0, 0, 0]
+                    counts[1] = max(counts[1], micros)
+                    self._take(counts, known, item_id, status, micros)
+                jobs[job_id] = counts
+                yield self._row(job_id, counts, False)
+            if timer:
+                self.handle.deleteTimer(timer[0])
+            self._store(jobs, items)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            counts = self._counts()
-            if counts:
-                yield self._row(key, counts, True)
-            self.items.clear()
-            self.counts.clear()
+            jobs, items = self._stored()
+            now = timerValues.getCurrentWatermarkInMs()
+            for job_id, counts in list(jobs.items()):
+                if self._end(counts) <= now:
+                    yield self._row(job_id, counts, True)
+                    del jobs[job_id], items[job_id]
+            self._store(jobs, items)
 
         def close(self):
             pass
 
-        def _counts(self):
-            if not self.counts.exists():
-                return None
-            opened, newest, *numbers = self.counts.get()
-            return [opened.replace(tzinfo=None), newest.replace(tzinfo=None), *map(int, numbers)]
+        def _stored(self):
+            jobs = {job_id: counts for job_id, *counts in self.counts.get()}
+            items = {job_id: {} for job_id in jobs}
+            for job_id, item_id, status, micros in self.items.get():
+                items[job_id][item_id] = (status, micros)
+            return jobs, items
+
+        def _store(self, jobs, items):
+            if not jobs:
+                for state in (self.items, self.counts, self.timer):
+                    state.clear()
+                return
+            self.counts.put([(job_id, *counts) for job_id, counts in jobs.items()])
+            self.items.put([(job_id, item_id, *seen) for job_id, known in items.items() for item_id, seen in known.items()])
+            at = min(map(self._end, jobs.values()))
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+
+        def _end(self, counts):
+            return counts[1] // 1000 + idle_ms
 
-        def _take(self, counts, item, status, stamp):
+        def _take(self, counts, known, item_id, status, micros):
             """Count an item's status in place of an older one; one sent again or late changes nothing."""
-            known = self.items.getValue(item) if self.items.containsKey(item) else None
-            if known is None:
+            seen = known.get(item_id)
+            if seen is None:
                 counts[2] += 1
-            elif stamp < known[1].replace(tzinfo=None):
+            elif micros < seen[1]:
                 return
             else:
-                counts[3] -= known[0] in ENDED
-                counts[4] -= known[0] == "success"
+                counts[3] -= seen[0] in ENDED
+                counts[4] -= seen[0] == "success"
             counts[3] += status in ENDED
             counts[4] += status == "success"
-            self.items.updateValue(item, (status, stamp))
-
-        def _row(self, key, counts, closed):
-            import pandas as pd
+            known[item_id] = (status, micros)
 
+        def _row(self, job_id, counts, closed):
             opened, _, total, finished, successful = counts
             status = "processing" if finished < total else "failed" if not successful else "completed"
-            return pd.DataFrame({
-                "job_id": [key[0]], "opened_at": [pd.Timestamp(opened, tz="UTC")], "total": [total], "finished": [finished],
-                "progress": pd.array([int(finished * 100 / total + 0.5)], dtype="int32"), "status": [status],
-                "results": pd.array([successful if status == "completed" else None], dtype="Int64"), "closed": [closed],
-            })
+            return Row(
+                job_id=job_id, opened=opened, total=total, finished=finished, progress=int(finished * 100 / total + 0.5), status=status,
+                results=successful if status == "completed" else None, closed=closed)
 
     return Tracker()
 
@@ -125,10 +149,12 @@ def job_progress(items: DataFrame, delay: str = "10 minutes", idle_seconds: int
     only jobs active within that time and the watermark's ``delay``. Later items open the job anew. Needs the RocksDB state store. The metric
     ``job_items`` (items, finished) of every micro-batch is in the query's progress.
     """
-    timed = items.select("job_id", "item_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    timed = items.select("job_id", "item_id", "status", F.col("ts").cast("timestamp").alias("ts")).withColumns({
+        "micros": F.unix_micros("ts"), "bucket": F.pmod(F.xxhash64("job_id"), F.lit(JOB_BUCKETS)).cast("int")})
     counted = timed.observe("job_items", F.count(F.lit(1)).alias("items"), F.count_if(F.col("status").isin(*ENDED)).alias("finished"))
-    return counted.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
-        _tracker(idle_seconds * 1000), PROGRESS, outputMode="update", timeMode="EventTime")
+    tracked = counted.withWatermark("ts", delay).groupBy("bucket").transformWithState(
+        _tracker(idle_seconds * 1000), PROGRESS.replace("opened_at timestamp", "opened bigint"), outputMode="update", timeMode="EventTime")
+    return tracked.select("job_id", F.timestamp_micros("opened").alias("opened_at"), "total", "finished", "progress", "status", "results", "closed")
 
 
 def store_progress(progress: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -274,3 +274,18 @@ def test_assembly_calls_state_per_bucket_not_per_part():
     handle.timers.clear()
     assert [tuple(r) for r in processor.handleExpiredTimer((0,), Watermark(3_600_010), None)] == [(7, "expired", 5, [70, 71, 72, 73])]
     assert handle.calls <= 30 and handle.timers == {1000 * 1000 + 3_600_000}
+
+
+def test_job_progress_calls_state_per_bucket_not_per_item():
+    item = Row("job_id", "item_id", "micros", "status")
+    handle, processor = CountedState(), logs._tracker(60_000)
+    processor.init(handle)
+    for start in (0, 1000):
+        rows = [item(j, start + i, 10**6 * (start // 100 + j), "success") for j in range(5) for i in range(200)]
+        out = list(processor.handleInputRows((0,), iter(rows), Watermark(0)))
+    assert {(r.job_id, r.total, r.status, r.closed) for r in out} == {(j, 400, "completed", False) for j in range(5)}
+    assert handle.calls <= 20 and handle.timers == {10_000 + 60_000}
+    handle.timers.clear()
+    out = list(processor.handleExpiredTimer((0,), Watermark(72_000), None))
+    assert [(r.job_id, r.total, r.closed) for r in out] == [(j, 400, True) for j in range(3)]
+    assert handle.timers == {13_000 + 60_000} and handle.calls <= 30
