@@ -116,3 +116,14 @@ def test_documents_with_blank_paragraphs_and_broken_files(spark):
     broken = nodes.filter("node_idx is not null").unionByName(spark.createDataFrame([("c", 0, "x")], nodes.schema))
     out = {r.path: (bytes(r.content)[:6], r.error is None) for r in docx.write_docx_parts(blobs, broken).collect()}
     assert out["c"] == (b"no zip", False) and out["a"][1]
+
+
+def test_docx_work_goes_in_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(1000)], "text": ["a\nb\nc"] * 1000})
+    held = [b.num_rows for b in docx._in_slices(docx._package_builder(), "path string, content binary", 50)([batch])]
+    assert held == [50] * 20
+    blobs = pa.Table.from_batches(docx._in_slices(docx._package_builder(), "path string, content binary", 50)([batch])).combine_chunks().to_batches()
+    nodes = list(docx._in_slices(docx._node_reader(), docx.NODE_SCHEMA, 50)(blobs))
+    assert max(b.num_rows for b in nodes) == 150 and sum(b.num_rows for b in nodes) == 3000
