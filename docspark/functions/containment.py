@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +19,20 @@ def missing(needles: Column, text: Column, piece: int = PIECE, few: int = FEW) -
     work is text times that, not text times strings. The text is hashed in pieces of ``piece`` characters (or of the longest string,
     if that is more), so memory beyond the text itself stays bounded. Null needles or a null text give null; the empty string occurs everywhere.
     """
+    work = _absent(piece, few)
 
-    @F.pandas_udf("array<boolean>")
-    def absent(needle_lists: pd.Series, texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<boolean>")
+    def absent(needle_lists: pa.Array, texts: pa.Array) -> pa.Array:
+        return work(needle_lists, texts)
+
+    return absent(needles, text)
+
+
+def _absent(piece: int, few: int):
+    """The work of ``missing`` on Arrow arrays; one row at a time becomes Python strings."""
+    def absent(needle_lists, texts):
         import numpy as np
+        import pyarrow as pa
 
         base = 0x9E3779B97F4A7C15
         inverse = pow(base, -1, 1 << 64)
@@ -78,6 +88,6 @@ def missing(needles: Column, text: Column, piece: int = PIECE, few: int = FEW) -
                 found |= settle(many, text)
             return [None if n is None else n != "" and n not in lines and n not in found for n in needle_list]
 
-        return pd.Series([one(n, t) for n, t in zip(needle_lists, texts)], dtype=object)
+        return pa.array((one(n.as_py(), t.as_py()) for n, t in zip(needle_lists, texts)), pa.list_(pa.bool_()), size=len(texts))
 
-    return absent(needles, text)
+    return absent

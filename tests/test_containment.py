@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from docspark.functions import containment
 from docspark.functions.containment import missing
 from docspark.operators import redact
 
@@ -53,3 +54,19 @@ def test_removed_lines_of_one_long_document(spark):
     assert [r.line for r in got if r.doc_id == 1] == [x for i, x in enumerate(lines) if i % 2 == 0]
     assert [r.pos for r in got if r.doc_id == 1] == list(range(10_000))
     assert not [r for r in got if r.doc_id != 1]
+
+
+def test_one_row_at_a_time_is_python():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"{i} " + "words of a line\n" * 400 for i in range(1500)]
+    lists = [[f"{i} words of a line", "words of a line", "absent"] for i in range(1500)]
+    arrays = pa.array(lists), pa.array(texts)
+    work = containment._absent(containment.PIECE, containment.FEW)
+    tracemalloc.start()
+    got = work(*arrays).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[False, False, True]] * 1500 and peak < arrays[1].nbytes / 4
