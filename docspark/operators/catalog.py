@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import fixed, naming
 from docspark.functions.expr import let, strip
+from docspark.operators.skew import shuffle_partitions
 
 
 def parse_object_key(df: DataFrame, stage: str | None = None, key_col: str = "key") -> DataFrame:
@@ -89,7 +90,8 @@ def find_derived(sources: DataFrame, catalog: DataFrame) -> DataFrame:
     Alternatives are the keys worth trying plus the first object of the same upload that is a rewritten copy and
     whose key contains the source's base name. A base name has no slash, so it lies inside one segment of the key: copies are
     cut into the pieces of the lengths that base names of their upload have, the first key per piece is kept, and
-    an equi-join on (upload, piece) finds it. Pairs of sources and copies never arise.
+    an equi-join on (upload, piece) finds it. Pairs of sources and copies never arise. A copy has many more bytes of pieces than of
+    its own, so copies are dealt to all partitions before they are cut; by their own size they would go to few tasks.
     """
     suffix = fixed.REWRITTEN_SUFFIX
     key = F.col("key")
@@ -106,7 +108,8 @@ def find_derived(sources: DataFrame, catalog: DataFrame) -> DataFrame:
     copies = catalog.filter(F.contains(F.col("key"), F.lit(suffix))).select(
         F.regexp_extract("key", r"^([^/]*/[^/]*/[^/]*/[^/]*)", 1).alias("_upload"), F.col("key").alias("_found")
     )
-    sized = copies.join(lengths, "_upload").select("_upload", "_found", F.explode("_lengths").alias("_n"))
+    dealt = copies.join(lengths, "_upload").repartition(shuffle_partitions(copies), "_found")
+    sized = dealt.select("_upload", "_found", F.explode("_lengths").alias("_n"))
     cut = let(F.col("_n"), lambda n: F.flatten(F.transform(
         F.filter(F.split("_found", "/"), lambda s: F.length(s) >= n),
         lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)),

@@ -150,3 +150,13 @@ def test_parts_one_based_and_missing(spark):
     df = spark.createDataFrame(rows, "multipart_id bigint, part_index int, total_parts int, data string, upload_id bigint").withColumn("ts", F.lit(dt.datetime(2024, 1, 1)))
     got = {r.multipart_id: (r.content, r.error) for r in uploads.concatenate_parts(df).collect()}
     assert got == {1: ("ab", None), 2: (None, "missing part"), 3: (None, "missing part")}  # the newest copy of a part counts
+
+
+def test_copies_are_dealt_to_all_partitions_before_they_are_cut(spark):
+    keys = [(f"users/u/uploads/x/other/doc{i}_humanized.docx",) for i in range(400)] + [(f"users/u/uploads/x/raw/doc{i}.docx",) for i in range(400)]
+    stored = spark.createDataFrame(keys, "key string")
+    found = catalog.find_derived(stored.filter(F.contains("key", F.lit("/raw/"))), stored)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    copies = [k for k, in keys if "_humanized" in k]
+    want = {k: min(c for c in copies if k.split("/")[-1][:-5] in c) for k, in keys if "/raw/" in k}
+    assert {r.key: r.alternatives[-1] for r in found.collect()} == want
