@@ -555,4 +555,5 @@ def docx_redaction(t: Tables):
     redacted = redact.redact_with(docx.read_docx_nodes(blobs), found, key="path").select(
         "path", "node_idx", F.col("redacted_text").alias("text")
     )
-    return docx.docx_text(docx.read_docx_nodes(docx.write_docx_parts(blobs, redacted)))
+    written = docx.docx_documents(docx.write_docx_parts(blobs, redacted))
+    return written.filter("error IS NULL").select("path", "text")

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def test_documents_with_blank_paragraphs_and_broken_files(spark):
     assert out["c"] == (b"no zip", False) and out["a"][1]
 
 
-def test_docx_work_goes_in_slices():
+def test_docx_work_goes_in_slices(spark):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(1000)], "text": ["a\nb\nc"] * 1000})
@@ -127,3 +128,10 @@ def test_docx_work_goes_in_slices():
     blobs = pa.Table.from_batches(docx._in_slices(docx._package_builder(), "path string, content binary", 50)([batch])).combine_chunks().to_batches()
     nodes = list(docx._in_slices(docx._node_reader(), docx.NODE_SCHEMA, 50)(blobs))
     assert max(b.num_rows for b in nodes) == 150 and sum(b.num_rows for b in nodes) == 3000
+
+
+def test_redacted_packages_are_read_back_by_paragraph(spark):
+    from docspark.plans import QUERIES
+
+    plan = QUERIES["docx_redaction"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[path#\d+, para_idx", plan) and "paragraphs" in plan
