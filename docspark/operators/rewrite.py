@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,30 +90,38 @@ def _row_key(key: str, text: Column) -> list[Column]:
     return [F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")).alias("_k"), F.xxhash64(text).alias("_h")]
 
 
-def _with_entries(df: DataFrame, lexicon: DataFrame, key: str, text: Column) -> DataFrame:
-    """``df`` with ``_entries``: the lexicon entries of the words that a row's text holds, null when there is none.
+def _held(df: DataFrame, lexicon: DataFrame, key: str, text: Column) -> DataFrame:
+    """(_k, _h, form, lexicon columns): the distinct words of each row that the lexicon holds, as written in the row.
 
-    Only the distinct words of a row meet the lexicon, and only those found come back, folded to one small map per row.
     The optimizer broadcasts the lexicon when its size allows that. A word that many rows hold is an ordinary skewed join key.
     """
-    words = F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(wording.WORD), F.lit(0)), lambda w: F.length(w) > MIN_WORD), F.lower))
-    held = df.select(*_row_key(key, text), F.explode(words).alias("word")).join(lexicon, "word")
-    entries = held.groupBy("_k", "_h").agg(
-        F.map_from_entries(F.collect_set(F.struct("word", F.struct("word_class", "synonyms")))).alias("_entries")
-    )
+    forms = df.select(*_row_key(key, text), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(wording.WORD), F.lit(0)))).alias("form"))
+    return forms.filter(F.length("form") > MIN_WORD).withColumn("word", F.lower("form")).join(lexicon, "word")
+
+
+def _with_entries(df: DataFrame, held: DataFrame, key: str, text: Column, entries: Column) -> DataFrame:
+    """``df`` with ``_entries``: ``entries`` folded over the words that :func:`_held` found in the row, null when there is none.
+
+    Only the words found come back, as one small value per row.
+    """
+    found = held.groupBy("_k", "_h").agg(entries.alias("_entries"))
     keyed = df.withColumns({"_k": _row_key(key, text)[0], "_h": _row_key(key, text)[1]})
-    return keyed.join(entries, ["_k", "_h"], "left").drop("_k", "_h")
+    return keyed.join(found, ["_k", "_h"], "left").drop("_k", "_h")
 
 
 def _entry(entries: Column, token: Column) -> Column:
     return F.when((F.length(token) > MIN_WORD) & entries.isNotNull(), F.try_element_at(entries, F.lower(token)))
 
 
-def _chosen(p_syn: Column | float, *keys: Column | str | int, pos: Column, token: Column, word_class: Column,
-            synonyms: Column) -> Column:
-    chance = F.when(word_class.isin(fixed.BOOSTED_POS), F.lit(p_syn) * F.lit(1.3)).when(
+def _chance(p_syn: Column | float, word_class: Column) -> Column:
+    return F.when(word_class.isin(fixed.BOOSTED_POS), F.lit(p_syn) * F.lit(1.3)).when(
         word_class.isin(fixed.PLAIN_POS), p_syn
     ).otherwise(0.0)
+
+
+def _chosen(p_syn: Column | float, *keys: Column | str | int, pos: Column, token: Column, word_class: Column,
+            synonyms: Column) -> Column:
+    chance = _chance(p_syn, word_class)
     picked = F.get(synonyms, (draw_int(*keys, "pick", pos) % F.greatest(F.size(synonyms), F.lit(1))).cast("int"))
     drawn = (chance > 0) & (draw(*keys, "swap", pos) < chance)
     return F.when(drawn, F.coalesce(picked, token)).otherwise(token)
@@ -149,22 +158,77 @@ def _known_words(pieces: Column, entries: Column) -> Column:
     return let(F.struct(pieces.alias("pieces"), texts.alias("texts"), hits.alias("hits")), cut)
 
 
+def _swap():
+    """Words, gaps and entries of rows to texts with drawn synonyms; one row at a time becomes Python strings.
+
+    The draws are those of ``expr.draw`` with the keys of the row (``drawn_by``) and the place among the pieces of :func:`_pieces`.
+    """
+    def swapped(word_lists, gap_lists, entry_lists, drawn_by):
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        def strings(values) -> list:
+            return values.to_numpy(zero_copy_only=False).tolist()
+
+        def numbers(key: str, use: str):
+            start = md5(f"{key}|{use}|".encode(), usedforsecurity=False)
+
+            def number(pos: int) -> int:
+                state = start.copy()
+                state.update(b"%d" % pos)
+                return int.from_bytes(state.digest()[:4], "big")
+
+            return number
+
+        def one(words: list, gaps: list, entries, key: str) -> str:
+            chances, synonyms = entries.field("chance").to_pylist(), entries.field("synonyms")
+            choices, sizes = strings(synonyms.flatten()), synonyms.value_lengths().to_numpy()
+            sizes, starts = sizes.tolist(), (sizes.cumsum() - sizes).tolist()
+            known = {form: i for i, form in enumerate(strings(entries.field("form")))}
+            opened = 1 if gaps[0] else 0
+            swap, pick = numbers(key, "swap"), numbers(key, "pick")
+            places = [(k, e) for k, e in enumerate(map(known.get, words)) if e is not None]
+            for k, e in places:
+                if swap(k + opened) / 4294967296.0 < chances[e]:
+                    chosen = choices[starts[e] + pick(k + opened) % sizes[e]]
+                    words[k] = words[k] if chosen is None else chosen
+            whole = [None] * (2 * len(words) + 1)
+            whole[::2], whole[1::2] = gaps, words
+            return "".join(whole)
+
+        def rows():
+            for words, gaps, entries, key in zip(word_lists, gap_lists, entry_lists, drawn_by):
+                if words.is_valid and entries.is_valid:
+                    yield one(strings(words.values), strings(gaps.values), entries.values, key.as_py())
+                else:
+                    yield None
+
+        return pa.array(rows(), pa.string())
+
+    return swapped
+
+
 def replace_synonyms(df: DataFrame, lexicon: DataFrame, p_syn: float = 0.2, seed: int = 0, key: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """Swap words for drawn synonyms inside each row; all other columns, and rows with equal or null keys, stay as they are."""
+    """Swap words for drawn synonyms inside each row; all other columns, and rows with equal or null keys, stay as they are.
+
+    Words of a class that is never swapped are not looked up. A row's entries are a dictionary in the Arrow batch, so the work grows
+    with the words of a row, whatever the number of its entries.
+    """
     if p_syn <= 0:
         return df
-    found = _with_entries(df, lexicon, key, F.col(text_col))
-
-    def swapped(row: Column) -> Column:
-        def piece(p: Column, i: Column) -> Column:
-            return let(_entry(row["entries"], p["token"]), lambda e: F.concat(
-                _chosen(p_syn, seed, row["key"], pos=i, token=p["token"], word_class=e["word_class"], synonyms=e["synonyms"]), p["gap"]))
+    text, work = F.col(text_col), _swap()
+    usable = lexicon.select("word", "synonyms", _chance(p_syn, F.col("word_class")).alias("chance")).filter("chance > 0 and size(synonyms) > 0")
+    found = _with_entries(df, _held(df, usable, key, text), key, text, F.collect_set(F.struct("form", "chance", "synonyms")))
 
-        return F.array_join(F.transform(_pieces(row["text"]), piece), "")
+    @F.arrow_udf("string")
+    def swapped(words: pa.Array, gaps: pa.Array, entries: pa.Array, drawn_by: pa.Array) -> pa.Array:
+        return work(words, gaps, entries, drawn_by)
 
-    row = F.struct(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col("_entries").alias("entries"))
-    return found.select(*[let(row, swapped).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    drawn_by = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
+    new = swapped(F.regexp_extract_all(text, F.lit(wording.WORD), F.lit(0)), F.split(text, wording.WORD), F.col("_entries"), drawn_by)
+    return found.select(*[F.coalesce(new, text).alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 # --- whole pipelines --------------------------------------------------------------------
@@ -229,7 +293,8 @@ def guarded_rewrite(nodes: DataFrame, lexicon: DataFrame, seed: int = 0, key: st
         F.col(key).alias("_key"), F.col(text_col).alias("_node"), strip(F.col(text_col)).alias("_core")
     ).withColumn("_c", wording.extract_citations(F.col("_core")))
     expanded = core.select("_key", "_node", "_core", F.col("_c.refs").alias("_refs"), wording.expand_contractions(F.col("_c.text")).alias("_work"))
-    found = _with_entries(expanded, lexicon, "_key", F.col("_work"))
+    entries = F.map_from_entries(F.collect_set(F.struct("word", F.struct("word_class", "synonyms"))))
+    found = _with_entries(expanded, _held(expanded, lexicon, "_key", F.col("_work")), "_key", F.col("_work"), entries)
 
     def candidate(node: Column, attempt: Column) -> Column:
         keys = (seed, node["key"], attempt["n"])

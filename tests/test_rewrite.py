@@ -1,7 +1,9 @@
 """Rewriting: golden sentences, guards, determinism."""
 
 import difflib
+import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,11 @@ def test_contractions(spark, text, expected):
     assert value(spark, wording.expand_contractions(F.col("t")), t=text) == expected
 
 
+def test_contractions_over_lines(spark):
+    text = "dog's\n\nIT'S rock'n'roll\n'tis d'été\n'"
+    assert value(spark, wording.expand_contractions(F.col("t")), t=text) == "dog is\n\nIt is rock'n'roll\n'tis d'été\n'"
+
+
 def test_citations(spark):
     text = "A (Smith et al., 2020) b (Rao, 2019, pp. 3-4) c (Smith et al., 2020) (not one)."
     masked = value(spark, wording.extract_citations(F.col("t")), t=text)
@@ -52,6 +59,7 @@ def test_citations(spark):
 
 def test_spacing(spark):
     assert value(spark, wording.normalize_punctuation(F.col("t")), t="a  b , c ( d ) `` e '' !") == 'a b, c (d) "e"!'
+    assert value(spark, wording.normalize_punctuation(F.col("t")), t="( ) ( \t. a\tb \t c ( ( ,") == "() (. a\tb c ((,"
 
 
 @pytest.mark.parametrize("original, new, expected", [
@@ -97,6 +105,43 @@ def test_rows_with_equal_and_null_keys(spark, lexicon):
     assert got["a"].text != EXAMPLE
 
 
+def test_long_rows_take_as_long_as_short_ones(spark):
+    """The same words in one row or in many: lookups must not grow with the entries of a row."""
+    words = [f"w{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(1000)]
+    known = rewrite.prepare_lexicon(spark.createDataFrame([(w, "NOUN", 0, w + "x") for w in words], "word string, pos string, rank int, synonym string"))
+
+    def took(df):
+        start = time.time()
+        rewrite.replace_synonyms(df, known, 0.5, 1).agg(F.sum(F.length("text"))).first()
+        return time.time() - start
+
+    short = spark.createDataFrame([(i, " ".join(words[i % 100 * 10:][:10])) for i in range(40000)], "doc_id bigint, text string")
+    long = spark.createDataFrame([(i, " ".join(words * 40)) for i in range(10)], "doc_id bigint, text string")
+    took(short)
+    assert took(long) < 3 * took(short) + 2
+
+
+def test_swaps_follow_the_drawn_numbers(spark, lexicon):
+    """Draws by place among the pieces, a leading gap counted; other classes are left alone."""
+    other = lexicon.withColumn("word_class", F.when(F.col("word") == "show", "OTHER").otherwise(F.col("word_class")))
+    for text in (EXAMPLE, "  " + EXAMPLE, "Show SHOW show " * 40, "d'été  Results\n\nRecent"):
+        df = spark.createDataFrame([(5, text)], "doc_id bigint, text string")
+        pieces = re.findall(r"[^\W\d_']+(?:'[^\W\d_]*)*[^a-zA-Zé']*|[^a-zA-Zé']+", text)
+        known = {r.word: r for r in other.collect()}
+
+        def number(use, i):
+            return int(hashlib.md5(f"9|5|{use}|{i}".encode()).hexdigest()[:8], 16)
+
+        want = []
+        for i, piece in enumerate(pieces):
+            token = re.match(r"[a-zA-Zé']*", piece).group()
+            entry = known.get(token.lower()) if len(token) > 3 else None
+            chance = {"ADJ": 0.5 * 1.3, "NOUN": 0.5, "VERB": 0.5}.get(entry.word_class, 0) if entry else 0
+            drawn = number("swap", i) / 2**32 < chance
+            want.append((entry.synonyms[number("pick", i) % len(entry.synonyms)] if drawn else token) + piece[len(token):])
+        assert rewrite.replace_synonyms(df, other, 0.5, 9).first().text == "".join(want)
+
+
 def test_lookup_ways_agree(spark, lexicon):
     df = spark.createDataFrame([(i, EXAMPLE * 5) for i in range(40)], "doc_id bigint, text string")
     small = {r.doc_id: r.text for r in rewrite.replace_synonyms(df, lexicon, 0.5, 1).collect()}
