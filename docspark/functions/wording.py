@@ -9,15 +9,10 @@ from docspark.functions import fixed
 from docspark.functions.expr import draw, draw_int, let, strip
 from docspark.functions.stylometry import sentences_of
 
-TOKEN = r"[\p{L}']+|[^\p{L}']+"
 WORD = r"[\p{L}']+"
 PIECE = r"[\p{L}']+[^\p{L}']*|[^\p{L}']+"
 WORD_HEAD = r"^([\p{L}']*)"
-
-
-def tokens_of(text: Column) -> Column:
-    """Alternating word and gap tokens; joining them gives the text back."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+APOSTROPHE_WORD = r"(?<![\p{L}'])\p{L}*+'[\p{L}']*+"
 
 
 def _capital_like(source: Column, lowered: Column) -> Column:
@@ -40,17 +35,29 @@ def _expand_token(token: Column) -> Column:
                 for suffix, expansion in fixed.CONTRACTION_SUFFIXES.items()
             ],
         )
-        return F.when(by_suffix.isNull(), token).otherwise(_capital_like(token, by_suffix))
+        return let(by_suffix, lambda found: F.when(found.isNull(), token).otherwise(_capital_like(token, found)))
 
     return let(F.lower(token), expanded)
 
 
 def expand_contractions(text: Column) -> Column:
-    """Whole-word contractions first, suffix rules for the rest; first-letter case is kept."""
-    expanded = F.transform(
-        tokens_of(text), lambda t: F.when(F.contains(t, F.lit("'")), _expand_token(t)).otherwise(t)
-    )
-    return F.array_join(expanded, "")
+    """Whole-word contractions first, suffix rules for the rest; first-letter case is kept.
+
+    Only lines with an apostrophe are looked at, and those are cut at words with an apostrophe only.
+    """
+    def expanded(line: Column) -> Column:
+        return let(
+            F.regexp_extract_all(line, F.lit(APOSTROPHE_WORD), F.lit(0)),
+            lambda words: F.array_join(
+                F.transform(F.split(line, APOSTROPHE_WORD), lambda p, i: F.when(
+                    i < F.size(words), F.concat(p, _expand_token(F.get(words, i)))).otherwise(p)), ""),
+        )
+
+    def by_line(t: Column) -> Column:
+        lines = F.transform(F.split(t, "\n"), lambda line: F.when(F.contains(line, F.lit("'")), expanded(line)).otherwise(line))
+        return F.when(F.contains(t, F.lit("'")), F.array_join(lines, "\n")).otherwise(t)
+
+    return let(text, by_line)
 
 
 def extract_citations(text: Column) -> Column:
@@ -100,11 +107,9 @@ def restore_citations(text: Column, refs: Column) -> Column:
 
 def normalize_punctuation(text: Column) -> Column:
     """No blank before end marks or inside brackets, single blanks, plain double quotes."""
-    out = F.regexp_replace(text, r"[ \t]+([.,;:!?])", "$1")
-    out = F.regexp_replace(out, r"(\()[ \t]+", "$1")
-    out = F.regexp_replace(out, r"[ \t]+(\))", "$1")
+    out = F.regexp_replace(text, r"(?<=\()[ \t]+|[ \t]+(?=[.,;:!?)])", "")
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    return F.regexp_replace(out, r"``\s*(.+?)\s*''", '"$1"')
+    return let(out, lambda t: F.when(F.contains(t, F.lit("``")), F.regexp_replace(t, r"``\s*(.+?)\s*''", '"$1"')).otherwise(t))
 
 
 def with_transitions(text: Column, p_trans: Column | float, *keys: Column | str | int) -> Column:
