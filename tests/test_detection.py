@@ -165,6 +165,47 @@ def test_cross_perplexity_brute_force(spark):
         assert not got[2].scorable and got[2].score is None and got[3].n_tokens == 0
 
 
+def _bytes_shuffled(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def _random_texts(n, words, vocabulary, seed):
+    import random
+
+    rng = random.Random(seed)
+    names = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(vocabulary)]
+    return [" ".join(rng.choices(names, k=words)) for _ in range(n)]
+
+
+def test_cross_perplexity_shuffles_places_once(spark, tmp_path):
+    texts = _random_texts(400, 300, 5000, 1)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").repartition(8)
+    obs = spark.createDataFrame([(texts[0],)], "text string")
+    before = _bytes_shuffled(spark)
+    cross_perplexity.cross_perplexity(docs, obs).collect()
+    assert _bytes_shuffled(spark) - before < 50 * 400 * 300
+
+
+def test_cross_perplexity_of_common_bigrams(spark):
+    """Bigrams spread over partitions give what one partition gives, for every kind of performer."""
+    rows = [(i, "the same words the same words " * 5 + t) for i, t in enumerate(_random_texts(60, 20, 300, 2))] + [(None, "the same"), (3, "the same words"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    obs = spark.createDataFrame([("the same words are here the same",)], "text string")
+    other = docs.filter("doc_id < 20").select("text")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    for ways in ({}, {"median": True}, {"max_tokens": 17}, {"performer": other}, {"performer": other, "max_tokens": 9, "median": True}):
+        got = []
+        for partitions in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            scores = cross_perplexity.cross_perplexity(docs, obs, min_tokens=2, **ways)
+            got.append(sorted(([(x if x is None or isinstance(x, (int, bool)) else round(x, 9)) for x in r] for r in scores.collect()), key=repr))
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_scorer_failures_are_isolated(spark):
     from docspark.operators import scorers
 
