@@ -132,6 +132,8 @@ def cross_perplexity(docs: DataFrame, observer: DataFrame, performer: DataFrame
     termed = places.join(context_table(counts, add_k, temperature), "ctx", "left").select(
         key, F.when(known & (F.col("tok") != END), F.col("nq")).alias("nq"), "zq", F.when(known, F.col("x")).alias("x")
     )
+    if median:  # needs every value of a document; equal terms next to each other pack well
+        termed = termed.sortWithinPartitions("zq", "x", "nq", key).repartition(key)
     scored = termed.select(key, (F.log("zq") - F.log(F.col("nq") + add_k) / temperature).alias("nll"), "x")
     middle = F.median if median else F.avg
     per_doc = scored.groupBy(key).agg(
