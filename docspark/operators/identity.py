@@ -44,10 +44,13 @@ def name_patterns(literal: bool = False) -> tuple[str, str]:
 
 def extract_name(text: Column, strict: bool = True, literal: bool = False) -> tuple[Column, Column]:
     """(name, level) columns; level is high, medium or none."""
+    labelled = F.contains(F.lower(text), F.lit("name"))  # in all patterns; finding it costs less than a failing pattern
+
+    def found(pattern: str) -> Column:
+        return F.when(labelled, _clean_name(first_match(text, pattern)))
+
     strict_pattern, flexible_pattern = name_patterns(literal)
-    return _cascade(
-        _clean_name(first_match(text, strict_pattern)), _clean_name(first_match(text, flexible_pattern)), strict
-    )
+    return _cascade(found(strict_pattern), found(flexible_pattern), strict)
 
 
 def extract_roll(text: Column, strict: bool = True) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import fixed, patterns
 from docspark.functions.containment import missing
-from docspark.functions.expr import count_ignoring_case, first_match, let, replace_ignoring_case, strip
+from docspark.functions.expr import count_ignoring_case, count_lowered, first_match, let, replace_ignoring_case, strip
 from docspark.operators import identity
 
 NAME_LINE = r"(?im)^(\s*NAME\s*:[ \t]*).*$"
@@ -224,15 +224,19 @@ def redact_batch(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def term_counts(df: DataFrame, before: str, after: str, terms: list[str] | None = None,
                 key: str = "doc_id") -> DataFrame:
-    """Occurrences of watch terms before and after, one row per document and term."""
-    watched = F.explode(F.array(*[F.lit(t) for t in (terms or fixed.WATCH_TERMS)])).alias("term")
-    rows = df.select(key, before, after, watched)
-    counted = rows.select(
-        key,
-        "term",
-        count_ignoring_case(F.col(before), F.col("term")).alias("before"),
-        count_ignoring_case(F.col(after), F.col("term")).alias("after"),
-    )
+    """Occurrences of watch terms before and after, one row per document and term.
+
+    Both texts are lower-cased once and all terms are counted in the row, so rows of terms carry numbers and no text.
+    """
+    def counts(s: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(t).alias("term"), count_lowered(s["b"], F.lit(t.lower())).alias("before"),
+                     count_lowered(s["a"], F.lit(t.lower())).alias("after"))
+            for t in (terms or fixed.WATCH_TERMS)
+        ])
+
+    lowered = F.struct(F.lower(before).alias("b"), F.lower(after).alias("a"))
+    counted = df.select(key, F.explode(let(lowered, counts)).alias("c")).select(key, "c.*")
     return counted.withColumn("delta", F.col("after") - F.col("before"))
 
 

@@ -156,3 +156,14 @@ def test_names_with_regex_marks(spark):
 
     df = spark.createDataFrame([("a (b) A (B) $1 a", "A (b)")], "t string, v string")
     assert df.select(replace_ignoring_case(F.col("t"), F.col("v"), "$x").alias("o")).first().o == "$x $x $1 a"
+
+
+def test_term_rows_carry_no_text(spark):
+    """Texts are lower-cased and counted before a document becomes a row per term."""
+    df = spark.createDataFrame([(1, "The NAME the name", "the [X]"), (2, "", None), (3, None, "the")], "doc_id bigint, b string, a string")
+    counted = redact.term_counts(df, "b", "a", ["Name", "the", ""])
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan[:plan.index("Generate")]
+    got = {(r.doc_id, r.term): (r.before, r.after, r.delta) for r in counted.collect()}
+    assert got == {(1, "Name"): (2, 0, -2), (1, "the"): (2, 1, -1), (1, ""): (0, 0, 0), (2, "Name"): (0, None, None), (2, "the"): (0, None, None),
+                   (2, ""): (0, 0, 0), (3, "Name"): (None, 0, None), (3, "the"): (None, 1, None), (3, ""): (0, 0, 0)}
