@@ -10,6 +10,9 @@ from docspark.operators import segment
 from docspark.plans import oracle
 from docspark.plans.registry import Tables, query
 
+#: Tasks per input partition that fold word n-grams.
+NGRAM_TASKS = 8
+
 
 @query(
     "chunk_offsets",
@@ -115,9 +118,12 @@ def word_ngrams(t: Tables):
     """Corpus counts of word 3-grams in one shuffle.
 
     Sorting a document's grams in its row marks their first occurrences, so the number of
-    documents is a plain sum and needs no distinct.
+    documents is a plain sum and needs no distinct. Texts are dealt to more tasks first: a task holds
+    nearly all grams of its texts, about ten times their size, until it has folded them.
     """
-    grams = segment.word_ngrams(t.texts).select(F.sort_array("ngrams").alias("g"))
+    texts = t.documents.select("doc_id", "text")
+    tasks = max(NGRAM_TASKS * texts.rdd.getNumPartitions(), 2 * t.spark.sparkContext.defaultParallelism)
+    grams = segment.word_ngrams(texts.repartition(tasks)).select(F.sort_array("ngrams").alias("g"))
     marked = let(
         F.col("g"),
         lambda g: F.transform(

@@ -133,6 +133,21 @@ def test_evaluation_on_known_scores(spark):
         assert [(r.tp, r.fp) for r in roc] == [(1, 0), (2, 0), (2, 1), (3, 3), (3, 4), (4, 4)]
 
 
+def test_word_ngrams_are_folded_in_small_tasks(spark):
+    """Also where the input has many splits, which are not dealt out otherwise."""
+    from docspark.plans import QUERIES
+    from tests.conftest import SMALL
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        splits = spark.read.parquet(f"{SMALL}/documents.parquet").rdd.getNumPartitions()
+        counted = QUERIES["word_ngrams"](spark, SMALL)
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert splits >= 2 * spark.sparkContext.defaultParallelism and f"Repartition {8 * splits}, " in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_cross_perplexity_brute_force(spark):
     observer = ["a b a b c", "b c"]
     performer = {1: "a b c a b", 2: "c", 3: ""}
