@@ -144,25 +144,29 @@ def weighted_document_score(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def classify_sentences(df: DataFrame, scorer: Scorer = stylometry.fast_score, threshold: float = 0.8,
+def classify_sentences(df: DataFrame, scorer: Scorer | None = None, threshold: float = 0.8,
                        text_col: str = "text") -> DataFrame:
     """Shares of the four sentence labels per document.
 
     The two-class label and its confidence come from one machine-likeness score: FAKE with
-    that confidence when it is above one half, REAL with the complement otherwise.
+    that confidence when it is above one half, REAL with the complement otherwise. Without a
+    ``scorer`` it is the stylometric one, and sentences whose label is settled earlier are not scored to the end.
+    A document without text has no sentences.
     """
     kept = [c for c in df.columns if c != text_col]
 
-    def labelled(sentence: Column) -> Column:
-        return let(
-            scorer(sentence),
-            lambda s: labels.sentence_label(
-                F.when(s > 0.5, "FAKE").otherwise("REAL"), F.greatest(s, F.lit(1.0) - s), threshold
-            ),
+    def label(s: Column) -> Column:
+        return labels.sentence_label(
+            F.when(s > 0.5, "FAKE").otherwise("REAL"), F.greatest(s, F.lit(1.0) - s), threshold
         )
 
-    marked = df.select(*kept, F.transform(stylometry.sentences_of(F.col(text_col)), labelled).alias("_labels"))
-    n = F.size("_labels")
+    if scorer:
+        marks = F.transform(stylometry.sentences_of(F.col(text_col)), lambda s: let(scorer(s), label))
+    else:
+        sentences = stylometry.sentences_of(stylometry.lowered(F.col(text_col)))
+        marks = F.transform(sentences, lambda s: stylometry.sentence_verdict(s, label))
+    marked = df.select(*kept, marks.alias("_labels"))
+    n = F.coalesce(F.size("_labels"), F.lit(0))
 
     def share(name: str) -> Column:
         hits = F.size(F.filter("_labels", lambda x: x == name))

@@ -111,6 +111,43 @@ def test_label_shares_sum_to_hundred(docs):
         assert total == pytest.approx(100.0, abs=0.04) if r.n_sentences else total == 0
 
 
+ODD_SENTENCES = [
+    None, "", " ", ". . .", "Yes. No!  Maybe?\nSo.", "a a a a a. b b b b b b, b! c c c d d d c c c d d d?", "日本 是. Привет, мир! 12 34.",
+    "the cat sat on the mat. The cat sat on the mat, THE CAT SAT ON THE MAT!!!! it's it's it's", "\u0130stanbul \u212aelvin K k K k K k. I\u0130 i.",
+    "word " * 159 + "wor. next", "a " * 900 + ". a b a b a b a b a b a b a b", "\u0130" * 801 + ". ,,,,,,", " ".join("abcdefghi") * 4 + "!",
+]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.6, 0.66, 0.675, 0.8])
+def test_labels_settled_early_are_those_of_the_score(spark, docs, threshold):
+    odd = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(ODD_SENTENCES)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd)
+    settled = detect.classify_sentences(both, threshold=threshold).orderBy("doc_id").collect()
+    scored = detect.classify_sentences(both, scorer=stylometry.fast_score, threshold=threshold).orderBy("doc_id").collect()
+    assert settled == scored
+
+
+def test_sentences_are_not_measured_for_unscored_features(docs):
+    plan = detect.classify_sentences(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\p{Lu}" not in plan and "(lambda" in plan
+    assert "lower(lambda" not in plan and "lower(array_join" not in plan
+
+
+def test_missing_text_has_no_sentences(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in detect.classify_sentences(df).orderBy("doc_id").collect()] == [(0, 0.0, 0.0, 0.0, 0.0)] * 2
+
+
+def test_lowered_text_keeps_its_length_and_words(spark):
+    letters = " ".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+    df = spark.createDataFrame([(letters,), ("\u0130a\u212ab It's",)], "t string")
+    low = stylometry.lowered(F.col("t"))
+    for r in df.select(
+        F.length("t").alias("n"), F.length(low).alias("m"), stylometry.lowered_words(F.col("t")).alias("w"), stylometry.words_of(low).alias("v")
+    ).collect():
+        assert r.n == r.m and r.w == r.v
+
+
 def test_prefix_sums(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         values = [(i * 7) % 13 for i in range(n)]
